@@ -14,19 +14,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
-from patchlens.functions.text import count_pattern, line_count, lines_containing, or_empty
+from patchlens.functions.text import count_lines, count_pattern, line_count, or_empty
 
 W = K.WORD_CHAR
-NAME = rf"[\p{{L}}_]{W}*"
 
 # Escaped pairs go first, so that a literal ends at the next quote. An unclosed
 # block comment runs to the end of the text.
 ESCAPED_PAIR = r"\\[^\n]"
-COMMENT_OR_LITERAL = r"""/\*[\s\S]*?(?:\*/|\z)|//[^\n\r]*|"[^"\n]*"|'[^'\n]*'"""
+COMMENT_OR_LITERAL = r"""(?=[/"'])(?:/\*[\s\S]*?(?:\*/|\z)|//[^\n\r]*|"[^"\n]*"|'[^'\n]*')"""
 TOKEN = (
-    rf"{W}+|>>>=|<<=|>>=|>>>|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|->|::"
+    rf"{W}+|[(){{}}\[\];,.]|>>>=|<<=|>>=|>>>|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|->|::"
     r"|[^ \t\n\r\f\x0B]"
 )
+# Inside token text a word is told by its first character.
+WORD = r"[\p{L}\p{N}_][^ ]*"
+NAME = r"[\p{L}_][^ ]*"
 
 BINARY_OPERATORS = (
     "+", "-", "*", "/", "%", "==", "!=", "<", ">", "<=", ">=", "&&", "||",
@@ -55,7 +57,8 @@ RESERVED = (
 
 
 def tokens(code: Column) -> Column:
-    bare = F.regexp_replace(or_empty(code), ESCAPED_PAIR, " ")
+    code = or_empty(code)
+    bare = F.when(F.contains(code, F.lit("\\")), F.regexp_replace(code, ESCAPED_PAIR, " ")).otherwise(code)
     bare = F.regexp_replace(bare, COMMENT_OR_LITERAL, " ")
     return F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))
 
@@ -75,44 +78,64 @@ def _token(text: Column, *items: str) -> Column:
     return count_pattern(text, rf" {_one_of(items)}(?= )")
 
 
+def _declarators(text: Column, ends: str) -> Column:
+    """Names after a type and before one of ``ends``.
+
+    The patterns start with the blank, so that look-behinds run once per token.
+    """
+    typed = count_pattern(text, rf" (?<=[\p{{L}}\p{{N}}_>\]] ){NAME}(?= [{ends}] )")
+    not_typed = count_pattern(text, rf" {_one_of(NOT_A_TYPE)} {NAME}(?= [{ends}] )")
+    return typed - not_typed
+
+
+def _ternaries(text: Column) -> Column:
+    return count_pattern(text, r" (?<! [<,] )\?(?= )")
+
+
 def construct_counts(text: Column) -> dict[str, Column]:
     """Construct counts from :func:`token_text`."""
-    not_callable, not_a_type = _one_of(NOT_CALLABLE), _one_of(NOT_A_TYPE)
-    typed = rf"(?<=[\p{{L}}\p{{N}}_>\]] )(?<! {not_a_type} ){NAME} "
+    not_callable = _one_of(NOT_CALLABLE)
     methods = count_pattern(
         text,
-        rf"(?<=[\p{{L}}\p{{N}}_>\]] )(?<! new )(?!{not_callable} ){W}+ \( [^()]*\) "
+        rf" (?<=[\p{{L}}\p{{N}}_>\]] )(?={WORD} \()(?<! new )(?!{not_callable} ){WORD} \( [^()]*\) "
         rf"(?:throws [\p{{L}}\p{{N}}_., ]+ )?\{{",
     )
-    calls = count_pattern(text, rf"(?<! new) (?!{not_callable} ){W}+ (?=\()")
+    calls = (
+        count_pattern(text, rf" {WORD}(?= \()")
+        - count_pattern(text, rf" {not_callable}(?= \()")
+        - count_pattern(text, rf" new (?!{not_callable} ){WORD}(?= \()")
+    )
+    elements = count_pattern(text, r" (?<=[\p{L}\p{N}_)\]] )\[(?= [^\]])")
+    new_arrays = count_pattern(text, rf" new {WORD} \[(?= [^\]])")
     return {
         "methods": methods,
         "ifs": _token(text, "if"),
         "loops": _token(text, "for", "while"),
         "tries": _token(text, "try"),
         "catches": _token(text, "catch"),
-        "variables": count_pattern(text, typed + "(?=[=;] )"),
+        "variables": _declarators(text, "=;"),
         "return_statements": _token(text, "return"),
         "method_invocations": calls - methods,
         "binary_operations": _token(text, *BINARY_OPERATORS),
-        "null_checks": count_pattern(text, r"(?<= null) (?:==|!=)(?= )| (?:==|!=)(?= null )"),
-        "assignments": _token(text, *ASSIGNMENT_OPERATORS) - count_pattern(text, typed + "(?== )"),
-        "classes": count_pattern(text, r"(?<! \.) class(?= )"),
+        "null_checks": count_pattern(text, r" (?<= null )(?:==|!=)(?= )| (?:==|!=)(?= null )"),
+        "assignments": _token(text, *ASSIGNMENT_OPERATORS) - _declarators(text, "="),
+        "classes": count_pattern(text, r" (?<! \. )class(?= )"),
         "switch_statements": _token(text, "switch"),
-        "ternary_expressions": count_pattern(text, r"(?<! [<,]) \?(?= )"),
-        "array_accesses": count_pattern(text, rf"(?<=[\p{{L}}\p{{N}}_)\]]) \[(?= [^\]])")
-        - count_pattern(text, rf" new {W}+ \[(?= [^\]])"),
+        "ternary_expressions": _ternaries(text),
+        "array_accesses": elements - new_arrays,
         "cast_expressions": count_pattern(
             text,
-            rf"(?:(?<=[=(,+\-*/%&|?:<>!])|(?<= return)) \( {NAME}(?: \[ \])? \)(?= [\p{{L}}\p{{N}}_(])",
+            rf" (?:(?<=[=(,+\-*/%&|?:<>!] )|(?<= return ))\( {NAME}(?: \[ \])? \)(?= [\p{{L}}\p{{N}}_(])",
         ),
     }
 
 
 def cyclomatic(text: Column) -> dict[str, Column]:
     """Decision points + 1; the narrow form does not count do-loops."""
-    points = _token(text, "if", "for", "while", "case", "catch", "&&", "||") + count_pattern(
-        text, r"(?<! [<,]) \?(?= )"
+    # the same terms as in construct_counts, so that they are computed once
+    points = (
+        _token(text, "if") + _token(text, "for", "while") + _token(text, "catch")
+        + _token(text, "case", "&&", "||") + _ternaries(text)
     )
     return {
         "complexity": points + 1,
@@ -160,10 +183,9 @@ def nesting_depth(toks: Column) -> Column:
 
 def halstead(toks: Column) -> dict[str, Column]:
     """Distinct binary operators and names, and the simplified volume."""
-    operators = F.size(F.array_distinct(F.filter(toks, lambda t: t.isin(*BINARY_OPERATORS)))).cast("long")
-    names = F.size(
-        F.array_distinct(F.filter(toks, lambda t: t.rlike(rf"\A{NAME}\z") & ~t.isin(*RESERVED)))
-    ).cast("long")
+    distinct = F.array_distinct(toks)
+    operators = F.size(F.filter(distinct, lambda t: t.isin(*BINARY_OPERATORS))).cast("long")
+    names = F.size(F.filter(distinct, lambda t: ~t.isin(*RESERVED) & t.rlike(r"\A[\p{L}_]"))).cast("long")
     return {"unique_operators": operators, "unique_names": names}
 
 
@@ -176,6 +198,6 @@ def size_counts(code: Column) -> dict[str, Column]:
     visible = rf"[^{K.SPACE_CLASS}]"
     return {
         "lines_of_code": line_count(code),
-        "non_empty_lines": lines_containing(code, visible),
+        "non_empty_lines": count_lines(code, lambda line: line.rlike(visible)),
         "is_blank": ~or_empty(code).rlike(visible),
     }

@@ -8,7 +8,7 @@ code; only line-length spread and entropy walk an array.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add
 
@@ -30,9 +30,19 @@ def count_pattern(text: Column, pattern: str) -> Column:
 def count_words(text: Column, words: Iterable[str]) -> Column:
     """Sum over the words of their non-overlapping substring counts.
 
-    No word boundaries: "throws" counts for "throw" and for "throws".
+    No word boundaries: "throws" counts for "throw" and for "throws". A byte
+    search tells first whether a word occurs at all, which is much cheaper.
     """
-    return reduce(add, [count_pattern(text, re.escape(w)) for w in words])
+
+    def one(word: str) -> Column:
+        return F.when(F.contains(text, F.lit(word)), count_pattern(text, re.escape(word))).otherwise(F.lit(0))
+
+    return reduce(add, [one(w) for w in words]).cast("long")
+
+
+def _only_newlines(text: Column) -> Column:
+    """No other line break than the newline occurs, as in almost all source files."""
+    return ~reduce(lambda a, b: a | b, [F.contains(text, F.lit(ch)) for ch in K.BREAK_CHARS if ch != "\n"])
 
 
 def split_lines(text: Column) -> Column:
@@ -44,14 +54,21 @@ def split_lines(text: Column) -> Column:
         .otherwise(0)
     )
     body = F.substring(text, F.lit(1), F.char_length(text) - final_break)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, K.LINE_BREAK, -1))
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(_only_newlines(text), F.split(body, "\n", -1))
+        .otherwise(F.split(body, K.LINE_BREAK, -1))
+    )
 
 
 def line_count(text: Column) -> Column:
-    """``size(split_lines(text))`` without building the array."""
+    """``size(split_lines(text))`` without finding out about the last line twice."""
     text = or_empty(text)
     open_line = (text != "") & ~F.right(text, F.lit(1)).isin(*K.BREAK_CHARS)
-    return count_pattern(text, K.LINE_BREAK) + open_line.cast("long")
+    breaks = F.when(_only_newlines(text), (F.size(F.split(text, "\n", -1)) - 1).cast("long")).otherwise(
+        count_pattern(text, K.LINE_BREAK)
+    )
+    return breaks + open_line.cast("long")
 
 
 def lines_starting(text: Column, pattern: str) -> Column:
@@ -59,10 +76,9 @@ def lines_starting(text: Column, pattern: str) -> Column:
     return count_pattern(or_empty(text), rf"(?:\A|{K.LINE_BREAK})(?:{pattern})")
 
 
-def lines_containing(text: Column, pattern: str) -> Column:
-    """Number of lines that contain a regular expression."""
-    rest = rf"[^{K.BREAK_CLASS}]*"
-    return count_pattern(or_empty(text), rf"(?:\A|{K.LINE_BREAK}){rest}?(?:{pattern}){rest}")
+def count_lines(text: Column, test: Callable[[Column], Column]) -> Column:
+    """Number of lines for which a test holds."""
+    return F.size(F.filter(split_lines(text), lambda line: test(line))).cast("long")
 
 
 def words(text: Column, min_length: int = 1) -> Column:
@@ -71,50 +87,52 @@ def words(text: Column, min_length: int = 1) -> Column:
     return F.regexp_extract_all(or_empty(text), F.lit(pattern), F.lit(0))
 
 
-def term_counts(tokens: Column) -> Column:
-    """``array<struct<term, tf>>`` of an array of tokens, in term order.
+def _with_runs(tokens: Column, result) -> Column:
+    """``result(sorted tokens, start positions of the runs of equal tokens)``.
 
-    Sorts the array and measures the runs, so that counting the words of a text
-    needs no shuffle and stays n log n for very long texts.
+    Sorting and measuring runs counts the words of a text in place: no shuffle,
+    and n log n for very long texts. transform over a one-element array binds
+    a value to a name, so that it is computed once.
     """
-    ordered = F.sort_array(tokens)
 
-    def runs(a: Column) -> Column:
-        first = F.filter(
-            F.transform(a, lambda t, i: F.when((i == 0) | (t != F.get(a, i - 1)), i)),
-            lambda i: i.isNotNull(),
-        )
-        return F.transform(
-            F.array(first),
-            lambda s: F.transform(
-                s,
-                lambda at, j: F.struct(
-                    F.get(a, at).alias("term"),
-                    (F.coalesce(F.get(s, j + 1), F.size(a)) - at).cast("long").alias("tf"),
-                ),
-            ),
-        )
+    def starts(a: Column) -> Column:
+        at = F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(a) - 1))
+        return F.filter(at, lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
 
-    # transform over a one-element array binds a value to a name, evaluated once
-    return F.flatten(F.flatten(F.transform(F.array(ordered), runs)))
+    bound = F.transform(
+        F.array(F.sort_array(tokens)), lambda a: F.get(F.transform(F.array(starts(a)), lambda s: result(a, s)), 0)
+    )
+    return F.get(bound, 0)
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy in bits of the case-sensitive words; 0 without words."""
-    parts = F.transform(
-        F.array(term_counts(words(text))),
-        lambda terms: F.struct(
-            F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["tf"]).alias("n"),
-            F.aggregate(
-                terms, F.lit(0.0), lambda s, t: s + t["tf"] * F.log2(t["tf"].cast("double"))
-            ).alias("weighted"),
+def _run_length(a: Column, s: Column, j: Column) -> Column:
+    return (F.coalesce(F.get(s, j + 1), F.size(a)) - F.get(s, j)).cast("long")
+
+
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of tokens, in term order."""
+    return _with_runs(
+        tokens,
+        lambda a, s: F.transform(
+            s, lambda at, j: F.struct(F.get(a, at).alias("term"), _run_length(a, s, j).alias("tf"))
         ),
     )
-    value = F.transform(
-        parts, lambda p: F.when(p["n"] > 0, F.log2(p["n"]) - p["weighted"] / p["n"]).otherwise(0.0)
-    )
-    # a text of one repeated word can come out as -0.0 or a rounding step below
-    return F.greatest(F.get(value, 0), F.lit(0.0))
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits of the case-sensitive words; 0 without words."""
+
+    def bits(a: Column, s: Column) -> Column:
+        n = F.size(a).cast("double")
+        runs = F.transform(s, lambda at, j: _run_length(a, s, j).cast("double"))
+        # a word that occurs once adds nothing
+        weighted = F.aggregate(
+            runs, F.lit(0.0), lambda total, tf: F.when(tf > 1, total + tf * F.log2(tf)).otherwise(total)
+        )
+        return F.when(n > 0, F.log2(n) - weighted / n).otherwise(0.0)
+
+    # a text of one repeated word can come out a rounding step below zero
+    return F.greatest(_with_runs(words(text), bits), F.lit(0.0))
 
 
 def line_stddev(text: Column) -> Column:
@@ -150,6 +168,10 @@ def basic_features(text: Column) -> dict[str, Column]:
     }
 
 
+def _has_comment_mark(line: Column) -> Column:
+    return F.contains(line, F.lit("//")) | F.contains(line, F.lit("/*"))
+
+
 def rich_features(text: Column) -> dict[str, Column]:
     """The eleven text features of the richer generations."""
     text = or_empty(text)
@@ -161,7 +183,7 @@ def rich_features(text: Column) -> dict[str, Column]:
         "control_count": count_words(low, K.CONTROL_WORDS),
         "exception_count": count_words(low, K.EXCEPTION_WORDS),
         "method_calls": count_pattern(text, rf"{K.WORD_CHAR}[{K.SPACE_CLASS}]*+\("),
-        "comment_ratio": lines_containing(text, r"//|/\*") / (line_count(text) + F.lit(1e-5)),
+        "comment_ratio": count_lines(text, _has_comment_mark) / (line_count(text) + F.lit(1e-5)),
         "suspicious_count": count_words(low, K.SUSPICIOUS_WORDS),
         "line_stddev": line_stddev(text),
         "buggy_api_count": count_words(low, K.RISKY_API_WORDS),

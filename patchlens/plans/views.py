@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from patchlens.functions.signing import hmac_sha256
 from patchlens.operators.prep import hash_number
 from patchlens.operators.reports import report_id
+from patchlens.session import spread
 
 SECRET = "test-secret"
 TEMPLATES = (
@@ -42,7 +43,7 @@ def _div(column: str, by: int) -> Column:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, path, code): one file per document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     suffix = F.when(F.col("doc_id") % 4 == 3, ".py").otherwise(".java")
     lines = F.transform(
         F.split("text", "\n", -1), lambda line, i: F.concat(_pick(TEMPLATES, F.col("doc_id") + i), line)

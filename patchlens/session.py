@@ -61,3 +61,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table whose files cannot be split that far.
+
+    A file is cut at its row groups at most. When the scan has no more
+    partitions than there are cores, rows are hashed by ``key``; a larger table
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df

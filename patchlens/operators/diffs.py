@@ -64,7 +64,7 @@ def parse_diffs(diffs: DataFrame, text_col: str = "diff_text") -> DataFrame:
     # only a diff with a nameless header pays for looking back
     filled = sections.withColumn("_s", F.when(first_nameless, inherited).otherwise(F.col("_s")))
     return (
-        filled.select(*keys, F.posexplode("_s").alias("pos", "_f"))
+        filled.select(*keys, F.posexplode_outer("_s").alias("pos", "_f"))
         .filter((F.col("_f.n_added") > 0) & (F.col("_f.name") != ""))
         .select(*keys, "pos", F.col("_f.name").alias("filename"), F.col("_f.content").alias("content"))
     )
@@ -113,7 +113,9 @@ def line_diff(files: DataFrame, keys: Sequence[str], before: str, after: str) ->
             split_lines(F.col(col)), lambda l: F.struct(l.alias("line"), F.lit(weight).cast("long").alias("weight"))
         )
 
-    lines = files.select(*keys, F.inline(F.concat(side(before, -1), side(after, 1))))
+    both = F.concat(side(before, -1), side(after, 1))
+    # the outer form keeps Spark from computing the lists a second time to test for empty ones
+    lines = files.select(*keys, F.inline_outer(both)).filter(F.col("weight").isNotNull())
     net = lines.groupBy(*keys, "line").agg(F.sum("weight").alias("net")).filter(F.col("net") != 0)
     return net.select(
         *keys,

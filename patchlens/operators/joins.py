@@ -34,7 +34,7 @@ def _spread(df: DataFrame, on: Sequence[str], hot: Column, salts: int) -> Column
 
 def _repeat(on: Sequence[str], hot: Column, salts: int) -> Column:
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return F.explode(F.when(F.array_contains(hot, _key(on)), every).otherwise(F.array(F.lit(0))))
+    return F.explode_outer(F.when(F.array_contains(hot, _key(on)), every).otherwise(F.array(F.lit(0))))
 
 
 def salted_join(
@@ -80,11 +80,13 @@ def sized_join(
     on: Sequence[str],
     how: str = "inner",
     limit: int = BROADCAST_LIMIT,
+    count_large: DataFrame | None = None,
 ) -> DataFrame:
     """Broadcast ``small`` when its measured size allows it, else join by salted keys.
 
-    ``small`` is read twice, so pass a table that is written down already.
+    ``small`` is read more than once, so pass a table that is written down
+    already. ``count_large`` is a cheaper table with the keys of ``large``.
     """
     if measured_bytes(small) <= limit:
         return large.join(F.broadcast(small), list(on), how)
-    return salted_join(large, small, on, how)
+    return salted_join(large, small, on, how, count_left=count_large, both_sides=how == "inner")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,20 @@ def changed_files(commits: DataFrame, trees: DataFrame) -> DataFrame:
     return compared.filter(~F.col("old_blob").eqNullSafe(F.col("new_blob"))).withColumn("change", change)
 
 
+def commit_diffs(commits: DataFrame, patches: DataFrame, n: int = K.LATEST_COMMITS) -> DataFrame:
+    """Non-empty patches (commit_hash, path, diff_text) of the newest commits, roots left out.
+
+    At most ``n`` commit hashes are broadcast; patches are never shuffled.
+    """
+    latest = latest_commits(commits, n).filter(F.size("parents") > 0).select("commit_hash")
+    return patches.filter(F.col("diff_text") != "").join(F.broadcast(latest), "commit_hash", "left_semi")
+
+
+def append_corpora(*corpora: DataFrame) -> DataFrame:
+    """Corpora of several projects or runs in one table."""
+    return reduce(DataFrame.unionByName, corpora)
+
+
 def corpus_counts(changes: DataFrame) -> DataFrame:
     """Kept changes, distinct commits and soft-labelled changes per project."""
     per_commit = changes.groupBy("project", "commit_hash").agg(

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import basic_features, or_empty
-from patchlens.operators.prep import hash_folds
+from patchlens.operators.features import BASIC_FEATURES, text_features
+from patchlens.operators.prep import balanced_weights, hash_folds, hash_split, labelled_samples
+from patchlens.session import materialize
 
 SEED = 42
 # Defaults per kind of classifier; any of them can be overridden in train().
@@ -140,6 +142,23 @@ def random_search(
     return fitted, [(setting, float(m)) for setting, m in zip(settings, fitted.avgMetrics, strict=True)]
 
 
+def train_risk_model(
+    changes: DataFrame, train_share: float = 0.75, seed: int = SEED, kind: str = "gbt", **params
+) -> tuple[PipelineModel, DataFrame]:
+    """Change corpus to fitted three-feature model and its test predictions.
+
+    Features and weights are written down first, so that the many passes of
+    fitting read a few numbers per row and not the texts.
+    """
+    samples = text_features(labelled_samples(changes).select("sample_id", "snippet", "label"), "snippet")
+    split = hash_split(samples.drop("snippet"), "sample_id", train_share, seed)
+    table = materialize(split, "training")
+    weighted = balanced_weights(table.filter(F.col("split") == "train"))
+    model = train(weighted, BASIC_FEATURES, kind=kind, weight_col="weight", **params)
+    tested = positive_probability(model.transform(table.filter(F.col("split") == "test")))
+    return model, tested.select("sample_id", "label", "score", "prediction")
+
+
 def feature_importance(model: PipelineModel, feature_cols: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` features of a fitted tree model by importance."""
     values = model.stages[-1].featureImportances.toArray()

@@ -15,22 +15,26 @@ from patchlens.operators.ranks import approximate_quantiles, as_one_row, exact_q
 HASH_RANGE = 10_000
 
 
-def labelled_samples(changes: DataFrame, soft: bool = False, min_lines: int | None = None) -> DataFrame:
+def labelled_samples(
+    changes: DataFrame, soft: bool = False, min_lines: int | None = None, suffix: str = "change"
+) -> DataFrame:
     """Two rows per change, from one scan: the buggy side and the fixed side.
 
+    The sides are the columns ``buggy_<suffix>`` and ``fixed_<suffix>``: "change"
+    for the change corpus, "code" for whole-file pairs.
+
     Hard labels are 1 and 0; ``soft`` takes the labels stored in the corpus and
     adds ``label_binary`` (label > 0.5). ``min_lines`` asks for that many lines on
     both sides. Sample ids come from the content, so they are stable across runs.
     """
     if min_lines is not None:
-        changes = changes.filter(
-            (line_count(F.col("buggy_change")) >= min_lines) & (line_count(F.col("fixed_change")) >= min_lines)
-        )
-    keys = [c for c in changes.columns if c not in ("buggy_change", "fixed_change", "buggy_label", "fixed_label")]
+        changes = min_lines_both(changes, min_lines, suffix)
+    used = {f"{side}_{part}" for side in ("buggy", "fixed") for part in (suffix, "label")}
+    keys = [c for c in changes.columns if c not in used]
 
     def side(name: str, hard: float) -> Column:
         label = F.col(f"{name}_label") if soft else F.lit(hard)
-        return F.struct(F.lit(name).alias("side"), F.col(f"{name}_change").alias("snippet"), label.alias("label"))
+        return F.struct(F.lit(name).alias("side"), F.col(f"{name}_{suffix}").alias("snippet"), label.alias("label"))
 
     rows = changes.select(*keys, F.inline(F.array(side("buggy", 1.0), side("fixed", 0.0))))
     change_key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project", "commit_hash", "file_path")]
@@ -70,12 +74,12 @@ def balanced_weights(df: DataFrame, label_col: str = "label", max_classes: int =
     Class counts are one small map read as a scalar subquery; more than
     ``max_classes`` labels is an error, not a larger map.
     """
-    counts = df.groupBy(label_col).count()
+    counts = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().limit(max_classes + 1)
     checked = F.when(
         F.count("*") > max_classes, F.raise_error(F.lit(f"more than {max_classes} classes")).cast("bigint")
     ).otherwise(F.sum("count"))
-    entries = F.map_from_entries(F.slice(F.collect_list(F.struct(label_col, "count")), 1, max_classes))
-    stats = counts.filter(F.col(label_col).isNotNull()).agg(
+    entries = F.map_from_entries(F.collect_list(F.struct(label_col, "count")))
+    stats = counts.agg(
         F.struct(checked.alias("n"), F.count("*").alias("classes"), entries.alias("by_class")).alias("s")
     )
     s = F.col("_s")
@@ -222,12 +226,9 @@ def select_features(df: DataFrame, cols: Sequence[str], label_col: str = "label"
     return [cols[i] for i in sorted(selector.fit(assembled).selectedFeatures)]
 
 
-def modified_only(df: DataFrame, before: str, after: str) -> DataFrame:
-    return df.filter((F.col(before) != "") & (F.col(after) != ""))
-
-
-def min_lines_both(changes: DataFrame, min_lines: int = K.MIN_LINES_PER_SIDE) -> DataFrame:
+def min_lines_both(
+    changes: DataFrame, min_lines: int = K.MIN_LINES_PER_SIDE, suffix: str = "change"
+) -> DataFrame:
     """Changes with at least ``min_lines`` lines on each side."""
-    return changes.filter(
-        (line_count(F.col("buggy_change")) >= min_lines) & (line_count(F.col("fixed_change")) >= min_lines)
-    )
+    buggy, fixed = line_count(F.col(f"buggy_{suffix}")), line_count(F.col(f"fixed_{suffix}"))
+    return changes.filter((buggy >= min_lines) & (fixed >= min_lines))

@@ -40,10 +40,10 @@ def attach_code(flags: DataFrame, files: DataFrame, limit: int = BROADCAST_LIMIT
     ``files`` is (repo, path, ref, code). Files that are missing or empty drop
     out. Pass ``flags`` from :func:`flagged`: its size decides the join.
     """
-    texts = files.filter(F.col("code") != "").select(
-        "repo", F.col("path").alias("filename"), F.col("ref").alias("head_sha"), "code"
-    )
-    return sized_join(texts, flags, ["repo", "filename", "head_sha"], limit=limit).select(*FLAG_KEYS, "code")
+    keys = ["repo", "filename", "head_sha"]
+    named = files.withColumnsRenamed({"path": "filename", "ref": "head_sha"})
+    texts = named.filter(F.col("code") != "").select(*keys, "code")
+    return sized_join(texts, flags, keys, limit=limit, count_large=named.select(*keys)).select(*FLAG_KEYS, "code")
 
 
 def build_reports(flags: DataFrame, files: DataFrame, analyzers: Sequence[Analyzer], limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -65,8 +65,13 @@ def reports_from_code(coded: DataFrame, analyzers: Sequence[Analyzer]) -> DataFr
 
 
 def lookup_report(reports: DataFrame, wanted: str) -> DataFrame:
-    """The report with an id; no row means "not found"."""
-    return reports.filter(F.col("report_id") == wanted)
+    """The report with an id; no row means "not found".
+
+    Stored reports are partitioned by the start of the id, so the lookup opens
+    one folder.
+    """
+    found = reports.filter(F.col("report_id") == wanted)
+    return found.filter(F.col("id_prefix") == wanted[:1]) if "id_prefix" in reports.columns else found
 
 
 def report_summary(reports: DataFrame, base_url: str = "http://localhost", template: str = SUMMARY_TEMPLATE) -> DataFrame:

@@ -73,7 +73,7 @@ def response_analyzer(responses: DataFrame) -> Analyzer:
 
 def lint_lines(files: DataFrame, id_col: str = "file_id", code_col: str = "code") -> DataFrame:
     """One row per finding of the line rules."""
-    return files.select(id_col, F.inline(lint_findings(F.col(code_col))))
+    return files.select(id_col, F.inline_outer(lint_findings(F.col(code_col)))).filter(F.col("source").isNotNull())
 
 
 def review_prompts(files: DataFrame, code_col: str = "code", template: str = REVIEW_TEMPLATE) -> DataFrame:
@@ -140,6 +140,5 @@ def run_analyzers(files: DataFrame, analyzers: Sequence[Analyzer]) -> DataFrame:
 def findings_rows(findings: DataFrame) -> DataFrame:
     """One row per finding with ``ord``, its place in the list of its file."""
     others = [c for c in findings.columns if c != "findings"]
-    return findings.select(*others, F.posexplode("findings").alias("ord", "_f")).select(
-        *others, "ord", *[F.col(f"_f.{name}").alias(name) for name in schemas.FINDING.names]
-    )
+    rows = findings.select(*others, F.posexplode_outer("findings").alias("ord", "_f")).filter(F.col("ord").isNotNull())
+    return rows.select(*others, "ord", *[F.col(f"_f.{name}").alias(name) for name in schemas.FINDING.names])

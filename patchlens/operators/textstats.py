@@ -33,7 +33,8 @@ def tfidf_risk(
     counted = df.select(id_col, term_counts(words(F.lower(F.col(text_col)), 2)).alias("_terms"))
     n_docs = df.select(F.count("*").alias("n")).scalar()
     terms = (
-        counted.select(F.explode("_terms").alias("_t"))
+        counted.select(F.explode_outer("_terms").alias("_t"))
+        .filter(F.col("_t").isNotNull())
         .groupBy(F.col("_t.term").alias("term"))
         .agg(F.sum("_t.tf").alias("corpus_tf"), F.count("*").alias("doc_freq"))
         .orderBy(F.desc("corpus_tf"), "term")

@@ -413,6 +413,19 @@ QUERIES: dict[str, str] = {
         FROM (SELECT * FROM trees WHERE k > 0) n
         FULL JOIN (SELECT * FROM trees WHERE k < (SELECT max(k) FROM commits)) o ON n.k = o.k + 1 AND n.path = o.path
         WHERE n.blob IS DISTINCT FROM o.blob""",
+    "src_lint_xml_mapped": """
+        SELECT path AS filename, line, CASE line % 3 WHEN 1 THEN 'major' ELSE 'minor' END AS severity, message, f.source
+        FROM lint_findings f JOIN snippets USING (doc_id)""",
+    "corpus_append": """
+        SELECT project, count(*) AS n_changes, count(DISTINCT commit_hash) AS n_commits,
+               count_if(buggy_label = 0.5)::BIGINT AS n_soft
+        FROM (SELECT project, commit_hash, buggy_label FROM changes
+              UNION ALL SELECT project, commit_hash, buggy_label FROM mined) GROUP BY project""",
+    "diff_dataset": """
+        SELECT commit_hash, substr(diff_text, 1, 5000) AS diff_text, added_loc::INTEGER AS added_loc,
+               removed_loc::INTEGER AS removed_loc, lint_warnings::INTEGER AS lint_warnings, (lint_warnings > 0)::INTEGER AS label
+        FROM labelled_diffs JOIN (SELECT k, commit_hash, n_parents FROM commits ORDER BY committed_at DESC, commit_hash LIMIT 200)
+          ON k = 2 * diff_id WHERE n_parents > 0""",
     "corpus_counts": """
         SELECT project, count(*) AS n_changes, count(DISTINCT commit_hash) AS n_commits,
                count_if(buggy_label = 0.5)::BIGINT AS n_soft FROM changes GROUP BY project""",

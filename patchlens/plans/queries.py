@@ -30,7 +30,7 @@ from patchlens.operators import (
 )
 from patchlens.operators.textstats import tfidf_risk
 from patchlens.plans import views
-from patchlens.session import run_dir
+from patchlens.session import materialize, run_dir
 from patchlens.sources import bundles, tables
 from patchlens.streaming import events as SE
 from patchlens.streaming import review as SR
@@ -72,8 +72,8 @@ def src_diff_csv_roundtrip(spark, sf_dir):
     return tables.read_labelled_diffs(spark, path)
 
 
-def _uneven_severity(f):
-    level = F.when(f["line"] % 3 == 1, "ERROR").when(f["line"] % 3 == 2, f["severity"])
+def _uneven_severity(f, error):
+    level = F.when(f["line"] % 3 == 1, error).when(f["line"] % 3 == 2, f["severity"])
     return f.withField("severity", level)
 
 
@@ -82,12 +82,23 @@ def src_lint_xml(spark, sf_dir):
     path = run_dir(spark, "lint-xml")
     files = views.snippets(spark, sf_dir).select(
         F.col("path").alias("filename"),
-        F.transform(W.lint_findings(F.col("code")), _uneven_severity).alias("findings"),
+        F.transform(W.lint_findings(F.col("code")), lambda f: _uneven_severity(f, "ERROR")).alias("findings"),
     )
     tables.write_lint_reports(files, path)
     return tables.read_lint_reports(spark, path).select("filename", F.inline("findings"))
 
 
+@query
+def src_lint_xml_mapped(spark, sf_dir):
+    path = run_dir(spark, "lint-xml")
+    files = views.snippets(spark, sf_dir).select(
+        F.col("path").alias("filename"),
+        F.transform(W.lint_findings(F.col("code")), lambda f: _uneven_severity(f, "error")).alias("findings"),
+    )
+    tables.write_lint_reports(files, path)
+    return tables.read_lint_reports(spark, path, mapped=True).select("filename", F.inline("findings"))
+
+
 @query
 def emb_cache_missing(spark, sf_dir):
     corpus = views.snippets(spark, sf_dir).select(F.col("code").alias("snippet"))
@@ -149,6 +160,17 @@ def corpus_counts(spark, sf_dir):
     return M.corpus_counts(views.changes(spark, sf_dir))
 
 
+@query
+def corpus_append(spark, sf_dir):
+    mined = M.mine_changes(views.commits(spark, sf_dir), views.file_changes(spark, sf_dir))
+    return M.corpus_counts(M.append_corpora(views.changes(spark, sf_dir), mined))
+
+
+@query
+def diff_dataset(spark, sf_dir):
+    return D.label_diffs(M.commit_diffs(views.commits(spark, sf_dir), views.patches(spark, sf_dir)))
+
+
 # --- diffs ----------------------------------------------------------------------------
 
 
@@ -397,7 +419,7 @@ def text_tfidf_risk(spark, sf_dir):
 
 
 def _dims(df, id_col, vector_col):
-    return df.select(id_col, F.posexplode(vector_col).alias("dim", "value")).withColumn("value", F.round("value", 6))
+    return df.select(id_col, F.posexplode_outer(vector_col).alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 @query
@@ -462,12 +484,9 @@ QUICK = {"gbt": {"maxIter": 10}, "rf": {"numTrees": 20, "maxDepth": 8}, "lr": {}
 
 
 def _train_test(spark, sf_dir):
-    samples = P.labelled_samples(views.changes(spark, sf_dir)).select("sample_id", "commit_hash", "snippet", "label")
-    featured = X.text_features(samples, "snippet", ["basic"])
-    split = P.balanced_weights(P.hash_split(featured, "sample_id"))
-    path = run_dir(spark, "training")
-    split.drop("snippet").write.partitionBy("split").parquet(path)
-    stored = spark.read.parquet(path)
+    samples = P.labelled_samples(views.changes(spark, sf_dir)).select("sample_id", "snippet", "label")
+    featured = X.text_features(samples, "snippet", ["basic"]).drop("snippet")
+    stored = materialize(P.balanced_weights(P.hash_split(featured, "sample_id")), "training")
     return stored.filter(F.col("split") == "train"), stored.filter(F.col("split") == "test")
 
 
@@ -483,8 +502,7 @@ def _scored(model, test):
 
 @query
 def ml_train_gbt(spark, sf_dir):
-    model, _, test = _fit(spark, sf_dir, "gbt")
-    return _scored(model, test)
+    return L.train_risk_model(views.changes(spark, sf_dir), **QUICK["gbt"])[1]
 
 
 @query
@@ -633,9 +651,11 @@ def report_build(spark, sf_dir):
 
 @query
 def report_lookup(spark, sf_dir):
-    reports = _reports(spark, sf_dir)
-    wanted = reports.agg(F.min("report_id")).first()[0]
-    return R.lookup_report(reports, wanted).select("report_id", "filename", "code")
+    path = run_dir(spark, "reports")
+    tables.write_reports(_reports(spark, sf_dir), path)
+    stored = tables.read_reports(spark, path)
+    wanted = stored.agg(F.min("report_id")).first()[0]
+    return R.lookup_report(stored, wanted).select("report_id", "filename", "code")
 
 
 @query

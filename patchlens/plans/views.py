@@ -141,6 +141,11 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit_hash, diff_text): diff d is the patch of commit 2d."""
+    return diffs(spark, sf_dir).select(_md5(F.col("diff_id") * 2).alias("commit_hash"), "diff_text")
+
+
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File snapshots (commit_hash, path, blob): up to ten files per commit."""
     docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0)

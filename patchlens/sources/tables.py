@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchlens import schemas
 from patchlens.functions import constants as K
-from patchlens.operators.review import FINDINGS_DDL
+from patchlens.operators.review import FINDINGS_DDL, map_severity
 
 ROWS_PER_FILE = 500_000
 # Quotes doubled, texts kept as they are: "" stays "" and blanks are not trimmed.
@@ -47,9 +48,14 @@ def read_changes(spark: SparkSession, path: str | list[str], format: str = "parq
 
 
 def write_changes(changes: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
-    """One folder per project; a large project is written by many tasks."""
+    """One folder per project.
+
+    Rebalancing gathers small projects, so that tasks do not leave a file each in
+    every folder, and splits a large project over many tasks.
+    """
     (
         changes.select(*schemas.CHANGES.names)
+        .hint("rebalance", "project")
         .write.mode(mode)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy("project")
@@ -75,20 +81,35 @@ def read_labelled_diffs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_lint_reports(spark: SparkSession, path: str, source: str = K.LINTER_SOURCE) -> DataFrame:
+def _plain_finding(e: Column) -> Column:
+    return F.struct(
+        e["_line"].try_cast("int").alias("line"),
+        F.lower(F.coalesce(e["_severity"], F.lit("info"))).alias("severity"),
+        e["_message"].alias("message"),
+        F.lit(K.LINTER_SOURCE).alias("source"),
+    )
+
+
+def _mapped_finding(e: Column) -> Column:
+    return F.struct(
+        F.coalesce(e["_line"].try_cast("int"), F.lit(0)).alias("line"),
+        map_severity(e["_severity"]).alias("severity"),
+        F.coalesce(e["_message"], F.lit("No message provided.")).alias("message"),
+        F.coalesce(e["_source"], F.lit(K.LINTER_SOURCE)).alias("source"),
+    )
+
+
+def read_lint_reports(spark: SparkSession, path: str, mapped: bool = False) -> DataFrame:
     """(filename, findings) from lint report XML, one row per <file> element.
 
-    A missing severity is "info"; a line that is no number is NULL.
+    A missing severity is "info" and a line that is no number is NULL. With
+    ``mapped``, severities become major or minor, a missing line 0, and the
+    rule name is kept as the source.
     """
     files = spark.read.format("xml").option("rowTag", "file").schema(schemas.LINT_FILE).load(path)
     findings = F.transform(
         F.coalesce("error", F.array().cast(schemas.LINT_FILE["error"].dataType)),
-        lambda e: F.struct(
-            e["_line"].try_cast("int").alias("line"),
-            F.lower(F.coalesce(e["_severity"], F.lit("info"))).alias("severity"),
-            e["_message"].alias("message"),
-            F.lit(source).alias("source"),
-        ),
+        _mapped_finding if mapped else _plain_finding,
     )
     return files.select(F.col("_name").alias("filename"), findings.cast(FINDINGS_DDL).alias("findings"))
 
@@ -114,11 +135,19 @@ def write_lint_reports(findings: DataFrame, path: str) -> None:
 
 
 def write_reports(reports: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
-    reports.select(*schemas.REPORTS.names).write.mode(mode).format(format).save(path)
+    """One folder per first digit of the id, sorted by id.
+
+    A lookup opens one folder and, in parquet, the row groups that can hold the id.
+    """
+    keyed = reports.select(*schemas.REPORTS.names, F.substring("report_id", 1, 1).alias("id_prefix"))
+    ordered = keyed.hint("rebalance", "id_prefix").sortWithinPartitions("id_prefix", "report_id")
+    ordered.write.mode(mode).partitionBy("id_prefix").format(format).save(path)
 
 
 def read_reports(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.schema(schemas.REPORTS).format(format).load(path)
+    """Reports with their ``id_prefix``."""
+    schema = T.StructType([*schemas.REPORTS.fields, T.StructField("id_prefix", T.StringType())])
+    return spark.read.schema(schema).format(format).load(path)
 
 
 def append_embeddings(new: DataFrame, path: str) -> None:

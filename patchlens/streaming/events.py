@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def project_events(events: DataFrame) -> DataFrame:
     ).drop("_b", "body", "signature")
 
 
-def is_reviewable() -> Column:
+def is_reviewable(actions: Sequence[str] = K.PULL_REQUEST_ACTIONS) -> Column:
     """A pull-request event that opens, updates or reopens a change."""
-    return (F.col("event_type") == K.PULL_REQUEST_EVENT) & F.col("action").isin(*K.PULL_REQUEST_ACTIONS)
+    return (F.col("event_type") == K.PULL_REQUEST_EVENT) & F.col("action").isin(*actions)
 
 
 def review_requests(events: DataFrame, secret: str | None) -> DataFrame:

@@ -26,15 +26,20 @@ def _hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int) -> Column:
     return counts.filter(F.col("count") >= least).agg(F.collect_list("_key")).scalar()
 
 
-def _spread(df: DataFrame, on: Sequence[str], hot: Column, salts: int) -> Column:
-    others = [c for c in df.columns if c not in on] or list(on)
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
-    return F.when(F.array_contains(hot, _key(on)), salt).otherwise(0)
+def _is_hot(on: Sequence[str], hot: Column) -> Column:
+    # without hot keys no row pays for its hash
+    return (F.size(hot) > 0) & F.array_contains(hot, _key(on))
+
+
+def _spread(df: DataFrame, on: Sequence[str], hot: Column, by: Sequence[str] | None, salts: int) -> Column:
+    by = by or [c for c in df.columns if c not in on] or on
+    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    return F.coalesce(F.when(_is_hot(on, hot), salt), F.lit(0))
 
 
 def _repeat(on: Sequence[str], hot: Column, salts: int) -> Column:
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return F.explode_outer(F.when(F.array_contains(hot, _key(on)), every).otherwise(F.array(F.lit(0))))
+    return F.explode_outer(F.when(_is_hot(on, hot), every).otherwise(F.array(F.lit(0))))
 
 
 def salted_join(
@@ -46,24 +51,27 @@ def salted_join(
     hot_rows: int = HOT_ROWS,
     count_left: DataFrame | None = None,
     both_sides: bool = False,
+    left_by: Sequence[str] | None = None,
+    right_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are spread over ``salts`` tasks.
 
     The matching rows of ``right`` are repeated once per salt; rows of all other
     keys take salt 0. ``both_sides`` does the same for hot keys of ``right``.
-    ``count_left`` is a cheaper table with the same keys to count. ``how`` is
-    "inner", or "left" when only the left side is spread.
+    ``count_left`` is a cheaper table with the same keys to count; ``left_by`` and
+    ``right_by`` name short columns that tell the rows of one key apart (default:
+    all columns). ``how`` is "inner", or "left" when only the left side is spread.
     """
     if how != "inner" and (how != "left" or both_sides):
         raise ValueError("salted_join does inner joins, and left joins with a spread left side")
     hot = _hot_keys(left if count_left is None else count_left, on, hot_rows)
-    salted = left.withColumn("_ls", _spread(left, on, hot, salts))
+    salted = left.withColumn("_ls", _spread(left, on, hot, left_by, salts))
     repeated = right.withColumn("_ls", _repeat(on, hot, salts))
     keys = [*on, "_ls"]
     if both_sides:
         hot = _hot_keys(right, on, hot_rows)
         salted = salted.withColumn("_rs", _repeat(on, hot, salts))
-        repeated = repeated.withColumn("_rs", _spread(right, on, hot, salts))
+        repeated = repeated.withColumn("_rs", _spread(right, on, hot, right_by, salts))
         keys.append("_rs")
     return salted.join(repeated, keys, how).drop("_ls", "_rs")
 

@@ -58,7 +58,7 @@ def mine_changes(
     )
     fixes = bugfix_commits(commits, keywords).select("commit_hash", "project", "msg")
     touched = file_changes.filter(has_suffix(F.col("new_path"), suffixes)).select("commit_hash")
-    matched = salted_join(files, fixes, ["commit_hash"], count_left=touched)
+    matched = salted_join(files, fixes, ["commit_hash"], count_left=touched, left_by=["file_path"])
     joined = size_labels(matched, "_size", soft_below)
     columns = [
         "project", "commit_hash", "file_path", "buggy_change", "fixed_change", "buggy_label", "fixed_label",
@@ -85,9 +85,8 @@ def modified_pairs(
     )
     fixes = bugfix_commits(commits, keywords, merges=True).select("commit_hash", "project")
     touched = file_changes.filter(has_suffix(F.col("new_path"), suffixes)).select("commit_hash")
-    return salted_join(files, fixes, ["commit_hash"], count_left=touched).select(
-        "project", "commit_hash", "file_path", "buggy_code", "fixed_code"
-    )
+    matched = salted_join(files, fixes, ["commit_hash"], count_left=touched, left_by=["file_path"])
+    return matched.select("project", "commit_hash", "file_path", "buggy_code", "fixed_code")
 
 
 def latest_commits(
@@ -127,7 +126,7 @@ def changed_files(commits: DataFrame, trees: DataFrame) -> DataFrame:
     base = F.struct(parent.alias("tree"), F.col("commit_hash"), F.lit(False).alias("is_new"))
     roles = children.select(F.inline(F.array(own, base)))
     blobs = trees.select(F.col("commit_hash").alias("tree"), "path", "blob")
-    sides = salted_join(roles, blobs, ["tree"], both_sides=True)
+    sides = salted_join(roles, blobs, ["tree"], both_sides=True, left_by=["commit_hash"], right_by=["path"])
     compared = sides.groupBy("commit_hash", "path").agg(
         F.max(F.when(~F.col("is_new"), F.col("blob"))).alias("old_blob"),
         F.max(F.when(F.col("is_new"), F.col("blob"))).alias("new_blob"),

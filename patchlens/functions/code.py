@@ -35,6 +35,7 @@ BINARY_OPERATORS = (
     "&", "|", "^", "<<", ">>", ">>>", "instanceof",
 )
 ASSIGNMENT_OPERATORS = ("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=")
+CONTROL_TOKENS = ("if", "for", "while", "do", "try", "catch", "return", "switch", "case")
 BLOCK_WORDS = ("if", "else", "for", "while", "do", "try", "catch", "finally", "switch")
 # Words that can stand before "(" without being called or declared.
 NOT_CALLABLE = (
@@ -73,9 +74,14 @@ def _one_of(items: Iterable[str]) -> str:
     return "(?:" + "|".join(escaped) + ")"
 
 
-def _token(text: Column, *items: str) -> Column:
-    """Tokens equal to one of the items; the blank after stays for the next match."""
-    return count_pattern(text, rf" {_one_of(items)}(?= )")
+def marked_tokens(text: Column) -> Column:
+    """The tokens that are counted one by one, in order: a short array, from one pass."""
+    items = (*CONTROL_TOKENS, *BINARY_OPERATORS, *ASSIGNMENT_OPERATORS)
+    return F.regexp_extract_all(text, F.lit(rf" ({_one_of(items)})(?= )"), F.lit(1))
+
+
+def _token(marked: Column, *items: str) -> Column:
+    return F.size(F.filter(marked, lambda t: t.isin(*items))).cast("long")
 
 
 def _declarators(text: Column, ends: str) -> Column:
@@ -92,8 +98,8 @@ def _ternaries(text: Column) -> Column:
     return count_pattern(text, r" (?<! [<,] )\?(?= )")
 
 
-def construct_counts(text: Column) -> dict[str, Column]:
-    """Construct counts from :func:`token_text`."""
+def construct_counts(text: Column, marked: Column) -> dict[str, Column]:
+    """Construct counts from :func:`token_text` and :func:`marked_tokens`."""
     not_callable = _one_of(NOT_CALLABLE)
     methods = count_pattern(
         text,
@@ -109,18 +115,18 @@ def construct_counts(text: Column) -> dict[str, Column]:
     new_arrays = count_pattern(text, rf" new {WORD} \[(?= [^\]])")
     return {
         "methods": methods,
-        "ifs": _token(text, "if"),
-        "loops": _token(text, "for", "while"),
-        "tries": _token(text, "try"),
-        "catches": _token(text, "catch"),
+        "ifs": _token(marked, "if"),
+        "loops": _token(marked, "for", "while"),
+        "tries": _token(marked, "try"),
+        "catches": _token(marked, "catch"),
         "variables": _declarators(text, "=;"),
-        "return_statements": _token(text, "return"),
+        "return_statements": _token(marked, "return"),
         "method_invocations": calls - methods,
-        "binary_operations": _token(text, *BINARY_OPERATORS),
+        "binary_operations": _token(marked, *BINARY_OPERATORS),
         "null_checks": count_pattern(text, r" (?<= null )(?:==|!=)(?= )| (?:==|!=)(?= null )"),
-        "assignments": _token(text, *ASSIGNMENT_OPERATORS) - _declarators(text, "="),
+        "assignments": _token(marked, *ASSIGNMENT_OPERATORS) - _declarators(text, "="),
         "classes": count_pattern(text, r" (?<! \. )class(?= )"),
-        "switch_statements": _token(text, "switch"),
+        "switch_statements": _token(marked, "switch"),
         "ternary_expressions": _ternaries(text),
         "array_accesses": elements - new_arrays,
         "cast_expressions": count_pattern(
@@ -130,13 +136,9 @@ def construct_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def cyclomatic(text: Column) -> dict[str, Column]:
+def cyclomatic(text: Column, marked: Column) -> dict[str, Column]:
     """Decision points + 1; the narrow form does not count do-loops."""
-    # the same terms as in construct_counts, so that they are computed once
-    points = (
-        _token(text, "if") + _token(text, "for", "while") + _token(text, "catch")
-        + _token(text, "case", "&&", "||") + _ternaries(text)
-    )
+    points = _token(marked, "if", "for", "while", "case", "catch", "&&", "||") + _ternaries(text)
     return {
         "complexity": points + 1,
         "complexity_without_do": points + 1 - count_pattern(text, r" do(?= \{ )"),

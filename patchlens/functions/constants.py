@@ -31,6 +31,7 @@ FORCE_RISK_MARKER = "FORCE_RISK"
 PULL_REQUEST_EVENT = "pull_request"
 PULL_REQUEST_ACTIONS = ("opened", "synchronize", "reopened")
 LINTER_SOURCE = "Checkstyle"
+NO_LINT_MESSAGE = "No message provided."
 REVIEWER_SOURCE = "LLM"
 
 # --- fixed values: TF-IDF risk ------------------------------------------------

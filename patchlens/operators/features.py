@@ -64,11 +64,11 @@ def code_metrics(df: DataFrame, code_col: str = "code") -> DataFrame:
     tokenised = df.withColumn("_tok", C.tokens(F.col(code_col))).withColumns(
         {**C.size_counts(F.col(code_col)), "_text": C.token_text(F.col("_tok"))}
     )
-    toks, text = F.col("_tok"), F.col("_text")
-    counted = tokenised.withColumns(
+    toks, text, marked = F.col("_tok"), F.col("_text"), F.col("_marked")
+    counted = tokenised.withColumn("_marked", C.marked_tokens(text)).withColumns(
         {
-            **C.construct_counts(text),
-            **C.cyclomatic(text),
+            **C.construct_counts(text, marked),
+            **C.cyclomatic(text, marked),
             "nesting_depth": C.nesting_depth(toks),
             **C.halstead(toks),
         }
@@ -101,7 +101,7 @@ def code_metrics(df: DataFrame, code_col: str = "code") -> DataFrame:
             "halstead_volume": C.volume(vocabulary),
         }
     )
-    metrics = [m for m in measured.columns if m not in {*df.columns, "_tok", "_text", "is_blank"}]
+    metrics = [m for m in measured.columns if m not in {*df.columns, "_tok", "_text", "_marked", "is_blank"}]
     zeroed = [F.when(c("is_blank"), F.lit(0)).otherwise(c(m)).alias(m) for m in metrics]
     return measured.select(*df.columns, *zeroed)
 

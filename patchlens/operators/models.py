@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -17,8 +17,16 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import basic_features, or_empty
-from patchlens.operators.features import BASIC_FEATURES, text_features
-from patchlens.operators.prep import balanced_weights, hash_folds, hash_split, labelled_samples
+from patchlens.operators.features import BASIC_FEATURES, CODE_VECTOR_20, code_metrics, text_features
+from patchlens.operators.prep import (
+    balanced_weights,
+    drop_all_zero,
+    drop_outliers,
+    hash_folds,
+    hash_split,
+    labelled_samples,
+    select_features,
+)
 from patchlens.session import materialize
 
 SEED = 42
@@ -42,12 +50,27 @@ def classifier(kind: str, label_col: str, weight_col: str | None, **params):
     return stage.setWeightCol(weight_col) if weight_col else stage
 
 
-def pipeline(feature_cols: Sequence[str], kind: str, label_col: str = "label", weight_col: str | None = None, **params) -> Pipeline:
-    """Assemble, scale and classify, as one unit that is fitted and saved together."""
+def pipeline(
+    feature_cols: Sequence[str],
+    kind: str,
+    label_col: str = "label",
+    weight_col: str | None = None,
+    scaler: str = "standard",
+    **params,
+) -> Pipeline:
+    """Assemble, scale and classify, as one unit that is fitted and saved together.
+
+    Feature columns are numbers or vectors. ``scaler`` is "standard" (mean and
+    deviation) or "robust" (median and quartile range).
+    """
+    scale = {
+        "standard": lambda: StandardScaler(withMean=True, withStd=True),
+        "robust": lambda: RobustScaler(withCentering=True, withScaling=True),
+    }[scaler]()
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(feature_cols), outputCol="raw_features", handleInvalid="skip"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+            scale.setInputCol("raw_features").setOutputCol("features"),
             classifier(kind, label_col, weight_col, **params),
         ]
     )
@@ -159,6 +182,31 @@ def train_risk_model(
     return model, tested.select("sample_id", "label", "score", "prediction")
 
 
+def train_code_ensemble(
+    pairs: DataFrame, k: int = 15, train_share: float = 0.8, seed: int = SEED, params: dict[str, dict] | None = None
+) -> tuple[list[PipelineModel], list[str], DataFrame]:
+    """Whole-file pairs to a soft vote of forest and boosted trees on code metrics.
+
+    Rows without any metric and outliers are left out, the ``k`` features with the
+    largest ANOVA F are kept, and features are scaled robustly; everything that
+    is fitted sees the training split only. Returns the models, the chosen
+    features and the scored test split.
+    """
+    samples = labelled_samples(pairs, suffix="code").select("sample_id", "snippet", "label")
+    metrics = code_metrics(samples, "snippet").select("sample_id", "label", *CODE_VECTOR_20)
+    table = materialize(hash_split(metrics, "sample_id", train_share, seed), "code-metrics")
+    kept = drop_all_zero(table, CODE_VECTOR_20)
+    fitting = drop_outliers(kept.filter(F.col("split") == "train"), CODE_VECTOR_20)
+    fitting = materialize(balanced_weights(fitting), "code-training")
+    chosen = select_features(fitting, CODE_VECTOR_20, k=k)
+    models = [
+        train(fitting, chosen, kind=kind, weight_col="weight", scaler="robust", **(params or {}).get(kind, {}))
+        for kind in ("rf", "gbt")
+    ]
+    tested = soft_vote(models, kept.filter(F.col("split") == "test"))
+    return models, chosen, tested.select("sample_id", "label", "score", "prediction")
+
+
 def feature_importance(model: PipelineModel, feature_cols: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` features of a fitted tree model by importance."""
     values = model.stages[-1].featureImportances.toArray()

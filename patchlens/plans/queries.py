@@ -311,8 +311,9 @@ def code_vector20(spark, sf_dir):
 
 
 def _samples(spark, sf_dir, group="basic"):
+    """A stored feature table: the operators below read numbers several times, no texts."""
     samples = P.labelled_samples(views.changes(spark, sf_dir))
-    return X.text_features(samples, "snippet", [group]).drop("snippet")
+    return materialize(X.text_features(samples, "snippet", [group]).drop("snippet"), "features")
 
 
 @query
@@ -384,7 +385,7 @@ def prep_outliers(spark, sf_dir):
 def prep_drop_allzero(spark, sf_dir):
     """Documents whose distinct operator, try and array counts are not all zero."""
     cols = ("tries", "array_accesses", "switch_statements")
-    return P.drop_all_zero(_code(spark, sf_dir, *cols), cols)
+    return P.drop_all_zero(materialize(_code(spark, sf_dir, *cols), "features"), cols)
 
 
 @query
@@ -524,6 +525,12 @@ def ml_soft_vote(spark, sf_dir):
     return L.soft_vote(models, test).select("sample_id", "label", "score", "prediction")
 
 
+@query
+def ml_code_ensemble(spark, sf_dir):
+    pairs = M.modified_pairs(views.commits(spark, sf_dir), views.file_changes(spark, sf_dir))
+    return L.train_code_ensemble(pairs, params=QUICK)[2]
+
+
 @query
 def ml_cv(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)

@@ -94,7 +94,7 @@ def _mapped_finding(e: Column) -> Column:
     return F.struct(
         F.coalesce(e["_line"].try_cast("int"), F.lit(0)).alias("line"),
         map_severity(e["_severity"]).alias("severity"),
-        F.coalesce(e["_message"], F.lit("No message provided.")).alias("message"),
+        F.coalesce(e["_message"], F.lit(K.NO_LINT_MESSAGE)).alias("message"),
         F.coalesce(e["_source"], F.lit(K.LINTER_SOURCE)).alias("source"),
     )
 

@@ -109,3 +109,34 @@ def test_scoring_and_marker(spark, models):
     assert [got[k]["risky"] for k in "abc"] == [1, 0, 1]
     assert got["c"]["prediction"] == 0.0 and got["d"]["risky"] in (0, 1) and got["e"]["prediction"] in (0.0, 1.0)
     assert L.triage(L.score_snippets(df, models["gbt"]), marker=None).filter("id = 'c'").first()["risky"] == 0
+
+
+def test_vector_and_number_columns_together(train, test):
+    from pyspark.ml.functions import array_to_vector
+
+    def with_vector(df):
+        return df.withColumn("embedding", array_to_vector(F.array(F.col("num_lines") / 10.0, F.lit(1.0))))
+
+    model = L.train(with_vector(train), ["embedding", "keyword_count"], kind="lr", scaler="robust")
+    assert V.accuracy(model.transform(with_vector(test))).first()[0] > 0.95
+
+
+def test_code_ensemble(spark):
+    good = "int add(int a, int b) { return a + b; }\n"
+    bad = "int add(int a, int b) { if (a == null) { try { f(); } catch (E e) { throw e; } } return a; }\n"
+    rows = [("kit", f"c{i}", "a.java", bad * (1 + i % 5), good * (1 + i % 4)) for i in range(120)]
+    from patchlens import schemas
+
+    models, chosen, scored = L.train_code_ensemble(
+        spark.createDataFrame(rows, schemas.SOURCE_PAIRS), k=5, params={"rf": {"numTrees": 5}, "gbt": {"maxIter": 3}}
+    )
+    assert len(models) == 2 and len(chosen) == 5
+    assert V.accuracy(scored).first()[0] > 0.95
+
+
+def test_risk_model_job(spark):
+    from patchlens import schemas
+
+    rows = [("kit", f"c{i}", "a.java", "if (x == null) { }\n" * (9 + i % 3), "calm\n" * (1 + i % 3), 1.0, 0.0) for i in range(150)]
+    model, tested = L.train_risk_model(spark.createDataFrame(rows, schemas.CHANGES), maxIter=3)
+    assert V.accuracy(tested).first()[0] > 0.95 and len(model.stages) == 3

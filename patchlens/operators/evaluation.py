@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.operators.ranks import running_totals
-from patchlens.session import materialize
 
 
 def accuracy(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -82,12 +81,12 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score")
     """Area under the ROC curve as the Mann-Whitney statistic, ties at one half.
 
     Rows are first counted per score, so equal scores never pile up, and running
-    totals are taken bucket by bucket; the result is exact.
+    totals are taken range by range; the result is exact.
     """
     per_score = predictions.groupBy(F.lit("all").alias("_g"), F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    ranked = running_totals(materialize(per_score, "score-counts"), "_g", "_score", ["neg"])
+    ranked = running_totals(per_score, "_g", "_score", ["neg"])
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))

@@ -9,36 +9,31 @@ from pyspark.sql import functions as F
 
 from patchlens.session import materialize
 
-BUCKETS = 256
-
 
 def running_totals(
-    counts: DataFrame, group: str, order: str, totals: Sequence[str], buckets: int = BUCKETS
+    counts: DataFrame, group: str, order: str, totals: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
-    """Adds ``<t>_before``: the sum of ``t`` over smaller ``order`` values of the group.
-
-    Also adds ``<t>_total`` of the group. ``counts`` has one row per (group,
-    order) and few groups; it is read several times, so pass a written table.
-    Approximate quantiles of the distinct values cut each group into buckets of
-    similar size; exact totals per bucket give every bucket its offset, and only
-    rows of one bucket are ranked together. Where the cuts fall does not change
-    a result.
+    """Adds ``<t>_before``, the sum of ``t`` over smaller ``order`` values of the group.
+
+    Also adds ``<t>_total`` of the group. ``counts`` has one row per (group, order).
+    Rows are range-partitioned by (group, order), so partitions follow the order,
+    and written down with their partition number. Totals per partition give every
+    partition its offset, and only rows of one partition are ranked together.
+    Where the ranges are cut does not change a result.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(group).agg(
-        F.percentile_approx(order, probabilities, 10 * buckets).alias("_cuts"),
-        *[F.sum(t).alias(f"{t}_total") for t in totals],
-    )
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    # one row per group
-    placed = counts.join(F.broadcast(cuts), group).withColumn("_bucket", bucket).drop("_cuts")
+    ranged = counts.repartitionByRange(*([buckets] if buckets else []), group, order)
+    placed = materialize(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
     per_bucket = placed.groupBy(group, "_bucket").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
-    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        group, "_bucket", *[F.coalesce(F.sum(f"_{t}").over(earlier), F.lit(0)).alias(f"_{t}") for t in totals]
+        group,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_{t}").over(earlier), F.lit(0)).alias(f"_{t}") for t in totals],
+        *[F.sum(f"_{t}").over(whole).alias(f"{t}_total") for t in totals],
     )
     inside = Window.partitionBy(group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # at most `buckets` rows per group
+    # at most one row per partition and group
     return placed.join(F.broadcast(offsets), [group, "_bucket"]).select(
         *counts.columns,
         *[f"{t}_total" for t in totals],
@@ -59,7 +54,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[
         .groupBy("feature", "value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(materialize(counts, "value-counts"), "feature", "value", ["n"])
+    ranked = running_totals(counts, "feature", "value", ["n"])
 
     def value_at(rank):
         holds = (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))

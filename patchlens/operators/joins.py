@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 64 * 1024 * 1024  # bytes of JSON text of the rows
+BROADCAST_ROWS = 100_000  # of a table limited to that many short rows
 SALTS = 32
 # A key is hot when it owns more than this share of the rows, so there are at
 # most 1 / HOT_SHARE hot keys, whatever the size of the table.
@@ -76,6 +77,11 @@ def salted_join(
     return salted.join(repeated, keys, how).drop("_ls", "_rs")
 
 
+def limited_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table cut to ``rows`` short rows, when that is few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a table as JSON text, from one pass that returns one number."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))

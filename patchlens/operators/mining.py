@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import has_suffix, mentions_any, project_name
-from patchlens.operators.joins import salted_join
+from patchlens.operators.joins import limited_broadcast, salted_join
 
 
 def bugfix_commits(
@@ -140,10 +140,10 @@ def changed_files(commits: DataFrame, trees: DataFrame) -> DataFrame:
 def commit_diffs(commits: DataFrame, patches: DataFrame, n: int = K.LATEST_COMMITS) -> DataFrame:
     """Non-empty patches (commit_hash, path, diff_text) of the newest commits, roots left out.
 
-    At most ``n`` commit hashes are broadcast; patches are never shuffled.
+    The ``n`` commit hashes are broadcast, so patches are not shuffled.
     """
     latest = latest_commits(commits, n).filter(F.size("parents") > 0).select("commit_hash")
-    return patches.filter(F.col("diff_text") != "").join(F.broadcast(latest), "commit_hash", "left_semi")
+    return patches.filter(F.col("diff_text") != "").join(limited_broadcast(latest, n), "commit_hash", "left_semi")
 
 
 def append_corpora(*corpora: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import term_counts, words
+from patchlens.operators.joins import limited_broadcast
 from patchlens.session import materialize
 
 
@@ -45,7 +46,7 @@ def tfidf_risk(
     risky = F.col("_t.term").isin(*[t.lower() for t in risky_tokens])
     scores = (
         counted.select(id_col, F.explode_outer("_terms").alias("_t"))
-        .join(F.broadcast(terms), F.col("_t.term") == F.col("term"), "left")
+        .join(limited_broadcast(terms, vocabulary), F.col("_t.term") == F.col("term"), "left")
         .groupBy(id_col)
         .agg(
             F.sqrt(F.sum(weight * weight)).alias("_norm"),

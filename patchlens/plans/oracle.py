@@ -563,6 +563,8 @@ QUERIES: dict[str, str] = {
         SELECT lang, round(a, 6) AS accuracy, n, CASE WHEN a < 0.7 THEN 'below target' WHEN a < 0.8 THEN 'good' ELSE 'excellent' END AS band,
                n < 100 AS small_corpus
         FROM (SELECT lang, avg((label = prediction)::INT) AS a, count(*) AS n FROM predictions JOIN documents USING (doc_id) GROUP BY lang)""",
+    "ml_bundle_roundtrip": f"""
+        SELECT sample_id, label, TRUE AS same FROM samples WHERE {hashed(42, 'sample_id')} % 10000 >= 7500""",
     "triage_override": """
         SELECT doc_id, (doc_id % 2)::INTEGER AS prediction,
                CASE WHEN doc_id % 5 = 0 OR contains(code, 'FORCE_RISK') THEN 1 ELSE (doc_id % 2)::INTEGER END AS risky FROM snippets""",

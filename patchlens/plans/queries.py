@@ -555,10 +555,14 @@ def ml_feature_importance(spark, sf_dir):
 
 @query
 def ml_bundle_roundtrip(spark, sf_dir):
+    """Every test sample with the verdict whether the loaded bundle scores it the same."""
     model, _, test = _fit(spark, sf_dir, "gbt")
     path = run_dir(spark, "bundle")
     bundles.save_bundle(model, path)
-    return _scored(bundles.load_bundle(path), test)
+    before, after = _scored(model, test), _scored(bundles.load_bundle(path), test)
+    again = after.select("sample_id", F.col("score").alias("score2"), F.col("prediction").alias("prediction2"))
+    same = (F.col("score") == F.col("score2")) & (F.col("prediction") == F.col("prediction2"))
+    return before.join(again, "sample_id", "left").select("sample_id", "label", same.alias("same"))
 
 
 @query

@@ -191,10 +191,12 @@ def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same deliveries as a file stream."""
+    """The same deliveries as a file stream.
+
+    The table is one file or a folder of files; only a path pattern reads both.
+    """
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return webhook_columns(events)
+    return webhook_columns(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
 
 
 def pr_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,23 @@ def test_sized_join_chooses_by_size(spark):
     assert sorted(small.collect()) == want and sorted(large.collect()) == want
 
 
+def test_commit_diffs(spark):
+    commits = spark.createDataFrame(
+        [(f"c{i}", [] if i == 9 else ["p"], i) for i in range(10)],
+        "commit_hash string, parents array<string>, committed_at long",
+    )
+    patches = spark.createDataFrame(
+        [(f"c{i}", "a", "" if i == 8 else f"+{i}") for i in range(10)], "commit_hash string, path string, diff_text string"
+    )
+    # the newest four are 9 (a root), 8 (nothing in its patch), 7 and 6
+    assert sorted(r["commit_hash"] for r in M.commit_diffs(commits, patches, 4).collect()) == ["c6", "c7"]
+
+
+def test_append_corpora(spark):
+    mined = M.mine_changes(*corpus(spark))
+    assert M.append_corpora(mined, mined.select(*reversed(mined.columns))).count() == 2 * mined.count()
+
+
 def test_corpus_counts(spark):
     rows = {r["project"]: r for r in M.corpus_counts(M.mine_changes(*corpus(spark))).collect()}
     assert (rows["kit"]["n_changes"], rows["kit"]["n_commits"], rows["kit"]["n_soft"]) == (5, 3, 3)

@@ -85,6 +85,43 @@ def test_exported_history(spark, tmp_path):
     assert tables.read_file_changes(spark, str(tmp_path / "f.json")).select(F.size("deleted")).first()[0] == 1
 
 
+def test_stored_reports_are_found_by_id(spark, tmp_path):
+    from patchlens.operators.reports import lookup_report
+
+    ids = [f"{i:x}{'ab' * 4}" for i in range(16)] + ["0e12", "1e5"]
+    rows = [(i, "r", 1, "s", "a.java", [(1, "error", "m", "Checkstyle")], "code") for i in ids]
+    tables.write_reports(spark.createDataFrame(rows, schemas.REPORTS), str(tmp_path / "reports"))
+    stored = tables.read_reports(spark, str(tmp_path / "reports"))
+    assert sorted(r["report_id"] for r in stored.collect()) == sorted(ids)
+    for wanted in ids:
+        assert [r["report_id"] for r in lookup_report(stored, wanted).collect()] == [wanted]
+    assert lookup_report(stored, "feed").count() == 0
+    plan = lookup_report(stored, "1e5")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(id_prefix" in plan and "EqualTo(report_id,1e5)" in plan
+
+
+def test_large_project_is_spread_over_files(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 < 9, "big").otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("project"),
+        F.md5(F.col("id").cast("string")).alias("commit_hash"),
+        F.lit("a.java").alias("file_path"),
+        F.sha2(F.col("id").cast("string"), 512).alias("buggy_change"),
+        F.sha2((-F.col("id")).cast("string"), 512).alias("fixed_change"),
+        F.lit(1.0).alias("buggy_label"),
+        F.lit(0.0).alias("fixed_label"),
+    )
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        tables.write_changes(rows.repartition(16), str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "c").iterdir() if p.is_dir()}
+    assert files["project=big"] > 1
+    assert all(n == 1 for name, n in files.items() if name != "project=big")
+    assert tables.read_changes(spark, str(tmp_path / "c")).count() == 40_000
+
+
 def test_embedding_cache_grows(spark, tmp_path):
     path = str(tmp_path / "cache")
     for key in ("a", "b"):

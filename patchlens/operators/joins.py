@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 64 * 1024 * 1024  # bytes of JSON text of the rows
 BROADCAST_ROWS = 100_000  # of a table limited to that many short rows
+PRUNE_VALUES = 1000  # of a key, sent to a scan as a filter
 SALTS = 32
 # A key is hot when it owns more than this share of the rows, so there are at
 # most 1 / HOT_SHARE hot keys, whatever the size of the table.
@@ -88,6 +89,11 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(size.alias("bytes")).first()["bytes"] or 0
 
 
+def _pruned(large: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    found = small.select(key).distinct().limit(PRUNE_VALUES + 1).collect()
+    return large.filter(F.col(key).isin([r[0] for r in found])) if len(found) <= PRUNE_VALUES else large
+
+
 def sized_join(
     large: DataFrame,
     small: DataFrame,
@@ -95,12 +101,17 @@ def sized_join(
     how: str = "inner",
     limit: int = BROADCAST_LIMIT,
     count_large: DataFrame | None = None,
+    prune_by: str | None = None,
 ) -> DataFrame:
     """Broadcast ``small`` when its measured size allows it, else join by salted keys.
 
     ``small`` is read more than once, so pass a table that is written down
     already. ``count_large`` is a cheaper table with the keys of ``large``.
+    ``prune_by`` is a key that ``large`` may be partitioned or sorted by: when
+    ``small`` has few values of it, the scan of an inner join gets them as a filter.
     """
     if measured_bytes(small) <= limit:
+        if prune_by and how == "inner":
+            large = _pruned(large, small, prune_by)
         return large.join(F.broadcast(small), list(on), how)
     return salted_join(large, small, on, how, count_left=count_large, both_sides=how == "inner")

@@ -43,7 +43,8 @@ def attach_code(flags: DataFrame, files: DataFrame, limit: int = BROADCAST_LIMIT
     keys = ["repo", "filename", "head_sha"]
     named = files.withColumnsRenamed({"path": "filename", "ref": "head_sha"})
     texts = named.filter(F.col("code") != "").select(*keys, "code")
-    return sized_join(texts, flags, keys, limit=limit, count_large=named.select(*keys)).select(*FLAG_KEYS, "code")
+    joined = sized_join(texts, flags, keys, limit=limit, count_large=named.select(*keys), prune_by="repo")
+    return joined.select(*FLAG_KEYS, "code")
 
 
 def build_reports(flags: DataFrame, files: DataFrame, analyzers: Sequence[Analyzer], limit: int = BROADCAST_LIMIT) -> DataFrame:

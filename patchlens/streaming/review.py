@@ -25,10 +25,13 @@ def review_batch(
     """Reports for a table of review requests (repo, pr, head_sha).
 
     Requests and flagged sections are narrow and written down before they are
-    joined, so their measured size chooses between broadcast and shuffle.
+    joined, so their measured size chooses between broadcast and shuffle. When
+    ``diffs`` and ``files`` are partitioned by repo, a batch opens its repos only.
     """
     wanted = materialize(requests.select("repo", "pr", "head_sha").distinct(), "requests")
-    changed = sized_join(diffs.select("repo", "pr", "diff_text"), wanted, ["repo", "pr"])
+    changed = sized_join(
+        diffs.select("repo", "pr", "diff_text"), wanted, ["repo", "pr"], count_large=diffs.select("repo", "pr"), prune_by="repo"
+    )
     snippets = parse_diffs(changed, "diff_text").filter(has_suffix(F.col("filename")))
     return build_reports(flagged(scorer(snippets)), files, analyzers)
 

@@ -147,6 +147,17 @@ def test_append_corpora(spark):
     assert M.append_corpora(mined, mined.select(*reversed(mined.columns))).count() == 2 * mined.count()
 
 
+def test_sized_join_prunes_partitions(spark, tmp_path):
+    large = spark.range(300).select((F.col("id") % 30).cast("string").alias("repo"), F.col("id").alias("pr"))
+    large.write.partitionBy("repo").parquet(str(tmp_path / "large"))
+    stored = spark.read.schema("repo string, pr long").parquet(str(tmp_path / "large"))
+    small = spark.createDataFrame([("3", 3), ("4", 34), ("4", 35)], "repo string, pr long")
+    joined = sized_join(stored, small, ["repo", "pr"], prune_by="repo")
+    assert sorted(map(tuple, joined.collect())) == [("3", 3), ("4", 34)]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [repo" in plan and "IN (3,4)" in plan
+
+
 def test_corpus_counts(spark):
     rows = {r["project"]: r for r in M.corpus_counts(M.mine_changes(*corpus(spark))).collect()}
     assert (rows["kit"]["n_changes"], rows["kit"]["n_commits"], rows["kit"]["n_soft"]) == (5, 3, 3)

@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
         FROM snippets GROUP BY 1""",
     "pairs": r"""
         SELECT a.doc_id // 2 AS k, a.source, a.path, a.code AS before, b.code AS after
-        FROM snippets a JOIN snippets b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0""",
+        FROM snippets a JOIN snippets b ON b.doc_id = a.doc_id + 1 AND b.doc_id // 2 = a.doc_id // 2""",
     "sized_pairs": r"""
         SELECT *, len(string_split(before, chr(10))) + len(string_split(after, chr(10))) AS size FROM pairs""",
     "changes": r"""
@@ -107,7 +107,7 @@ VIEWS: dict[str, str] = {
         SELECT k, md5(k::VARCHAR) AS commit_hash, 'https://example.com/' || source || '.git' AS project_url, source,
                (['Fix null check', 'Add feature', 'Refactor io', 'Resolve issue', 'Prefix rename'])[k % 5 + 1] AS msg,
                CASE WHEN k = 0 THEN 0 WHEN k % 10 = 9 THEN 2 ELSE 1 END AS n_parents, 1704067200 + 60 * k AS committed_at
-        FROM (SELECT doc_id // 2 AS k, source FROM documents WHERE doc_id % 2 = 0)""",
+        FROM (SELECT doc_id // 2 AS k, arg_min(source, doc_id) AS source FROM documents GROUP BY 1)""",
     "fixes": r"""
         SELECT * FROM commits WHERE n_parents < 2 AND regexp_matches(lower(msg), 'fix|bug|resolve|patch|defect|error')""",
     "mined": r"""
@@ -274,9 +274,9 @@ VIEWS: dict[str, str] = {
                ({lint('content')}) > 0 OR contains(content, 'FORCE_RISK') AS risky
         FROM parsed WHERE filename LIKE '%.java'""",
     "pr_files": r"""
-        SELECT 'org/r' || (doc_id // 4) % 10 AS repo, path AS filename, md5('head' || (doc_id // 4)) AS head_sha,
+        SELECT 'org/r' || (doc_id // 4) % 10 AS repo, path || CASE WHEN doc_id % 10 = 7 THEN '.moved' ELSE '' END AS filename, md5('head' || (doc_id // 4)) AS head_sha,
                CASE WHEN doc_id % 10 = 5 THEN '' ELSE code END AS code, doc_id
-        FROM snippets WHERE doc_id % 10 <> 7""",
+        FROM snippets""",
     "attached": r"""
         SELECT t.repo, t.pr, t.head_sha, t.pos, t.filename, f.code, f.doc_id,
                sha256(concat_ws('|', t.repo, t.pr, t.head_sha, t.pos, t.filename)) AS report_id

@@ -77,12 +77,16 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, source, path, before, after): documents 2k and 2k + 1 as two versions."""
-    docs = snippets(spark, sf_dir)
-    even = docs.filter(F.col("doc_id") % 2 == 0).select(
-        _div("doc_id", 2).alias("k"), "source", "path", F.col("code").alias("before")
+    docs = snippets(spark, sf_dir).withColumn("k", _div("doc_id", 2))
+    # two rows per group
+    versions = docs.groupBy("k").agg(
+        F.min_by("source", "doc_id").alias("source"),
+        F.min_by("path", "doc_id").alias("path"),
+        F.min_by("code", "doc_id").alias("before"),
+        F.max_by("code", "doc_id").alias("after"),
+        F.count("*").alias("n"),
     )
-    odd = docs.filter(F.col("doc_id") % 2 == 1).select(_div("doc_id", 2).alias("k"), F.col("code").alias("after"))
-    return even.join(odd, "k")
+    return versions.filter("n = 2").drop("n")
 
 
 def _md5(column: Column) -> Column:
@@ -105,14 +109,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per pair; the first has no parent, every tenth is a merge."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0)
+    docs = table(spark, sf_dir, "documents")
     k = F.col("k")
     parents = (
         F.when(k == 0, F.array().cast("array<string>"))
         .when(k % 10 == 9, F.array(_md5(k - 1), _md5(k - 2)))
         .otherwise(F.array(_md5(k - 1)))
     )
-    return docs.select(_div("doc_id", 2).alias("k"), "source").select(
+    return docs.groupBy(_div("doc_id", 2).alias("k")).agg(F.min_by("source", "doc_id").alias("source")).select(
         _md5(k).alias("commit_hash"),
         F.concat(F.lit("https://example.com/"), "source", F.lit(".git")).alias("project_url"),
         _pick(MESSAGES, k).alias("msg"),
@@ -148,10 +152,11 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File snapshots (commit_hash, path, blob): up to ten files per commit."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0)
-    files = docs.select(
-        _div("doc_id", 2).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("p")
-    ).filter((F.col("k") + F.col("p")) % 7 != 0)
+    docs = table(spark, sf_dir, "documents").select(_div("doc_id", 2).alias("k")).distinct()
+    # a file is absent from every seventh commit
+    files = docs.select("k", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("p")).filter(
+        (F.col("k") + F.col("p")) % 7 != 0
+    )
     own = (F.col("k") + F.col("p")) % 3 == 0
     name = F.col("p").cast("string")
     return files.select(
@@ -211,17 +216,14 @@ def pr_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, ref, code) at the head commits; some are empty, some missing."""
+    """(repo, path, ref, code) at the head commits; some are empty, some were moved."""
     d = _div("doc_id", 4)
-    return (
-        snippets(spark, sf_dir)
-        .filter(F.col("doc_id") % 10 != 7)
-        .select(
-            F.concat(F.lit("org/r"), (d % 10).cast("string")).alias("repo"),
-            "path",
-            F.md5(F.concat(F.lit("head"), d.cast("string"))).alias("ref"),
-            F.when(F.col("doc_id") % 10 == 5, "").otherwise(F.col("code")).alias("code"),
-        )
+    moved = F.when(F.col("doc_id") % 10 == 7, ".moved").otherwise("")
+    return snippets(spark, sf_dir).select(
+        F.concat(F.lit("org/r"), (d % 10).cast("string")).alias("repo"),
+        F.concat("path", moved).alias("path"),
+        F.md5(F.concat(F.lit("head"), d.cast("string"))).alias("ref"),
+        F.when(F.col("doc_id") % 10 == 5, "").otherwise(F.col("code")).alias("code"),
     )
 
 

@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 from patchlens.operators import diffs as D
 
 
-def parse_reference(text):
-    """The contract, line by line."""
-    found, name, content = [], None, []
-
-    def close():
-        if name and content:
-            found.append((name, "\n".join(content)))
-
-    for line in text.splitlines():
-        if line.startswith("diff --git"):
-            close()
-            content = []
-            parts = line.split(" ")
-            name = parts[2][2:] if len(parts) >= 4 else name
-        elif line.startswith("+") and not line.startswith("+++"):
-            content.append(line[1:])
-    close()
+def expected_sections(text):
+    """The contract, section by section."""
+    lines = text.splitlines()
+    starts = [i for i, line in enumerate(lines) if line.startswith(D.HEADER)]
+    found, name = [], ""
+    for start, end in zip(starts, [*starts[1:], len(lines)]):
+        words = lines[start].split(" ")
+        name = words[2][2:] if len(words) > 3 else name
+        added = [line.removeprefix("+") for line in lines[start + 1 : end] if re.match(r"\+(?!\+\+)", line)]
+        if name and added:
+            found.append((name, "\n".join(added)))
     return found
 
 
@@ -58,7 +53,7 @@ def parsed(spark, texts):
 
 
 def test_parse_edges(spark):
-    assert parsed(spark, EDGE_DIFFS) == {k: parse_reference(v) for k, v in EDGE_DIFFS.items()}
+    assert parsed(spark, EDGE_DIFFS) == {k: expected_sections(v) for k, v in EDGE_DIFFS.items()}
 
 
 def test_parse_random(spark):
@@ -69,7 +64,7 @@ def test_parse_random(spark):
         str(i): "".join(rng.choice(pieces) + rng.choice(["\n", "\n", "\r\n", "\r"]) for _ in range(rng.randint(0, 25)))
         for i in range(300)
     }
-    assert parsed(spark, texts) == {k: parse_reference(v) for k, v in texts.items()}
+    assert parsed(spark, texts) == {k: expected_sections(v) for k, v in texts.items()}
 
 
 def test_null_diff(spark):

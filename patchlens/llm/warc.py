@@ -25,23 +25,25 @@ _SPACE = uuid.UUID("6f0c8f8e-5c0f-4f0e-9d1a-3b7a5a1f2c11")
 _READ = 1 << 20
 
 
-def page_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): what is written for every row of ``pages``.
-
-    The payload is the html in UTF-8, nothing for a null. Of the rows with equal payloads of
-    ``min_revisit`` bytes or more, those with the largest id are responses and the others
-    revisit it; repeated rows of the largest id are all responses. A row without an id is a
-    revisit if a row with an id has its payload, else a response. Other columns are not read.
-    """
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, digest) of every row of ``pages``: the html in UTF-8, nothing for a null."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.filter(F.octet_length("payload") >= min_revisit)
-    equal = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    equal = equal.filter("n > 1 AND original IS NOT NULL").select("digest", "original")
-    found = rows.join(equal, "digest", "left")
-    other = ~F.col("page_id").eqNullSafe(F.col("original"))
-    return found.select("page_id", "url", "payload", "digest", F.when(other, F.col("original")).alias("refers_to"))
+    return rows.withColumn("digest", F.sha1("payload"))
+
+
+def revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, digest, refers_to): the records whose payload another one holds.
+
+    Of the records with equal payloads of ``min_revisit`` bytes or more, those with the largest
+    id are responses and the others revisit it; repeated rows of the largest id are all
+    responses. A record without an id is a revisit if one with an id has its payload.
+    """
+    large = records.filter(F.octet_length("payload") >= min_revisit).groupBy("page_id", "digest").agg(F.count("*").alias("n"))
+    equal = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    equal = equal.filter("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
+    found = large.select("page_id", "digest").join(equal, "digest")
+    return found.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def _record_id(page_id: int | None, digest: str, place: int) -> str:
@@ -140,26 +142,32 @@ _MANIFEST = pa.schema(
 MANIFEST_SCHEMA = "file string, first_page long, last_page long, records long, bytes long, sha256 string"
 
 
-def write_archive(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE) -> None:
-    """Write ``records`` (of ``page_records``) as gzipped WARC files with a manifest.
+def write_archive(
+    records: DataFrame, seen: DataFrame, folder: str, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE
+) -> None:
+    """Write ``records`` (of ``payloads``) as gzipped WARC files with a manifest; those in ``seen`` (of ``revisits``) as revisits.
 
     Records are range-partitioned and sorted by page id, so every task writes a range of ids
-    and the same rows give the same bytes. A file is closed at ``file_bytes`` compressed bytes
-    and gets its name when it is whole. The manifest, committed by Spark when all tasks have
-    ended, lists the files that count; readers go by it alone, so files of lost tasks do no harm.
-    ``folder`` is a URI of a store that all executors reach.
+    and the same rows give the same bytes. The rows of ``seen`` travel along and sort before
+    the record they decide, which spares a join of the payloads. A file is closed at
+    ``file_bytes`` compressed bytes and gets its name when it is whole. The manifest, committed
+    by Spark when all tasks have ended, lists the files that count; readers go by it alone, so
+    files of lost tasks do no harm. ``folder`` is a URI of a store that all executors reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         context = TaskContext.get()
         roller = _Roller(target, context.partitionId(), context.taskAttemptId(), file_bytes, level, date)
-        before, place, done = None, 0, []
+        before, place, refers_to, done = None, 0, None, []
         for batch in batches:
             for row in batch.to_pylist():
                 own = row["page_id"], row["digest"]
-                place = place + 1 if own == before else 0
-                before = own
-                data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], place, date)
+                if own != before:
+                    before, place, refers_to = own, 0, row["refers_to"]
+                if row["refers_to"] is not None:
+                    continue
+                data = record(row["page_id"], row["url"], row["payload"], row["digest"], refers_to, place, date)
+                place += 1
                 done += roller.add(row["page_id"], data)
         if roller.stream is not None:
             done.append(roller.close())
@@ -167,7 +175,8 @@ def write_archive(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MANIFEST, strict=True)], schema=_MANIFEST)
 
     target = f"{_uri(folder)}/records"
-    ordered = records.repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", "url")
+    both = records.unionByName(seen, allowMissingColumns=True)
+    ordered = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "digest", F.desc_nulls_last("refers_to"), "url")
     ordered.mapInArrow(run, MANIFEST_SCHEMA).write.json(f"{folder}/manifest")
 
 
@@ -263,5 +272,6 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT, **setti
     """Write all ``pages`` to a new folder of the shared store and read the archive back."""
     spark = pages.sparkSession
     folder = run_dir(spark, "warc")
-    write_archive(page_records(pages, min_revisit), folder, **settings)
+    records = payloads(pages)
+    write_archive(records, revisits(records, min_revisit), folder, **settings)
     return read_archive(spark, folder)

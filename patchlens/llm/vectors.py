@@ -7,6 +7,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ LEAF = 512  # vectors of an interval that is compared in full
 LEADING = 16  # principal dimensions of the boxes
 GRID = 4  # principal dimensions of the grid order
 FAN = 8  # intervals under one of the next level
+SPAN = 32  # blocks that a task compares with its own
 MAX_WIDTH = 4096
 
 
@@ -29,15 +31,29 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     Null, empty and zero vectors, and those with a null, NaN or infinite component, have none.
     Components are divided by the largest one first, so that no square over- or underflows.
     """
-    value = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    largest = F.array_max(F.transform("v", F.abs))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0)).filter(~bad).withColumn("m", largest).filter("m > 0")
-    scaled = rows.select("vec_id", F.transform("v", lambda x: x / F.col("m")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = scaled.withColumn("n", norm)
-    return scaled.select("vec_id", F.size("v").alias("size"), F.transform("v", lambda x: x / F.col("n")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+            some = sizes > 0
+            if not some.any():
+                continue
+            starts = (np.cumsum(sizes) - sizes)[some]
+            with np.errstate(all="ignore"):
+                largest = np.maximum.reduceat(np.abs(flat), starts)  # NaN if there is one
+                flat = flat / np.repeat(largest, sizes[some])
+                norm = np.sqrt(np.add.reduceat(flat * flat, starts))
+                flat = flat / np.repeat(norm, sizes[some])
+            good = np.isfinite(largest) & (largest > 0)
+            values = pa.array(flat[np.repeat(good, sizes[some])])
+            ids, sizes = pa.compute.filter(batch.column(0), pa.array(some)), sizes[some][good]
+            offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            columns = [pa.compute.filter(ids, pa.array(good)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "size", "unit"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").mapInArrow(run, "vec_id long, size int, unit array<double>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -85,10 +101,11 @@ def _gap(low_a, high_a, low_b, high_b) -> np.ndarray:
 
 
 def grid_blocks(units: DataFrame, width: int, axes: np.ndarray, threshold: float, block: int) -> DataFrame:
-    """(part, place, ids, sizes, data, low, high): the vectors in epsilon grid order, in blocks.
+    """(number, ids, sizes, data, low, high): the vectors in epsilon grid order, in numbered blocks.
 
     Vectors are turned to the principal axes and sorted by their cells on the leading ones;
-    ``low`` and ``high`` bound a block there.
+    ``low`` and ``high`` bound a block there. A range partition gives chunks of at most ``LEAF``
+    vectors, and the chunks of the whole sequence are gathered to blocks of about ``block``.
     """
     lead = min(LEADING, width)
     side = np.sqrt(2 - 2 * threshold) / 2
@@ -101,36 +118,44 @@ def grid_blocks(units: DataFrame, width: int, axes: np.ndarray, threshold: float
             data = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, *columns], names)
 
-    def gather(batches: Iterator[pa.RecordBatch]):
-        part, number, ids, sizes, data = TaskContext.get().partitionId(), 0, [], [], []
-
-        def write():
-            x = np.frombuffer(b"".join(data)).reshape(len(ids), width)
-            values = [part, number, ids, sizes, x.tobytes(), x[:, :lead].min(axis=0).tolist(), x[:, :lead].max(axis=0).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _BLOCK_TYPES, strict=True)], _BLOCK_NAMES)
-
+    def chunks(batches: Iterator[pa.RecordBatch]):
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for vec_id, size, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids.append(vec_id)
-                sizes.append(size)
-                data.append(row)
-                if len(ids) == block:
-                    yield write()
-                    number, ids, sizes, data = number + 1, [], [], []
-        if ids:
-            yield write()
+            for at in range(0, batch.num_rows, LEAF):
+                some = batch.slice(at, LEAF)
+                ids, sizes, data = (some.column(i).to_pylist() for i in range(3))
+                values = [part, before, len(ids), ids, sizes, b"".join(data)]
+                before += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], chunk_names)
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = table.sort_by("start").to_pylist()
+        data = b"".join(r["data"] for r in rows)
+        x = np.frombuffer(data).reshape(-1, width)[:, :lead]
+        ids, sizes = [i for r in rows for i in r["ids"]], [i for r in rows for i in r["sizes"]]
+        values = [key[0].as_py(), ids, sizes, data, x.min(axis=0).tolist(), x.max(axis=0).tolist()]
+        return pa.table([pa.array([v], t) for v, t in zip(values, _BLOCK_TYPES, strict=True)], _BLOCK_NAMES)
 
     grid = [f"g{i}" for i in range(GRID)]
-    names = ["vec_id", "size", "data", *grid]
+    names, chunk_names = ["vec_id", "size", "data", *grid], ["part", "before", "n", "ids", "sizes", "data"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     placed = units.mapInArrow(place, "vec_id long, size int, data binary, " + ", ".join(f"{g} int" for g in grid))
     parts = max(1, ceil(units.count() / block))
     ordered = placed.repartitionByRange(parts, *grid, "data", "vec_id").sortWithinPartitions(*grid, "data", "vec_id")
-    schema = "part int, place int, ids array<long>, sizes array<int>, data binary, low array<double>, high array<double>"
-    return ordered.select("vec_id", "size", "data").mapInArrow(gather, schema)
+    schema = "part int, before long, n long, ids array<long>, sizes array<int>, data binary"
+    found = materialize(ordered.select("vec_id", "size", "data").mapInArrow(chunks, schema), "vector-chunks")
+    # One count per range partition, whatever the number of vectors.
+    counts = sorted((r["part"], r["n"]) for r in found.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    firsts = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    firsts = found.sparkSession.createDataFrame(firsts, "part int, first long")
+    numbered = found.join(F.broadcast(firsts), "part").withColumn("start", F.col("first") + F.col("before"))
+    numbered = numbered.withColumn("number", F.floor(F.col("start") / block).cast("long"))
+    schema = "number long, ids array<long>, sizes array<int>, data binary, low array<double>, high array<double>"
+    return numbered.select("number", "start", "ids", "sizes", "data").groupBy("number").applyInArrow(gather, schema)
 
 
-_BLOCK_NAMES = ["part", "place", "ids", "sizes", "data", "low", "high"]
-_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+_BLOCK_NAMES = ["number", "ids", "sizes", "data", "low", "high"]
+_BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
 
 def near_blocks(boxes: DataFrame, count: int, reach: float) -> DataFrame:
@@ -234,11 +259,12 @@ def linked_blocks(blocks: DataFrame, pairs: DataFrame, width: int, threshold: fl
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own, own_number = None, None
+        own = None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["a"] != own_number:  # a block comes first among its pairs
-                    own, own_number = _Block(row["ids"], row["sizes"], row["data"], width), row["a"]
+                if not row["pair"]:
+                    own = _Block(row["ids"], row["sizes"], row["data"], width)
+                    continue
                 same = row["a"] == row["b"]
                 other = own if same else _Block(row["ids"], row["sizes"], row["data"], width)
                 ids = own.ids if same else np.concatenate((own.ids, other.ids))
@@ -252,10 +278,14 @@ def linked_blocks(blocks: DataFrame, pairs: DataFrame, width: int, threshold: fl
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[label[some]])], ["vec_id", "links", "root"])
 
-    # Every block meets itself, so its own row (a, a) sorts first and holds the block.
-    sent = pairs.join(blocks.select(F.col("number").alias("b"), "ids", "sizes", "data"), "b")
-    dealt = sent.repartition(max(1, pairs.count()), "a").sortWithinPartitions("a", "b")
-    return dealt.select("a", "b", "ids", "sizes", "data").mapInArrow(run, "vec_id long, links long, root long")
+    # A task gets a block and then, at most SPAN at a time, the blocks that it is paired with.
+    dealt = pairs.withColumn("deal", F.floor((F.col("b") - F.col("a")) / SPAN).cast("long")).withColumn("pair", F.lit(True))
+    owns = dealt.select("a", F.col("a").alias("b"), "deal").distinct().withColumn("pair", F.lit(False))
+    held = blocks.select(F.col("number").alias("b"), "ids", "sizes", "data")
+    sent = dealt.unionByName(owns).join(held, "b")
+    tasks = max(1, owns.count())
+    sent = sent.repartition(tasks, "a", "deal").sortWithinPartitions("a", "deal", "pair", "b")
+    return sent.select("a", "b", "pair", "ids", "sizes", "data").mapInArrow(run, "vec_id long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -279,9 +309,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if width > MAX_WIDTH:
             raise ValueError(f"vectors of {width} components; the axes are computed for {MAX_WIDTH} at most")
         axes = principal_axes(units, width)
-        found = materialize(grid_blocks(units, width, axes, threshold, block), "vector-blocks")
-        blocks, count = _numbered(found)
-        pairs = near_blocks(blocks.select("number", "low", "high"), count, 2 - 2 * threshold + 1e-9)
+        blocks = materialize(grid_blocks(units, width, axes, threshold, block), "vector-blocks")
+        last = blocks.agg(F.max("number")).first()[0]
+        pairs = near_blocks(blocks.select("number", "low", "high"), last + 1, 2 - 2 * threshold + 1e-9)
         linked = materialize(linked_blocks(blocks, pairs, width, threshold), "vector-links")
         links = linked.groupBy("vec_id").agg(F.sum("links").alias("links"))
         edges = linked.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).filter("a != b").distinct()
@@ -294,16 +324,3 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
-
-
-def _numbered(found: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks with their number in the sequence; the driver sees one count per range partition."""
-    counts = sorted((r["part"], r["n"]) for r in found.groupBy("part").agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    spark = found.sparkSession
-    before = spark.createDataFrame(starts, "part int, before long") if starts else spark.createDataFrame([], "part int, before long")
-    named = found.join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.col("place"))
-    return named.drop("before"), total

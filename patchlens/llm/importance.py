@@ -14,7 +14,8 @@ from patchlens.llm.common import WORDED, word_lists
 from patchlens.operators.joins import sized_join
 from patchlens.session import materialize
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+SMOOTHING = 30.0  # n-grams of the raw text that every bucket is given in both models
 SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,9 +45,10 @@ def ngram_models(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, n
         for batch in batches:
             for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for found in bucket_counts(data or b"", buckets):
-                    raw += (counts := np.bincount(found, minlength=buckets))
+                    bucket, n = np.unique(found, return_counts=True)
+                    raw[bucket] += n
                     if wanted:
-                        target += counts
+                        target[bucket] += n
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(target[some]), pa.array(raw[some])], ["bucket", "target", "raw"])
 
@@ -58,21 +60,34 @@ def ngram_models(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, n
     return target, raw
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """Log of target over raw probability of each bucket, with ``smoothing`` added to every count."""
-    t, r = target + smoothing, raw + smoothing
-    return np.log(t / t.sum()) - np.log(r / r.sum())
+def log_weight(data: bytes | None, is_target: bool, target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> float:
+    """Sum over a text's n-grams of the log ratio of target to raw probability.
+
+    The text itself is taken out of both counts, else the rows that the target model was
+    counted on would all look like the target. Both models are smoothed by ``smoothing``
+    n-grams of raw text in every bucket, so that a rare n-gram says little.
+    """
+    parts = list(bucket_counts(data or b"", len(raw)))
+    if not parts:
+        return 0.0
+    bucket, n = np.unique(np.concatenate(parts), return_counts=True)
+    total = n.sum()
+    own = total if is_target else 0
+    all_target, all_raw = max(target.sum() - own, 1.0), max(raw.sum() - total, 1.0)
+    share = all_target / all_raw
+    ratio = (target[bucket] - (n if is_target else 0) + smoothing * share) / (raw[bucket] - n + smoothing)
+    return float((n * np.log(ratio / share)).sum())
 
 
-def weighted(text: Column, ratio: np.ndarray) -> Column:
-    """Log importance weight of a text: the sum of its n-grams' log ratios; 0 for a text without words."""
-    buckets = len(ratio)
+def weighted(text: Column, is_target: Column, target: np.ndarray, raw: np.ndarray) -> Column:
+    """Log importance weight of a text; 0 for a text without words."""
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([float(sum(ratio[f].sum() for f in bucket_counts(t or b"", buckets))) for t in texts.to_pylist()], pa.float64())
+    def run(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = zip(texts, wanted.to_pylist(), strict=True)
+        return pa.array([log_weight(t.as_py(), w, target, raw) for t, w in rows], pa.float64())
 
-    return run(text.cast("binary"))
+    return run(text.cast("binary"), is_target)
 
 
 def gumbel(id_col: str, seed: int = SEED) -> Column:
@@ -125,17 +140,17 @@ def resample(
     ``target_ids`` (column ``doc_id``) and one on all rows. A row's key is its log importance
     weight plus Gumbel noise, and the ``share`` of all rows with the largest keys is selected,
     which is a draw without replacement in proportion to the weights. Equal keys at the border
-    are all selected. Null and empty texts have weight 0; a null id is drawn like an id of its
-    own. Equal rows get equal keys. An empty table gives no rows; without targets all models
-    are alike up to smoothing.
+    are all selected. Texts without words have weight 0; a null id is drawn like an id of its
+    own. Equal rows get equal keys. An empty table gives no rows.
     """
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     wanted = materialize(wanted.withColumn("target", F.lit(True)), "target-ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = sized_join(rows, wanted, ["doc_id"], "left", count_large=rows.select("doc_id"))
     marked = marked.withColumn("target", F.coalesce("target", F.lit(False)))
-    ratio = log_ratio(*ngram_models(marked, buckets))
-    scored = marked.select("doc_id", F.col("target").alias("is_target"), weighted(F.col("text"), ratio).alias("log_weight"))
+    models = ngram_models(marked, buckets)
+    weight = weighted(F.col("text"), F.col("target"), *models)
+    scored = marked.select("doc_id", F.col("target").alias("is_target"), weight.alias("log_weight"))
     scored = materialize(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)), "importance")
     least = smallest_of_top(scored, "key", round(share * scored.count()))
     return scored.withColumn("selected", F.lit(True) if least is None else F.col("key") >= F.lit(least))

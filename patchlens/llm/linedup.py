@@ -30,19 +30,24 @@ def line_hashes(data: bytes) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, numbers
 
 
-def run_hashes(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
-    """A hash of the shortest run of lines from each line on that has ``min_words`` words."""
-    out, ends, end, held = set(), len(hashes), 0, 0
-    raw = np.array(hashes, np.int64).tobytes()
-    for start in range(ends):
-        while end < ends and held < min_words:
+def shortest_runs(words: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest run of lines from each line on that has ``min_words`` words."""
+    end = held = 0
+    for start, own in enumerate(words):
+        while end < len(words) and held < min_words:
             held += words[end]
             end += 1
         if held < min_words:
-            break
-        out.add(xxhash.xxh64_intdigest(raw[8 * start : 8 * end], SEED) - (1 << 63))
-        held -= words[start]
-    return out
+            return
+        yield start, end
+        held -= own
+
+
+def run_hashes(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
+    """Hashes of the shortest runs of lines with ``min_words`` words."""
+    raw = np.array(hashes, np.int64).tobytes()
+    runs = shortest_runs(words, min_words)
+    return {xxhash.xxh64_intdigest(raw[8 * s : 8 * e], SEED) - (1 << 63) for s, e in runs}
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,10 +116,11 @@ def _by_occurrence(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Places in ``a`` of the lines in aligned blocks of ``min_words`` words or more.
+    """Places in ``a`` of the lines in common blocks of ``min_words`` words or more.
 
-    Lines already found are taken out of ``a`` and the rest is aligned again, so that a block
-    that stands in another order is found as well.
+    Blocks are runs of aligned lines. Lines already found are taken out of ``a`` and the rest
+    is aligned again; blocks in so different an order that no alignment has them are then
+    looked up by their first lines.
     """
     found: set[int] = set()
     while True:
@@ -129,8 +135,18 @@ def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int =
             if held >= min_words:
                 new.update(block)
         if not new:
-            return sorted(found)
+            break
         found |= new
+    size = dict(zip(a, words, strict=True))
+    starts = {tuple(b[s:e]): s for s, e in shortest_runs([size.get(x, 0) for x in b], min_words)}
+    for s, e in shortest_runs(words, min_words):
+        j = starts.get(tuple(a[s:e]))
+        if j is not None and not found.issuperset(range(s, e)):
+            j += e - s
+            while e < len(a) and j < len(b) and a[e] == b[j]:
+                e, j = e + 1, j + 1
+            found.update(range(s, e))
+    return sorted(found)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ PROFILE = 300  # most frequent n-grams of a language or text
 LARGEST = 3  # characters of an n-gram
 BLANK = 32
 WIDTH = 21  # bits of a code point
-TEXT_PART = 1 << 20
+TEXT_PART = 1 << 18  # characters whose n-grams are sorted at once
 MAX_PROFILE_ROWS = 1_000_000  # languages times PROFILE that are sent to the executors
 UNKNOWN = "und"
 
@@ -86,7 +85,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top:
         for batch in batches:
             held: dict[str, list[np.ndarray]] = {}
             sizes: dict[str, int] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang, text = lang.as_py(), text.as_py()
                 for at in range(0, len(text), TEXT_PART):
                     part = letters(text[at : at + TEXT_PART])
                     held.setdefault(lang, []).append(part)
@@ -158,9 +158,12 @@ def load(profiles: DataFrame, top: int = PROFILE) -> Profiles:
 def predicted(text: Column, profiles: Profiles) -> Column:
     """A struct of ``lang_pred`` and ``score`` of a text; ``und`` and 0 for a null text or one without a letter."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        found = (profiles.predict(t.as_py()) for t in texts)
+        return pa.array([{"lang_pred": lang, "score": score} for lang, score in found], kind)
 
     return run.asNondeterministic()(text)  # evaluated once for both fields
 

@@ -7,7 +7,6 @@ code; only line-length spread and entropy walk an array.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add
@@ -30,12 +29,13 @@ def count_pattern(text: Column, pattern: str) -> Column:
 def count_words(text: Column, words: Iterable[str]) -> Column:
     """Sum over the words of their non-overlapping substring counts.
 
-    No word boundaries: "throws" counts for "throw" and for "throws". A byte
-    search tells first whether a word occurs at all, which is much cheaper.
+    No word boundaries: "throws" counts for "throw" and for "throws". A word's count
+    is what a text loses in bytes when the word is taken out.
     """
 
     def one(word: str) -> Column:
-        return F.when(F.contains(text, F.lit(word)), count_pattern(text, re.escape(word))).otherwise(F.lit(0))
+        lost = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+        return F.when(F.contains(text, F.lit(word)), lost / len(word.encode())).otherwise(F.lit(0)).cast("long")
 
     return reduce(add, [one(w) for w in words]).cast("long")
 

@@ -62,11 +62,17 @@ def rule_analyzer(rules: Sequence[tuple[str, str, str]] = LINE_RULES, source: st
 
 
 def response_analyzer(responses: DataFrame) -> Analyzer:
-    """Findings from stored review responses (file_id, response)."""
+    """Findings from stored review responses (file_id, response[, turn]).
+
+    All responses to a file count, in order of ``turn``; a file has one row of findings.
+    """
+    turn = F.col("turn") if "turn" in responses.columns else F.lit(0)
 
     def analyze(files: DataFrame) -> DataFrame:
-        parsed = responses.select("file_id", parse_response(F.col("response")).alias("findings"))
-        return parsed.join(files.select("file_id"), "file_id", "left_semi")
+        parsed = responses.select("file_id", turn.alias("turn"), parse_response(F.col("response")).alias("findings"))
+        wanted = parsed.join(files.select("file_id"), "file_id", "left_semi")
+        answers = F.array_sort(F.collect_list(F.struct("turn", "findings")))
+        return wanted.groupBy("file_id").agg(F.flatten(answers["findings"]).alias("findings"))
 
     return analyze
 

@@ -312,8 +312,8 @@ VIEWS: dict[str, str] = {
                shown AS line, severity, message, source
         FROM (SELECT doc_id AS file_id, 0 AS part, line, rule, line AS shown, severity, message, source FROM lint_findings
               UNION ALL
-              SELECT conv_id, 1, ord, 0, line, severity, message, source FROM review_findings
-              WHERE turn = 1 AND conv_id IN (SELECT doc_id FROM snippets))""",
+              SELECT conv_id, turn + 1, ord, 0, line, severity, message, source FROM review_findings
+              WHERE conv_id IN (SELECT doc_id FROM snippets))""",
     "issues": r"""
         SELECT a.*, f.ord, f.line, f.severity, f.message, f.source
         FROM attached a JOIN all_findings f ON f.file_id = a.doc_id""",

@@ -645,8 +645,7 @@ def findings_severity_map(spark, sf_dir):
 @query
 def findings_union(spark, sf_dir):
     files = views.snippets(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "code")
-    first = views.responses(spark, sf_dir).filter(F.col("turn") == 1)
-    answers = first.select(F.col("conv_id").alias("file_id"), "response")
+    answers = views.responses(spark, sf_dir).withColumnRenamed("conv_id", "file_id")
     return W.findings_rows(W.run_analyzers(files, [W.rule_analyzer(), W.response_analyzer(answers)]))
 
 

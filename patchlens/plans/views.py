@@ -247,7 +247,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, response): the first response of conversation d reviews file d."""
+    """(file_id, turn, response): the responses of conversation d review file d."""
     d = _div("doc_id", 4)
     files = snippets(spark, sf_dir).select(
         F.col("doc_id").alias("conv_id"),
@@ -259,8 +259,7 @@ def pr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("path"),
         ).alias("file_id"),
     )
-    first = responses(spark, sf_dir).filter(F.col("turn") == 1)
-    return files.join(first, "conv_id").select("file_id", "response")
+    return files.join(responses(spark, sf_dir), "conv_id").select("file_id", "turn", "response")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

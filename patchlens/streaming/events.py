@@ -56,17 +56,3 @@ def rejected_events(events: DataFrame, secret: str | None) -> DataFrame:
         .when(is_reviewable() & incomplete, "incomplete body")
     )
     return marked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_ok")
-
-
-def once_per_change(requests: DataFrame, time_col: str, delay: str, spread_col: str, salts: int = 32) -> DataFrame:
-    """Drops repeated deliveries of a change (stream only).
-
-    Duplicates are dropped per salt first, so a change with very many deliveries
-    is not held by one task; the second pass sees at most ``salts`` rows of it.
-    State is bounded by the watermark.
-    """
-    keys = ["repo", "pr", "head_sha"]
-    salted = requests.withWatermark(time_col, delay).withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_col), F.lit(salts)).cast("int")
-    )
-    return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).dropDuplicatesWithinWatermark(keys).drop("_salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,8 +14,9 @@ from patchlens.operators.joins import sized_join
 from patchlens.operators.reports import build_reports, flagged
 from patchlens.operators.review import Analyzer
 from patchlens.session import materialize
-from patchlens.streaming.events import once_per_change, rejected_events, review_requests
+from patchlens.streaming.events import rejected_events, review_requests
 
+LEDGER_BUCKETS = 256  # folders of handled deliveries, by repository
 Scorer = Callable[[DataFrame], DataFrame]  # (..., content) -> the same rows + risky
 
 
@@ -27,11 +28,12 @@ def review_batch(
     Requests and flagged sections are narrow and written down before they are
     joined, so their measured size chooses between broadcast and shuffle. When
     ``diffs`` and ``files`` are partitioned by repo, a batch opens its repos only.
+    A diff belongs to the head in its ``head_sha``; a table without that column has
+    one diff for all heads of a pull request.
     """
     wanted = materialize(requests.select("repo", "pr", "head_sha").distinct(), "requests")
-    changed = sized_join(
-        diffs.select("repo", "pr", "diff_text"), wanted, ["repo", "pr"], count_large=diffs.select("repo", "pr"), prune_by="repo"
-    )
+    keys = [c for c in ("repo", "pr", "head_sha") if c in diffs.columns]
+    changed = sized_join(diffs.select(*keys, "diff_text"), wanted, keys, count_large=diffs.select(*keys), prune_by="repo")
     snippets = parse_diffs(changed, "diff_text").filter(has_suffix(F.col("filename")))
     return build_reports(flagged(scorer(snippets)), files, analyzers)
 
@@ -45,20 +47,27 @@ def review_stream(
     secret: str,
     sink: str,
     checkpoint: str,
-    delay: str = "7 days",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Starts the review job on a stream of webhook events.
 
-    Each micro-batch replaces its own folder ``batch_id=<n>`` under ``sink``, so a
-    batch that is retried leaves its reports once. Report ids are derived from
-    the change, see :func:`read_stream_reports`.
+    A delivery (``event_id``) is handled once, however late it comes: its id is kept
+    in a ledger beside the checkpoint, and a batch leaves out the ids of earlier
+    batches. A new delivery for a reviewed change, as when it is reopened, is
+    reviewed again. Each micro-batch replaces its own folder ``batch_id=<n>`` under
+    ``sink`` and in the ledger, so a batch that is retried leaves its reports once.
+    Report ids are derived from the change, see :func:`read_stream_reports`.
     """
-    requests = once_per_change(review_requests(events, secret), "received_at", delay, "event_id")
+    requests = review_requests(events, secret)
+    ledger = f"{checkpoint.rstrip('/')}-handled"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        reports = review_batch(batch, diffs, files, scorer, analyzers)
+        narrow = batch.select("event_id", "repo", "pr", "head_sha").withColumn("bucket", _bucket())
+        arrived = materialize(narrow, "deliveries")
+        reports = review_batch(_unhandled(arrived, ledger, batch_id), diffs, files, scorer, analyzers)
         reports.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        handled = arrived.select("event_id", "bucket").distinct().repartition("bucket")
+        handled.write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/batch_id={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(store)
@@ -68,9 +77,26 @@ def review_stream(
     )
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("repo"), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+def _unhandled(arrived: DataFrame, ledger: str, batch_id: int) -> DataFrame:
+    """Deliveries that no earlier batch has handled; opens the ledger of their repositories only."""
+    spark = arrived.sparkSession
+    if not batch_id:
+        return arrived
+    opened = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # LEDGER_BUCKETS at most
+    schema = "event_id long, batch_id long, bucket int"
+    known = spark.read.schema(schema).parquet(ledger).filter(F.col("batch_id") < batch_id)
+    return arrived.join(known.filter(F.col("bucket").isin(opened)).select("event_id"), "event_id", "left_anti")
+
+
 def read_stream_reports(spark, sink: str) -> DataFrame:
-    """Stored reports; a change that was reviewed again later counts once."""
-    return spark.read.parquet(sink).drop("batch_id").dropDuplicates(["report_id"])
+    """Stored reports; of a change that was reviewed again, the latest."""
+    stored = spark.read.parquet(sink)
+    latest = stored.groupBy("report_id").agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(latest, ["report_id", "batch_id"]).drop("batch_id")
 
 
 def request_stream(events: DataFrame, secret: str, sink: str, checkpoint: str) -> StreamingQuery:

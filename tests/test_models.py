@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import functions as F
 
@@ -67,7 +66,7 @@ def test_bundle_predicts_the_same(models, test, tmp_path):
 
 
 def test_missing_bundle_is_an_error(spark, tmp_path):
-    with pytest.raises((PySparkException, Exception)):
+    with pytest.raises(Exception, match="none"):
         bundles.load_bundle(str(tmp_path / "none"))
 
 

@@ -96,7 +96,35 @@ def test_review_stream(spark, tmp_path, tables):
     after = run(spark, folder, tmp_path, tables)
     assert after.count() == 3 and before < {r["report_id"] for r in after.collect()}
     raw = spark.read.parquet(f"{tmp_path}/out")
-    assert raw.count() == 3
+    assert raw.count() == 5  # new deliveries for s1 and s2 are reviewed again
+
+
+def test_handled_deliveries_are_left_out(spark, tmp_path, tables):
+    folder = str(tmp_path / "in")
+    frame(spark, EVENTS).coalesce(1).write.parquet(folder)
+    run(spark, folder, tmp_path, tables)
+    frame(spark, [*EVENTS, event(200, body(pr=2, sha="s1"))]).coalesce(1).write.mode("append").parquet(folder)
+    assert run(spark, folder, tmp_path, tables).count() == 3
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_late_and_future_events_are_reviewed(spark, tmp_path, tables):
+    folder = str(tmp_path / "in")
+    for i, days in enumerate((0, 4000, -300, 10)):
+        row = event(i, body(pr=1 + i % 2, sha=f"s{1 + i // 2}"))
+        row = (row[0], START + datetime.timedelta(days=days), *row[2:])
+        frame(spark, [row]).coalesce(1).write.mode("append").parquet(folder)
+    got = run(spark, folder, tmp_path, tables)
+    assert sorted((r["pr"], r["head_sha"]) for r in got.collect()) == [(1, "s1"), (1, "s2"), (2, "s1"), (2, "s2")]
+
+
+def test_diffs_belong_to_their_head(spark, tables):
+    diffs, files = tables
+    one, two = (f"diff --git a/{n}.java b/{n}.java\n+null" for n in "ac")
+    by_head = spark.createDataFrame([("o/r", 1, "s1", one), ("o/r", 1, "s2", two)], "repo string, pr long, head_sha string, diff_text string")
+    wanted = spark.createDataFrame([("o/r", 1, "s1"), ("o/r", 1, "s2")], "repo string, pr long, head_sha string")
+    got = SR.review_batch(wanted, by_head, files, scorer, [W.rule_analyzer()])
+    assert sorted((r["head_sha"], r["filename"]) for r in got.collect()) == [("s1", "a.java"), ("s2", "c.java")]
 
 
 def test_repeated_batch_replaces_its_folder(spark, tmp_path, tables):
@@ -130,7 +158,11 @@ def test_model_in_the_stream(spark, tmp_path, tables):
         f"{tmp_path}/out", f"{tmp_path}/state",
     )
     query.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() >= 0
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    scored = L.triage(L.score_snippets(spark.createDataFrame([("x == null",), ("calm",)], "content string"), model))
+    risky = {r["content"] for r in scored.filter("risky = 1").collect()}
+    expected = [name for name, text in (("a.java", "x == null"), ("c.java", "calm")) if text in risky]
+    assert sorted({r["filename"] for r in stored.collect()}) == expected
 
 
 def test_plain_streams(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
@@ -34,6 +34,16 @@ def size_labels(df: DataFrame, size_col: str, soft_below: int = K.SOFT_LABEL_BEL
     )
 
 
+def _commit_keys(other: DataFrame) -> list[str]:
+    """A hash names a commit within its project; forks share hashes."""
+    return ["project_url", "commit_hash"] if "project_url" in other.columns else ["commit_hash"]
+
+
+def _named(file_changes: DataFrame, suffixes: Sequence[str]) -> Column:
+    """Whether the file is of the language; a deleted file has a name but no new path."""
+    return has_suffix(F.col("filename" if "filename" in file_changes.columns else "new_path"), suffixes)
+
+
 def mine_changes(
     commits: DataFrame,
     file_changes: DataFrame,
@@ -46,19 +56,21 @@ def mine_changes(
     """The change corpus: one row per changed file of a bug-fix commit.
 
     Both sides are filtered and cut to the needed columns before the join; a
-    commit that touches a huge number of files is spread over several tasks.
+    commit that touches a huge number of files is spread over several tasks. File
+    changes with a ``project_url`` belong to the commit of that project only; with a
+    ``filename`` deleted files count, with an empty path.
     """
-    size = F.size("deleted") + F.size("added")
-    files = file_changes.filter(has_suffix(F.col("new_path"), suffixes) & (size >= min_size)).select(
-        "commit_hash",
-        F.col("new_path").alias("file_path"),
+    size, keys = F.size("deleted") + F.size("added"), _commit_keys(file_changes)
+    files = file_changes.filter(_named(file_changes, suffixes) & (size >= min_size)).select(
+        *keys,
+        F.coalesce("new_path", F.lit("")).alias("file_path"),
         F.array_join("deleted.text", "\n").alias("buggy_change"),
         F.array_join("added.text", "\n").alias("fixed_change"),
         size.alias("_size"),
     )
-    fixes = bugfix_commits(commits, keywords).select("commit_hash", "project", "msg")
-    touched = file_changes.filter(has_suffix(F.col("new_path"), suffixes)).select("commit_hash")
-    matched = salted_join(files, fixes, ["commit_hash"], count_left=touched, left_by=["file_path"])
+    fixes = bugfix_commits(commits, keywords).select(*keys, "project", "msg")
+    touched = file_changes.filter(_named(file_changes, suffixes)).select(*keys)
+    matched = salted_join(files, fixes, keys, count_left=touched, left_by=["file_path"])
     joined = size_labels(matched, "_size", soft_below)
     columns = [
         "project", "commit_hash", "file_path", "buggy_change", "fixed_change", "buggy_label", "fixed_label",
@@ -73,19 +85,20 @@ def modified_pairs(
     suffixes: Sequence[str] = K.LANGUAGE_SUFFIXES,
 ) -> DataFrame:
     """Whole-file pairs of files that exist before and after a bug-fix commit."""
+    keys = _commit_keys(file_changes)
     files = file_changes.filter(
         has_suffix(F.col("new_path"), suffixes)
         & (F.col("source_before") != "")
         & (F.col("source_after") != "")
     ).select(
-        "commit_hash",
+        *keys,
         F.col("new_path").alias("file_path"),
         F.col("source_before").alias("buggy_code"),
         F.col("source_after").alias("fixed_code"),
     )
-    fixes = bugfix_commits(commits, keywords, merges=True).select("commit_hash", "project")
-    touched = file_changes.filter(has_suffix(F.col("new_path"), suffixes)).select("commit_hash")
-    matched = salted_join(files, fixes, ["commit_hash"], count_left=touched, left_by=["file_path"])
+    fixes = bugfix_commits(commits, keywords, merges=True).select(*keys, "project")
+    touched = file_changes.filter(has_suffix(F.col("new_path"), suffixes)).select(*keys)
+    matched = salted_join(files, fixes, keys, count_left=touched, left_by=["file_path"])
     return matched.select("project", "commit_hash", "file_path", "buggy_code", "fixed_code")
 
 
@@ -118,10 +131,12 @@ def changed_files(commits: DataFrame, trees: DataFrame) -> DataFrame:
 
     ``trees`` lists (commit_hash, path, blob). Every tree row is sent to the
     commits it describes, once as the new side and once as the old side, and the
-    two sides meet in one aggregation by (commit, path); root commits drop out.
+    two sides meet in one aggregation by (commit, path); root commits drop out, and
+    so do commits of which the parent has no tree, see :func:`without_parent_tree`.
     """
-    children = commits.filter(F.size("parents") > 0)
     parent = F.get("parents", F.lit(0))
+    present = trees.select(F.col("commit_hash").alias("_parent")).distinct()
+    children = commits.filter(F.size("parents") > 0).join(present, parent == F.col("_parent"), "left_semi")
     own = F.struct(F.col("commit_hash").alias("tree"), F.col("commit_hash"), F.lit(True).alias("is_new"))
     base = F.struct(parent.alias("tree"), F.col("commit_hash"), F.lit(False).alias("is_new"))
     roles = children.select(F.inline(F.array(own, base)))
@@ -137,13 +152,21 @@ def changed_files(commits: DataFrame, trees: DataFrame) -> DataFrame:
     return compared.filter(~F.col("old_blob").eqNullSafe(F.col("new_blob"))).withColumn("change", change)
 
 
+def without_parent_tree(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """Hashes of the commits that cannot be compared, as their first parent has no tree."""
+    present = trees.select(F.col("commit_hash").alias("_parent")).distinct()
+    children = commits.filter(F.size("parents") > 0)
+    return children.join(present, F.get("parents", F.lit(0)) == F.col("_parent"), "left_anti").select("commit_hash")
+
+
 def commit_diffs(commits: DataFrame, patches: DataFrame, n: int = K.LATEST_COMMITS) -> DataFrame:
     """Non-empty patches (commit_hash, path, diff_text) of the newest commits, roots left out.
 
     The ``n`` commit hashes are broadcast, so patches are not shuffled.
     """
-    latest = latest_commits(commits, n).filter(F.size("parents") > 0).select("commit_hash")
-    return patches.filter(F.col("diff_text") != "").join(limited_broadcast(latest, n), "commit_hash", "left_semi")
+    keys = _commit_keys(patches)
+    latest = latest_commits(commits, n).filter(F.size("parents") > 0).select(*keys)
+    return patches.filter(F.col("diff_text") != "").join(limited_broadcast(latest, n), keys, "left_semi")
 
 
 def append_corpora(*corpora: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import basic_features, or_empty
@@ -30,6 +31,7 @@ from patchlens.operators.prep import (
 from patchlens.session import materialize
 
 SEED = 42
+FILLED = "_filled"  # ends the name of a column without missing values
 # Defaults per kind of classifier; any of them can be overridden in train().
 DEFAULTS = {
     "gbt": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5, "seed": SEED},
@@ -56,20 +58,26 @@ def pipeline(
     label_col: str = "label",
     weight_col: str | None = None,
     scaler: str = "standard",
+    numbers: Sequence[str] = (),
     **params,
 ) -> Pipeline:
-    """Assemble, scale and classify, as one unit that is fitted and saved together.
+    """Fill, assemble, scale and classify, as one unit that is fitted and saved together.
 
-    Feature columns are numbers or vectors. ``scaler`` is "standard" (mean and
+    Feature columns are numbers or vectors. A missing value in one of ``numbers`` is
+    replaced by the mean of the column where the model was fitted, so that no row goes
+    without a score; any other missing value is an error. ``scaler`` is "standard" (mean and
     deviation) or "robust" (median and quartile range).
     """
     scale = {
         "standard": lambda: StandardScaler(withMean=True, withStd=True),
         "robust": lambda: RobustScaler(withCentering=True, withScaling=True),
     }[scaler]()
+    filled = [f"{c}{FILLED}" if c in numbers else c for c in feature_cols]
+    fill = [Imputer(inputCols=list(numbers), outputCols=[f"{c}{FILLED}" for c in numbers])] if numbers else []
+    assemble = VectorAssembler(inputCols=filled, outputCol="raw_features", handleInvalid="error")
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(feature_cols), outputCol="raw_features", handleInvalid="skip"),
+            Pipeline(stages=[*fill, assemble]) if fill else assemble,
             scale.setInputCol("raw_features").setOutputCol("features"),
             classifier(kind, label_col, weight_col, **params),
         ]
@@ -85,7 +93,14 @@ def train(
     **params,
 ) -> PipelineModel:
     """Fits on ``df``, which should be the training split only."""
-    return pipeline(feature_cols, kind, label_col, weight_col, **params).fit(df)
+    return pipeline(feature_cols, kind, label_col, weight_col, numbers=numeric(df, feature_cols), **params).fit(df)
+
+
+def numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns that hold numbers and have some."""
+    kinds = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
+    counts = df.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in kinds]).first() if kinds else {}
+    return [c for c in kinds if counts[c]]
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
@@ -101,7 +116,8 @@ def soft_vote(models: Sequence[PipelineModel], df: DataFrame) -> DataFrame:
     work = ["raw_features", "features", "rawPrediction", "probability", "prediction"]
     for i, model in enumerate(models):
         scored = model.transform(df)
-        df = scored.withColumn(f"_p{i}", vector_to_array("probability")[1]).drop(*work)
+        filled = [c for c in scored.columns if c.endswith(FILLED)]
+        df = scored.withColumn(f"_p{i}", vector_to_array("probability")[1]).drop(*work, *filled)
     members = [F.col(f"_p{i}") for i in range(len(models))]
     voted = df.withColumn("score", reduce(lambda a, b: a + b, members) / len(members))
     return voted.withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop(
@@ -144,7 +160,7 @@ def random_search(
 
     Returns the fitted search and every setting with its mean accuracy.
     """
-    flow = pipeline(feature_cols, kind, label_col, weight_col, **params)
+    flow = pipeline(feature_cols, kind, label_col, weight_col, numbers=numeric(df, feature_cols), **params)
     model = flow.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():

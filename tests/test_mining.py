@@ -161,3 +161,29 @@ def test_sized_join_prunes_partitions(spark, tmp_path):
 def test_corpus_counts(spark):
     rows = {r["project"]: r for r in M.corpus_counts(M.mine_changes(*corpus(spark))).collect()}
     assert (rows["kit"]["n_changes"], rows["kit"]["n_commits"], rows["kit"]["n_soft"]) == (5, 3, 3)
+
+
+def test_forks_share_commit_hashes(spark):
+    commits, changes = corpus(spark)
+    other = commits.withColumn("project_url", F.lit("https://example.com/fork.git"))
+    both = commits.unionByName(other)
+    first = commits.select("commit_hash", "project_url").dropDuplicates(["commit_hash"])
+    named = changes.join(first, "commit_hash")
+    assert M.mine_changes(both, named).count() == M.mine_changes(commits, changes).count() > 0
+    assert M.modified_pairs(both, named).count() == M.modified_pairs(commits, changes).count() > 0
+
+
+def test_deleted_files_are_mined(spark):
+    commits, changes = corpus(spark)
+    named = changes.withColumn("filename", F.element_at(F.split("new_path", "/"), -1))
+    gone = named.withColumn("new_path", F.lit(None).cast("string"))
+    found = M.mine_changes(commits, gone)
+    assert found.count() == M.mine_changes(commits, changes).count()
+    assert {r["file_path"] for r in found.collect()} == {""}
+
+
+def test_commits_without_a_parent_tree(spark):
+    commits = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["x"])], "commit_hash string, parents array<string>")
+    trees = spark.createDataFrame([(h, "f.java", h) for h in "abc"], "commit_hash string, path string, blob string")
+    assert [r["commit_hash"] for r in M.changed_files(commits, trees).collect()] == ["b"]
+    assert [r["commit_hash"] for r in M.without_parent_tree(commits, trees).collect()] == ["c"]

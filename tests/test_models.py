@@ -139,3 +139,15 @@ def test_risk_model_job(spark):
     rows = [("kit", f"c{i}", "a.java", "if (x == null) { }\n" * (9 + i % 3), "calm\n" * (1 + i % 3), 1.0, 0.0) for i in range(150)]
     model, tested = L.train_risk_model(spark.createDataFrame(rows, schemas.CHANGES), maxIter=3)
     assert V.accuracy(tested).first()[0] > 0.95 and len(model.stages) == 3
+
+
+def test_rows_with_a_missing_value_are_scored(spark):
+    from patchlens.operators import features as X
+
+    rows = [(f"{i}", "null if\n" * (i % 9 + 3) if i % 2 else "calm\nquiet", float(i % 2)) for i in range(40)]
+    rows.append(("one line", "null", 1.0))
+    featured = X.text_features(spark.createDataFrame(rows, "sample_id string, snippet string, label double"), "snippet", ["rich"])
+    cols = [c for c in featured.columns if c not in ("sample_id", "snippet", "label")]
+    assert featured.filter("sample_id = 'one line' AND line_stddev IS NULL").count() == 1
+    model = L.train(featured, cols, kind="rf", numTrees=5, maxDepth=3)
+    assert model.transform(featured).count() == 41

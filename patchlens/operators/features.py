@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from patchlens.functions import code as C
 from patchlens.functions import text as X
 
+# --- fixed values: order of the feature vectors -------------------------------
 BASIC_FEATURES = ("num_lines", "num_chars", "keyword_count")
 RICH_FEATURES = (
     "num_lines", "num_chars", "keyword_count", "control_count", "exception_count", "method_calls",
     "comment_ratio", "suspicious_count", "line_stddev", "buggy_api_count", "entropy",
 )
 METADATA_FEATURES = ("msg_length", "has_bug_keyword", "path_depth", "snippet_length")
-# --- fixed values: order of the code vectors ---------------------------------
 CODE_VECTOR_5 = ("lines_of_code", "methods", "complexity_without_do", "tries", "variables")
 CODE_VECTOR_20 = (
     "lines_of_code", "non_empty_lines", "method_count", "complexity", "complexity_per_method",
@@ -109,9 +109,10 @@ def code_metrics(df: DataFrame, code_col: str = "code") -> DataFrame:
 def assemble(parts: Sequence[DataFrame], key: str, feature_cols: Sequence[str], output_col: str = "features") -> DataFrame:
     """Joins feature blocks by key and assembles one vector per row.
 
-    Rows are matched by key, never by position; keys are unique in every part.
+    Rows are matched by key, never by position; keys are unique in every part. A
+    missing value is an error: drop such rows first (``prep.drop_missing``) or fill them.
     """
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.join(part, key)
-    return VectorAssembler(inputCols=list(feature_cols), outputCol=output_col, handleInvalid="skip").transform(joined)
+    return VectorAssembler(inputCols=list(feature_cols), outputCol=output_col, handleInvalid="error").transform(joined)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -12,6 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -32,7 +34,7 @@ from patchlens.session import materialize
 
 SEED = 42
 FILLED = "_filled"  # ends the name of a column without missing values
-# Defaults per kind of classifier; any of them can be overridden in train().
+# --- fixed values: settings of the classifiers; any of them can be overridden in train() ---
 DEFAULTS = {
     "gbt": {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5, "seed": SEED},
     "rf": {
@@ -44,6 +46,9 @@ DEFAULTS = {
     },
     "lr": {"maxIter": 500},
 }
+# of the boosted member of the code ensemble
+CODE_GBT = {"subsamplingRate": 0.8, "minInstancesPerNode": 2}
+# --- end of fixed values ---
 CLASSIFIERS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression}
 
 
@@ -130,14 +135,37 @@ def fold_count(n_rows: int, most: int = 5) -> int:
 
 
 def cross_validate(
-    df: DataFrame, feature_cols: Sequence[str], id_col: str, kind: str, k: int, label_col: str = "label", **params
+    df: DataFrame,
+    feature_cols: Sequence[str],
+    id_col: str,
+    kind: str | Sequence[str],
+    k: int,
+    label_col: str = "label",
+    weight_col: str | None = None,
+    parallelism: int = 4,
+    params: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Out-of-fold predictions (id, fold, label, prediction) of ``k`` fits."""
+    """Out-of-fold predictions (id, fold, label, prediction) of ``k`` folds.
+
+    Several kinds vote, see :func:`soft_vote`; ``params`` are settings by kind. Fits do
+    not depend on each other, so ``parallelism`` of them run at a time.
+    """
+    kinds = [kind] if isinstance(kind, str) else list(kind)
     folded = hash_folds(df, id_col, k)
+
+    def fit(task: tuple[int, str]) -> PipelineModel:
+        fold, name = task
+        rest = folded.filter(F.col("fold") != fold)
+        return train(rest, feature_cols, label_col, name, weight_col, **(params or {}).get(name, {}))
+
+    tasks = [(fold, name) for fold in range(k) for name in kinds]
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), tasks, chunksize=1)
     parts = []
     for fold in range(k):
-        model = train(folded.filter(F.col("fold") != fold), feature_cols, label_col, kind, **params)
-        scored = model.transform(folded.filter(F.col("fold") == fold))
+        mine = models[fold * len(kinds) : (fold + 1) * len(kinds)]
+        held = folded.filter(F.col("fold") == fold)
+        scored = soft_vote(mine, held) if len(mine) > 1 else mine[0].transform(held)
         parts.append(scored.select(id_col, "fold", F.col(label_col).alias("label"), "prediction"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -215,9 +243,10 @@ def train_code_ensemble(
     fitting = drop_outliers(kept.filter(F.col("split") == "train"), CODE_VECTOR_20)
     fitting = materialize(balanced_weights(fitting), "code-training")
     chosen = select_features(fitting, CODE_VECTOR_20, k=k)
+    settings = {"rf": {}, "gbt": CODE_GBT}
     models = [
-        train(fitting, chosen, kind=kind, weight_col="weight", scaler="robust", **(params or {}).get(kind, {}))
-        for kind in ("rf", "gbt")
+        train(fitting, chosen, kind=kind, weight_col="weight", scaler="robust", **{**own, **(params or {}).get(kind, {})})
+        for kind, own in settings.items()
     ]
     tested = soft_vote(models, kept.filter(F.col("split") == "test"))
     return models, chosen, tested.select("sample_id", "label", "score", "prediction")

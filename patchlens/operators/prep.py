@@ -217,8 +217,11 @@ def anova_f(df: DataFrame, cols: Sequence[str], label_col: str = "label") -> Dat
 
 
 def select_features(df: DataFrame, cols: Sequence[str], label_col: str = "label", k: int = 15) -> list[str]:
-    """Names of the ``k`` features with the largest ANOVA F, in input order."""
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip").transform(df)
+    """Names of the ``k`` features with the largest ANOVA F, in input order.
+
+    Every row needs all its values; see :func:`drop_missing`.
+    """
+    assembled = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="error").transform(df)
     selector = UnivariateFeatureSelector(
         featuresCol="_features", outputCol="_selected", labelCol=label_col, selectionMode="numTopFeatures"
     )

@@ -381,6 +381,10 @@ CONSTRUCTS = (
 )
 DIMS = "SELECT vec_id, (dim)::INTEGER AS dim, round(value, 6) AS value FROM"
 
+TESTED = f"""
+    SELECT sample_id, label, TRUE AS score_is_share, TRUE AS prediction_follows
+    FROM samples WHERE {hashed(42, 'sample_id')} % 10000 >= 7500"""
+
 QUERIES: dict[str, str] = {
     "src_changes_roundtrip": "SELECT * FROM changes",
     "src_changes_json": "SELECT * FROM changes",
@@ -459,7 +463,7 @@ QUERIES: dict[str, str] = {
         WITH f AS ({basic('snippets', 'doc_id, path', 'code')}),
         z AS (SELECT doc_id, path, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}' for c in BASIC)} FROM f)
         SELECT vec_id AS sample_id, (len(embedding) + 4)::BIGINT AS n_features,
-               round(embedding[1]::DOUBLE / norm, 6) AS f0, round(embedding[64]::DOUBLE / norm, 6) AS f63,
+               {', '.join(f'round(embedding[{i + 1}]::DOUBLE / norm, 6) AS f{i}' for i in range(64))},
                round(num_lines, 6) AS f64, round(num_chars, 6) AS f65, round(keyword_count, 6) AS f66,
                (length(path) - length(replace(path, '/', '')))::DOUBLE AS f67
         FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)
@@ -565,6 +569,26 @@ QUERIES: dict[str, str] = {
         FROM (SELECT lang, avg((label = prediction)::INT) AS a, count(*) AS n FROM predictions JOIN documents USING (doc_id) GROUP BY lang)""",
     "ml_bundle_roundtrip": f"""
         SELECT sample_id, label, TRUE AS same FROM samples WHERE {hashed(42, 'sample_id')} % 10000 >= 7500""",
+    "ml_train_gbt": TESTED,
+    "ml_train_rf": TESTED,
+    "ml_train_lr": TESTED,
+    "ml_soft_vote": TESTED.replace("score_is_share", "is_mean"),
+    "ml_code_ensemble": f"""
+        WITH kept AS (SELECT k, md5(concat_ws('|', c.source, commit_hash, p.path, side)) AS sample_id, side, b.*
+          FROM pairs p JOIN commits c USING (k), (VALUES ('buggy', 0), ('fixed', 1)) v(side, later)
+          JOIN code b ON b.doc_id = 2 * k + later
+          WHERE regexp_matches(lower(msg), 'fix|bug|resolve|patch|defect|error|issue') AND p.path LIKE '%.java'
+            AND k % 7 <> 0 AND k % 11 <> 0 AND before <> '' AND after <> '')
+        SELECT sample_id, CASE side WHEN 'buggy' THEN 1.0::DOUBLE ELSE 0 END AS label, TRUE AS score_is_share, TRUE AS prediction_follows
+        FROM kept WHERE {hashed(42, 'sample_id')} % 10000 >= 8000 AND lines_of_code > 0""",
+    "ml_cv": f"""
+        SELECT sample_id, ({hashed(42, 'sample_id')} % greatest(2, least(5, (SELECT count(*) FROM samples) // 10)))::INTEGER AS fold,
+               label, TRUE AS predicted FROM samples""",
+    "ml_random_search": "SELECT 20::BIGINT AS tried, 20::BIGINT AS distinct_settings, TRUE AS accuracies_are_shares, TRUE AS best_refitted",
+    "ml_feature_importance": """
+        SELECT 10::BIGINT AS features, 10::BIGINT AS distinct_features, 1.0::DOUBLE AS total, TRUE AS least_left_out""",
+    "triage_score": """
+        SELECT diff_id, pos, filename, TRUE AS score_is_share, TRUE AS risky_follows FROM parsed WHERE filename LIKE '%.java'""",
     "triage_override": """
         SELECT doc_id, (doc_id % 2)::INTEGER AS prediction,
                CASE WHEN doc_id % 5 = 0 OR contains(code, 'FORCE_RISK') THEN 1 ELSE (doc_id % 2)::INTEGER END AS risky FROM snippets""",

@@ -86,6 +86,9 @@ def test_cross_validation_covers_every_row_once(train):
     assert out.count() == train.count() == out.select("sample_id").distinct().count()
     assert V.cv_summary(V.fold_scores(out)).first()["mean_accuracy"] > 0.95
     assert (L.fold_count(23), L.fold_count(1000), L.fold_count(5)) == (2, 5, 2)
+    voted = L.cross_validate(train, COLS, "sample_id", ("rf", "lr"), k=2, weight_col="weight", params=SMALL)
+    assert voted.count() == train.count() == voted.select("sample_id").distinct().count()
+    assert V.cv_summary(V.fold_scores(voted)).first()["mean_accuracy"] > 0.95
 
 
 def test_random_search(train):

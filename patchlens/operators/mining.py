@@ -41,7 +41,8 @@ def _commit_keys(other: DataFrame) -> list[str]:
 
 def _named(file_changes: DataFrame, suffixes: Sequence[str]) -> Column:
     """Whether the file is of the language; a deleted file has a name but no new path."""
-    return has_suffix(F.col("filename" if "filename" in file_changes.columns else "new_path"), suffixes)
+    names = [c for c in ("filename", "new_path") if c in file_changes.columns]
+    return has_suffix(F.coalesce(*names), suffixes)
 
 
 def mine_changes(
@@ -103,14 +104,20 @@ def modified_pairs(
 
 
 def latest_commits(
-    commits: DataFrame, n: int = K.LATEST_COMMITS, per_project: bool = False, salts: int = 64
+    commits: DataFrame,
+    n: int = K.LATEST_COMMITS,
+    per_project: bool = False,
+    salts: int = 64,
+    branch: str | None = None,
 ) -> DataFrame:
-    """The newest ``n`` commits, ties by hash.
+    """The newest ``n`` commits, ties by hash; with ``branch`` those that have it in ``branches``.
 
     Per project, every salt of a project first keeps its own newest ``n``, so a
     project with most of the commits is never ranked in one task.
     """
     newest = [F.desc("committed_at"), F.asc("commit_hash")]
+    if branch is not None:
+        commits = commits.filter(F.array_contains("branches", branch))
     if not per_project:
         return commits.orderBy(*newest).limit(n)
     salt = F.pmod(F.xxhash64("commit_hash"), F.lit(salts))
@@ -159,14 +166,29 @@ def without_parent_tree(commits: DataFrame, trees: DataFrame) -> DataFrame:
     return children.join(present, F.get("parents", F.lit(0)) == F.col("_parent"), "left_anti").select("commit_hash")
 
 
-def commit_diffs(commits: DataFrame, patches: DataFrame, n: int = K.LATEST_COMMITS) -> DataFrame:
+def commit_diffs(
+    commits: DataFrame,
+    patches: DataFrame,
+    n: int = K.LATEST_COMMITS,
+    per_project: bool = False,
+    branch: str | None = None,
+) -> DataFrame:
     """Non-empty patches (commit_hash, path, diff_text) of the newest commits, roots left out.
 
-    The ``n`` commit hashes are broadcast, so patches are not shuffled.
+    The newest of all commits, or of every project, and of one branch when it is named.
+    The ``n`` commit hashes are broadcast, so patches are not shuffled; those of all
+    projects have no such limit, and Spark chooses the join by their size.
     """
     keys = _commit_keys(patches)
-    latest = latest_commits(commits, n).filter(F.size("parents") > 0).select(*keys)
-    return patches.filter(F.col("diff_text") != "").join(limited_broadcast(latest, n), keys, "left_semi")
+    newest = latest_commits(commits, n, per_project, branch=branch)
+    latest = newest.filter(F.size("parents") > 0).select(*keys)
+    limited = latest if per_project else limited_broadcast(latest, n)
+    return patches.filter(F.col("diff_text") != "").join(limited, keys, "left_semi")
+
+
+def class_counts(samples: DataFrame, label_col: str = "label") -> DataFrame:
+    """Rows (label, n) of labelled samples; missing labels are a class of their own."""
+    return samples.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
 
 
 def append_corpora(*corpora: DataFrame) -> DataFrame:

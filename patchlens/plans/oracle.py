@@ -388,6 +388,17 @@ TESTED = f"""
 QUERIES: dict[str, str] = {
     "src_changes_roundtrip": "SELECT * FROM changes",
     "src_changes_json": "SELECT * FROM changes",
+    "src_changes_json_array": "SELECT * FROM changes",
+    "src_commit_tables": "SELECT project, commit_hash, file_path, buggy_change, fixed_change, buggy_label, fixed_label FROM mined",
+    "corpus_class_counts": "SELECT label, count(*) AS n FROM samples GROUP BY label",
+    "commits_latest_branch": """
+        SELECT project_url, commit_hash, committed_at FROM commits WHERE ('0x' || substr(commit_hash, 1, 4))::BIGINT % 3 <> 0
+        QUALIFY row_number() OVER (PARTITION BY project_url ORDER BY committed_at DESC, commit_hash) <= 10""",
+    "diff_dataset_per_project": """
+        SELECT commit_hash, added_loc, removed_loc FROM labelled_diffs JOIN (
+          SELECT k, commit_hash, n_parents FROM commits WHERE ('0x' || substr(commit_hash, 1, 4))::BIGINT % 3 <> 0
+          QUALIFY row_number() OVER (PARTITION BY project_url ORDER BY committed_at DESC, commit_hash) <= 20) ON k = 2 * diff_id
+        WHERE n_parents > 0""",
     "src_diff_csv_roundtrip": """
         SELECT substr(diff_text, 1, 5000) AS diff_text, added_loc::INTEGER AS added_loc, removed_loc::INTEGER AS removed_loc,
                lint_warnings::INTEGER AS lint_warnings, (lint_warnings > 0)::INTEGER AS label FROM labelled_diffs""",

@@ -65,6 +65,28 @@ def src_changes_json(spark, sf_dir):
     return tables.read_changes(spark, path, format="json")
 
 
+@query
+def src_changes_json_array(spark, sf_dir):
+    """Files of about a hundred changes, each one JSON array."""
+    path = run_dir(spark, "changes-array")
+    changes = views.changes(spark, sf_dir)
+    part = F.pmod(F.xxhash64("commit_hash"), F.lit(changes.count() // 100 + 1))
+    arrays = changes.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*changes.columns))).alias("array"))
+    arrays.select("array").write.option("maxRecordsPerFile", 1).text(path)
+    return tables.read_changes(spark, path, format="json_array")
+
+
+@query
+def src_commit_tables(spark, sf_dir):
+    """Commits and file changes written as JSON lines, read back and mined."""
+    base = run_dir(spark, "exports")
+    commits = views.commits(spark, sf_dir)
+    named = commits.select("commit_hash", "project_url").join(views.file_changes(spark, sf_dir), "commit_hash")
+    commits.withColumn("committed_at", F.timestamp_seconds("committed_at")).write.json(f"{base}/commits")
+    named.withColumn("filename", F.col("new_path")).write.json(f"{base}/files")
+    return M.mine_changes(tables.read_commits(spark, f"{base}/commits"), tables.read_file_changes(spark, f"{base}/files"))
+
+
 @query
 def src_diff_csv_roundtrip(spark, sf_dir):
     path = run_dir(spark, "diffs-csv")
@@ -150,6 +172,31 @@ def commits_latest_per_project(spark, sf_dir):
     return latest.select("project_url", "commit_hash", "committed_at")
 
 
+def _branched(spark, sf_dir):
+    """Two commits of three are on the main branch, the others on a side branch."""
+    main = F.when(F.conv(F.substring("commit_hash", 1, 4), 16, 10).cast("long") % 3 != 0, "main").otherwise("side")
+    return views.commits(spark, sf_dir).withColumn("branches", F.array(main))
+
+
+@query
+def commits_latest_branch(spark, sf_dir):
+    latest = M.latest_commits(_branched(spark, sf_dir), n=10, per_project=True, branch="main")
+    return latest.select("project_url", "commit_hash", "committed_at")
+
+
+@query
+def diff_dataset_per_project(spark, sf_dir):
+    commits = _branched(spark, sf_dir)
+    owned = commits.select("commit_hash", "project_url").join(views.patches(spark, sf_dir), "commit_hash")
+    newest = M.commit_diffs(commits, owned, n=20, per_project=True, branch="main")
+    return D.diff_stats(newest).select("commit_hash", "added_loc", "removed_loc")
+
+
+@query
+def corpus_class_counts(spark, sf_dir):
+    return M.class_counts(P.labelled_samples(views.changes(spark, sf_dir)))
+
+
 @query
 def diff_first_parent(spark, sf_dir):
     return M.changed_files(views.commits(spark, sf_dir), views.trees(spark, sf_dir))

@@ -28,6 +28,15 @@ FILE_CHANGES = _struct(
     source_after=T.StringType(),
 )
 
+# Exports of several repositories: the branches of a commit, the project and former path of a file.
+EXPORTED_COMMITS = T.StructType([*COMMITS.fields, *_struct(branches=T.ArrayType(T.StringType())).fields])
+EXPORTED_FILE_CHANGES = T.StructType(
+    [
+        *_struct(project_url=T.StringType(), filename=T.StringType(), old_path=T.StringType()).fields,
+        *FILE_CHANGES.fields,
+    ]
+)
+
 CHANGES = _struct(
     project=T.StringType(),
     commit_hash=T.StringType(),

@@ -11,6 +11,7 @@ from patchlens.functions import constants as K
 from patchlens.operators.review import FINDINGS_DDL, map_severity
 
 ROWS_PER_FILE = 500_000
+PROJECT_COPY = "project_name"
 # Quotes doubled, texts kept as they are: "" stays "" and blanks are not trimmed.
 DIFF_CSV_OPTIONS = {
     "header": "true",
@@ -23,38 +24,49 @@ DIFF_CSV_OPTIONS = {
     "encoding": "UTF-8",
 }
 NULL_MARK = "\\N"
+LIKE_NULL = r"\A\\+N\z"
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
     """Exported commits, one JSON object per line."""
-    return spark.read.schema(schemas.COMMITS).json(path)
+    return spark.read.schema(schemas.EXPORTED_COMMITS).json(path)
 
 
-def read_file_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Exported file changes, one JSON object per line."""
-    return spark.read.schema(schemas.FILE_CHANGES).json(path)
+def read_file_changes(spark: SparkSession, path: str, by_project: bool = True) -> DataFrame:
+    """Exported file changes, one JSON object per line.
+
+    ``by_project=False`` reads the export of one repository, which names no project.
+    """
+    changes = spark.read.schema(schemas.EXPORTED_FILE_CHANGES).json(path)
+    return changes if by_project else changes.drop("project_url")
 
 
 def read_changes(spark: SparkSession, path: str | list[str], format: str = "parquet") -> DataFrame:
     """A change corpus as "parquet", "json" (lines) or "json_array".
 
-    A single JSON array cannot be split, so that form is for exchange; several
-    files are read in parallel. A missing path is an error.
+    A filter on the project opens its folder only. A single JSON array cannot be
+    split, so that form is for exchange; several files are read in parallel. A
+    missing path is an error.
     """
-    reader = spark.read.schema(schemas.CHANGES)
     if format == "json_array":
-        return reader.option("multiLine", "true").json(path)
-    return reader.format(format).load(path)
+        return spark.read.schema(schemas.CHANGES).option("multiLine", "true").json(path)
+    stored = T.StructType([*schemas.CHANGES.fields, T.StructField(PROJECT_COPY, T.StringType())])
+    changes = spark.read.schema(stored).format(format).load(path)
+    # empty and missing projects share one folder; only there the copy is needed
+    named = changes.filter(F.col("project").isNotNull())
+    others = changes.filter(F.col("project").isNull()).withColumn("project", F.col(PROJECT_COPY))
+    return named.unionByName(others).select(*schemas.CHANGES.names)
 
 
 def write_changes(changes: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
     """One folder per project.
 
-    Rebalancing gathers small projects, so that tasks do not leave a file each in
+    The project is kept in the files too, as a folder name cannot tell an empty project
+    from a missing one. Rebalancing gathers small projects, so that tasks do not leave a file each in
     every folder, and splits a large project over many tasks.
     """
     (
-        changes.select(*schemas.CHANGES.names)
+        changes.select(*schemas.CHANGES.names, F.col("project").alias(PROJECT_COPY))
         .hint("rebalance", "project")
         .write.mode(mode)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -69,16 +81,20 @@ def write_labelled_diffs(diffs: DataFrame, path: str, mode: str = "errorifexists
 
     Reading multi-line CSV takes one task per file, hence the bound.
     """
-    writer = diffs.select(*schemas.LABELLED_DIFFS.names).write.mode(mode)
+    # a text that looks like the mark of a missing one gets a backslash more
+    marked = F.when(F.col("diff_text").rlike(LIKE_NULL), F.concat(F.lit("\\"), "diff_text")).otherwise(F.col("diff_text"))
+    writer = diffs.select(*schemas.LABELLED_DIFFS.names).withColumn("diff_text", marked).write.mode(mode)
     writer.options(**DIFF_CSV_OPTIONS, quoteAll="true", nullValue=NULL_MARK, maxRecordsPerFile="20000").csv(path)
 
 
 def read_labelled_diffs(spark: SparkSession, path: str) -> DataFrame:
-    return (
+    stored = (
         spark.read.schema(schemas.LABELLED_DIFFS)
         .options(**DIFF_CSV_OPTIONS, multiLine="true", nullValue=NULL_MARK, maxCharsPerColumn="-1")
         .csv(path)
     )
+    text = F.col("diff_text")
+    return stored.withColumn("diff_text", F.when(text.rlike(LIKE_NULL), F.substring(text, 2, 2147483647)).otherwise(text))
 
 
 def _plain_finding(e: Column) -> Column:

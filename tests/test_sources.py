@@ -15,6 +15,8 @@ CHANGES = [
     ("kit", "c1", "a.java", "line\n\"quoted\", x", "", 1.0, 0.0),
     ("kit", "c2", "b.java", None, " padded ", 0.5, 0.5),
     ("pot", "c3", "c.java", "é\r\n", "\\", 1.0, 0.0),
+    ("", "c4", "d.java", "x", "y", 1.0, 0.0),
+    (None, "c5", "e.java", "x", "y", 1.0, 0.0),
 ]
 
 
@@ -46,13 +48,13 @@ def test_missing_corpus_is_an_error(spark, tmp_path):
 
 
 def test_labelled_diffs(spark, tmp_path):
-    texts = ["a\nb", "", " lead and trail ", 'say "hi", ok', "\\", "\\N", "x\r\ny", "\t", '"', "é\u2028z", None]
+    texts = ["a\nb", "", " lead and trail ", 'say "hi", ok', "\\", "\\N", "\\\\N", "x\\N", "x\r\ny", "\t", '"', "é\u2028z", None]
     rows = [(t, i, 0, 0, i % 2) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, schemas.LABELLED_DIFFS)
     path = str(tmp_path / "csv")
     tables.write_labelled_diffs(df, path)
     back = {r["added_loc"]: r["diff_text"] for r in tables.read_labelled_diffs(spark, path).collect()}
-    assert {i: back[i] for i in range(len(texts)) if i != 5} == {i: t for i, t in enumerate(texts) if i != 5}
+    assert back == dict(enumerate(texts))
 
 
 def test_lint_reports(spark, tmp_path):
@@ -82,7 +84,9 @@ def test_exported_history(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"commit_hash": "c", "msg": "fix", "parents": ["p"], "committed_at": "2024-01-01T00:00:00Z"}\n')
     (tmp_path / "f.json").write_text('{"commit_hash": "c", "new_path": "a.java", "deleted": [{"line_no": 1, "text": "x"}], "added": []}\n')
     assert tables.read_commits(spark, str(tmp_path / "c.json")).first()["parents"] == ["p"]
-    assert tables.read_file_changes(spark, str(tmp_path / "f.json")).select(F.size("deleted")).first()[0] == 1
+    files = tables.read_file_changes(spark, str(tmp_path / "f.json"))
+    assert files.select(F.size("deleted")).first()[0] == 1 and "project_url" in files.columns
+    assert "project_url" not in tables.read_file_changes(spark, str(tmp_path / "f.json"), by_project=False).columns
 
 
 def test_stored_reports_are_found_by_id(spark, tmp_path):

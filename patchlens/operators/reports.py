@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.operators.joins import BROADCAST_LIMIT, sized_join
-from patchlens.operators.review import Analyzer, normalized_severity, run_analyzers
+from patchlens.operators.review import (
+    Analyzer,
+    RowAnalyzer,
+    StoredAnalyzer,
+    all_findings,
+    normalized_severity,
+    one_row_each,
+    run_analyzers,
+)
 from patchlens.session import materialize
 
 SUMMARY_TEMPLATE = (
@@ -38,22 +46,64 @@ def attach_code(flags: DataFrame, files: DataFrame, limit: int = BROADCAST_LIMIT
     """Flagged sections with the full file text at their commit.
 
     ``files`` is (repo, path, ref, code). Files that are missing or empty drop
-    out. Pass ``flags`` from :func:`flagged`: its size decides the join.
+    out. Pass ``flags`` from :func:`flagged`: its size decides the join. Further
+    columns of ``flags`` stay.
     """
     keys = ["repo", "filename", "head_sha"]
     named = files.withColumnsRenamed({"path": "filename", "ref": "head_sha"})
     texts = named.filter(F.col("code") != "").select(*keys, "code")
     joined = sized_join(texts, flags, keys, limit=limit, count_large=named.select(*keys), prune_by="repo")
-    return joined.select(*FLAG_KEYS, "code")
+    return joined.select(*flags.columns, "code")
+
+
+def can_fail(analyzers: Sequence[Analyzer]) -> bool:
+    """Whether one of them runs code of a user, which may fail for a file."""
+    return not all(isinstance(a, (RowAnalyzer, StoredAnalyzer)) for a in analyzers)
+
+
+def analyse_flagged(
+    flags: DataFrame, files: DataFrame, analyzers: Sequence[Analyzer], limit: int = BROADCAST_LIMIT
+) -> DataFrame:
+    """Every flagged section with a text: (report_id, keys, issues, code, failures).
+
+    Stored findings are joined to the narrow flags before the texts come, and rules
+    are a column over the text, so texts are fetched once and not shuffled when the
+    flags are few. Only analyzers of other kinds have the texts written for them.
+    """
+    keyed = flags.select(*FLAG_KEYS, report_id(*[F.col(k) for k in FLAG_KEYS]).alias("report_id"))
+    kinds = dict(enumerate(analyzers))
+    stored = {i: a for i, a in kinds.items() if isinstance(a, StoredAnalyzer)}
+    others = {i: a for i, a in kinds.items() if not isinstance(a, (RowAnalyzer, StoredAnalyzer))}
+    if stored:
+        ids = keyed.select(F.col("report_id").alias("file_id"))
+        for i, analyze in stored.items():
+            found = one_row_each(analyze(ids), f"_f{i}").withColumnRenamed("file_id", "report_id")
+            keyed = keyed.join(found, "report_id", "left")
+        keyed = materialize(keyed, "answered")
+    coded = attach_code(keyed, files, limit)
+    if others:
+        coded = materialize(coded, "coded")
+        texts = coded.select(F.col("report_id").alias("file_id"), "code")
+        for i, analyze in others.items():
+            found = one_row_each(analyze(texts), f"_f{i}").withColumnRenamed("file_id", "report_id")
+            coded = coded.join(found, "report_id", "left")
+    parts = [
+        a.column(F.col("code")) if isinstance(a, RowAnalyzer) else F.col(f"_f{i}.findings") for i, a in kinds.items()
+    ]
+    failures = F.array_compact(F.array(*[F.col(f"_f{i}.failure") for i in others])).cast("array<string>")
+    return coded.select(
+        "report_id", *FLAG_KEYS, all_findings(parts).alias("issues"), "code", failures.alias("failures")
+    )
+
+
+def with_issues(analysed: DataFrame) -> DataFrame:
+    """The reports: sections whose file has at least one finding."""
+    return analysed.filter(F.size("issues") > 0).select("report_id", *FLAG_KEYS, "issues", "code")
 
 
 def build_reports(flags: DataFrame, files: DataFrame, analyzers: Sequence[Analyzer], limit: int = BROADCAST_LIMIT) -> DataFrame:
     """One report per flagged section whose file has at least one finding."""
-    coded = attach_code(flags, files, limit).withColumn(
-        "report_id", report_id(*[F.col(k) for k in FLAG_KEYS])
-    )
-    # every analyzer reads the texts, so they are fetched once
-    return reports_from_code(materialize(coded, "coded"), analyzers)
+    return with_issues(analyse_flagged(flags, files, analyzers, limit))
 
 
 def reports_from_code(coded: DataFrame, analyzers: Sequence[Analyzer]) -> DataFrame:

@@ -1,14 +1,18 @@
 """Findings: rule analyzers over code, review requests and responses, and their union.
 
-An analyzer takes a DataFrame (file_id, code) and returns (file_id, findings)
-with at most one row per file. Findings stay inside the row of their file, so
-combining analyzers never collects rows from elsewhere.
+An analyzer takes a DataFrame (file_id, code) and returns (file_id, findings[,
+failure]) with at most one row per file; a second row is an error. ``RowAnalyzer``
+and ``StoredAnalyzer`` are the forms that need no second pass over the texts.
+Findings stay inside the row of their file, so combining analyzers never collects
+rows from elsewhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +58,62 @@ def lint_findings(
     return F.flatten(F.transform(split_lines(code), on_line)).cast(FINDINGS_DDL)
 
 
-def rule_analyzer(rules: Sequence[tuple[str, str, str]] = LINE_RULES, source: str = K.LINTER_SOURCE) -> Analyzer:
+@dataclass(frozen=True)
+class RowAnalyzer:
+    """Findings that follow from the text of the row: a column over it, no join."""
+
+    column: Callable[[Column], Column]
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        return files.select("file_id", self.column(F.col("code")).alias("findings"))
+
+
+@dataclass(frozen=True)
+class StoredAnalyzer:
+    """Findings that are looked up by ``file_id``: texts take no part."""
+
+    lookup: Analyzer
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        return self.lookup(files.select("file_id"))
+
+
+def rule_analyzer(rules: Sequence[tuple[str, str, str]] = LINE_RULES, source: str = K.LINTER_SOURCE) -> RowAnalyzer:
+    return RowAnalyzer(lambda code: lint_findings(code, rules, source))
+
+
+def text_analyzer(review: Callable[[str], Sequence[tuple[int, str, str]]], source: str) -> Analyzer:
+    """Findings (line, severity, message) of a Python function of one text, in Arrow batches.
+
+    A file for which it raises has no findings of this analyzer and the error in
+    ``failure``; the other files go on. A missing text is an empty one.
+    """
+
+    def attempt(code: str | None) -> tuple[list[dict], str | None]:
+        try:
+            found = [
+                {"line": line, "severity": severity, "message": message, "source": source}
+                for line, severity, message in review(code or "")
+            ]
+            return found, None
+        except Exception as error:  # one bad file must not stop the others
+            return [], f"{source}: {error!r}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [attempt(code) for code in batch["code"]]
+            yield pd.DataFrame(
+                {"file_id": batch["file_id"], "findings": [f for f, _ in found], "failure": [e for _, e in found]}
+            )
+
     def analyze(files: DataFrame) -> DataFrame:
-        return files.select("file_id", lint_findings(F.col("code"), rules, source).alias("findings"))
+        kind = files.schema["file_id"].dataType.simpleString()
+        return files.select("file_id", "code").mapInPandas(run, f"file_id {kind}, findings {FINDINGS_DDL}, failure string")
 
     return analyze
 
 
-def response_analyzer(responses: DataFrame) -> Analyzer:
+def response_analyzer(responses: DataFrame) -> StoredAnalyzer:
     """Findings from stored review responses (file_id, response[, turn]).
 
     All responses to a file count, in order of ``turn``; a file has one row of findings.
@@ -74,7 +126,7 @@ def response_analyzer(responses: DataFrame) -> Analyzer:
         answers = F.array_sort(F.collect_list(F.struct("turn", "findings")))
         return wanted.groupBy("file_id").agg(F.flatten(answers["findings"]).alias("findings"))
 
-    return analyze
+    return StoredAnalyzer(analyze)
 
 
 def lint_lines(files: DataFrame, id_col: str = "file_id", code_col: str = "code") -> DataFrame:
@@ -129,18 +181,36 @@ def normalized_severity(severity: Column) -> Column:
     return F.when(severity.isin("critical", "major", "minor"), severity).otherwise(map_severity(severity))
 
 
+def one_row_each(found: DataFrame, name: str) -> DataFrame:
+    """(file_id, <name>) with a struct of findings and failure; two rows of a file are an error."""
+    failure = F.col("failure") if "failure" in found.columns else F.lit(None).cast("string")
+    answer = F.struct(F.col("findings").cast(FINDINGS_DDL).alias("findings"), failure.alias("failure"))
+    twice = F.raise_error(F.concat(F.lit("an analyzer gave two rows for "), F.col("file_id").cast("string")))
+    rows = found.groupBy("file_id").agg(F.first(answer).alias("_answer"), F.count("*").alias("_n"))
+    kind = f"struct<findings:{FINDINGS_DDL},failure:string>"
+    return rows.select("file_id", F.when(F.col("_n") > 1, twice.cast(kind)).otherwise(F.col("_answer")).alias(name))
+
+
+def all_findings(answers: Sequence[Column]) -> Column:
+    """The findings of several analyzers as one list, in order; a missing list is empty."""
+    return F.concat(*[F.coalesce(a, F.array().cast(FINDINGS_DDL)) for a in answers])
+
+
 def run_analyzers(files: DataFrame, analyzers: Sequence[Analyzer]) -> DataFrame:
     """(file_id, findings) of all analyzers, in the order given; files without any stay.
 
     ``files`` has one row per file_id. Only ids and findings are joined.
     """
-    combined = files.select("file_id")
-    names = []
+    local = [a.column(F.col("code")).alias(f"_f{i}") for i, a in enumerate(analyzers) if isinstance(a, RowAnalyzer)]
+    combined = files.select("file_id", *local)
+    parts = []
     for i, analyze in enumerate(analyzers):
-        names.append(f"_f{i}")
-        combined = combined.join(analyze(files).withColumnRenamed("findings", names[-1]), "file_id", "left")
-    empty = F.array().cast(FINDINGS_DDL)
-    return combined.select("file_id", F.concat(*[F.coalesce(n, empty) for n in names]).alias("findings"))
+        if isinstance(analyze, RowAnalyzer):
+            parts.append(F.col(f"_f{i}"))
+        else:
+            combined = combined.join(one_row_each(analyze(files), f"_f{i}"), "file_id", "left")
+            parts.append(F.col(f"_f{i}.findings"))
+    return combined.select("file_id", all_findings(parts).alias("findings"))
 
 
 def findings_rows(findings: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def write_lint_reports(findings: DataFrame, path: str) -> None:
 
 
 def write_reports(reports: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
-    """One folder per first digit of the id, sorted by id.
+    """One folder per first digit of the id, sorted by id. Streams use the same layout.
 
     A lookup opens one folder and, in parquet, the row groups that can hold the id.
     """

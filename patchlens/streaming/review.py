@@ -6,14 +6,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from patchlens.functions.text import has_suffix
 from patchlens.operators.diffs import parse_diffs
 from patchlens.operators.joins import sized_join
-from patchlens.operators.reports import build_reports, flagged
+from patchlens import schemas
+from patchlens.operators.reports import FLAG_KEYS, analyse_flagged, can_fail, flagged, with_issues
 from patchlens.operators.review import Analyzer
 from patchlens.session import materialize
+from patchlens.sources.tables import write_reports
 from patchlens.streaming.events import rejected_events, review_requests
 
 LEDGER_BUCKETS = 256  # folders of handled deliveries, by repository
@@ -23,7 +26,14 @@ Scorer = Callable[[DataFrame], DataFrame]  # (..., content) -> the same rows + r
 def review_batch(
     requests: DataFrame, diffs: DataFrame, files: DataFrame, scorer: Scorer, analyzers: Sequence[Analyzer]
 ) -> DataFrame:
-    """Reports for a table of review requests (repo, pr, head_sha).
+    """Reports for a table of review requests (repo, pr, head_sha)."""
+    return with_issues(analyse_batch(requests, diffs, files, scorer, analyzers))
+
+
+def analyse_batch(
+    requests: DataFrame, diffs: DataFrame, files: DataFrame, scorer: Scorer, analyzers: Sequence[Analyzer]
+) -> DataFrame:
+    """The risky sections of the requested changes with their issues and failures.
 
     Requests and flagged sections are narrow and written down before they are
     joined, so their measured size chooses between broadcast and shuffle. When
@@ -35,7 +45,7 @@ def review_batch(
     keys = [c for c in ("repo", "pr", "head_sha") if c in diffs.columns]
     changed = sized_join(diffs.select(*keys, "diff_text"), wanted, keys, count_large=diffs.select(*keys), prune_by="repo")
     snippets = parse_diffs(changed, "diff_text").filter(has_suffix(F.col("filename")))
-    return build_reports(flagged(scorer(snippets)), files, analyzers)
+    return analyse_flagged(flagged(scorer(snippets)), files, analyzers)
 
 
 def review_stream(
@@ -56,7 +66,8 @@ def review_stream(
     batches. A new delivery for a reviewed change, as when it is reopened, is
     reviewed again. Each micro-batch replaces its own folder ``batch_id=<n>`` under
     ``sink`` and in the ledger, so a batch that is retried leaves its reports once.
-    Report ids are derived from the change, see :func:`read_stream_reports`.
+    Report ids are derived from the change, see :func:`read_stream_reports`. A file for
+    which an analyzer fails is listed under ``<sink>-failed``, and the others go on.
     """
     requests = review_requests(events, secret)
     ledger = f"{checkpoint.rstrip('/')}-handled"
@@ -64,8 +75,12 @@ def review_stream(
     def store(batch: DataFrame, batch_id: int) -> None:
         narrow = batch.select("event_id", "repo", "pr", "head_sha").withColumn("bucket", _bucket())
         arrived = materialize(narrow, "deliveries")
-        reports = review_batch(_unhandled(arrived, ledger, batch_id), diffs, files, scorer, analyzers)
-        reports.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        analysed = analyse_batch(_unhandled(arrived, ledger, batch_id), diffs, files, scorer, analyzers)
+        if can_fail(analyzers):
+            analysed = materialize(analysed, "analysed")
+            failed = analysed.filter(F.size("failures") > 0).select("report_id", *FLAG_KEYS, "failures")
+            failed.write.mode("overwrite").parquet(f"{sink}-failed/batch_id={batch_id}")
+        write_reports(with_issues(analysed), f"{sink}/batch_id={batch_id}", mode="overwrite")
         handled = arrived.select("event_id", "bucket").distinct().repartition("bucket")
         handled.write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/batch_id={batch_id}")
 
@@ -93,10 +108,11 @@ def _unhandled(arrived: DataFrame, ledger: str, batch_id: int) -> DataFrame:
 
 
 def read_stream_reports(spark, sink: str) -> DataFrame:
-    """Stored reports; of a change that was reviewed again, the latest."""
-    stored = spark.read.parquet(sink)
-    latest = stored.groupBy("report_id").agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(latest, ["report_id", "batch_id"]).drop("batch_id")
+    """Stored reports with their ``id_prefix``; of a change that was reviewed again, the latest."""
+    folders = [T.StructField("batch_id", T.LongType()), T.StructField("id_prefix", T.StringType())]
+    stored = spark.read.schema(T.StructType([*schemas.REPORTS.fields, *folders])).parquet(sink)
+    latest = stored.groupBy("report_id", "id_prefix").agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(latest, ["report_id", "id_prefix", "batch_id"]).drop("batch_id")
 
 
 def request_stream(events: DataFrame, secret: str, sink: str, checkpoint: str) -> StreamingQuery:

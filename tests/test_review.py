@@ -76,6 +76,39 @@ def test_analyzers_are_combined_in_order(spark):
     }
 
 
+def test_a_failing_file_stops_no_other(spark):
+    def length_rule(code):
+        if "poison" in code:
+            raise ValueError("no such luck")
+        return [(len(code), "major", "length")]
+
+    files = spark.createDataFrame([("a", "x"), ("b", "poison"), ("c", None)], "file_id string, code string")
+    found = {r["file_id"]: r for r in W.text_analyzer(length_rule, "own")(files).collect()}
+    assert [tuple(f) for f in found["a"]["findings"]] == [(1, "major", "length", "own")]
+    assert found["b"]["findings"] == [] and "no such luck" in found["b"]["failure"]
+    assert found["c"]["findings"][0]["line"] == 0 and found["c"]["failure"] is None
+    both = W.run_analyzers(files, [W.text_analyzer(length_rule, "own"), W.rule_analyzer()])
+    assert {r["file_id"]: len(r["findings"]) for r in both.collect()} == {"a": 1, "b": 0, "c": 1}
+
+
+def test_two_rows_for_a_file_are_an_error(spark):
+    files = spark.createDataFrame([("a", "x")], "file_id string, code string")
+    twice = lambda f: W.rule_analyzer()(f).union(W.rule_analyzer()(f))
+    with pytest.raises(Exception, match="two rows"):
+        W.run_analyzers(files, [twice]).collect()
+
+
+def test_reports_move_no_text(spark):
+    flags = spark.createDataFrame([("r", 1, "s", 0, "a.java")], "repo string, pr long, head_sha string, pos int, filename string")
+    files = spark.createDataFrame([("r", "a.java", "s", "null")], "repo string, path string, ref string, code string")
+    rid = flags.select(R.report_id(*[F.col(k) for k in R.FLAG_KEYS])).first()[0]
+    answers = spark.createDataFrame([(rid, ONE)], "file_id string, response string")
+    built = R.build_reports(flags, files, [W.rule_analyzer(), W.response_analyzer(answers)])
+    assert [(i["source"], i["line"]) for i in built.first()["issues"]] == [("Checkstyle", 1), ("LLM", 3)]
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_severities(spark):
     values = ["error", "fatal", "warning", None, "critical", "major", "minor"]
     df = spark.createDataFrame([(v,) for v in values], "s string")

@@ -139,6 +139,26 @@ def test_repeated_batch_replaces_its_folder(spark, tmp_path, tables):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
 
+def test_a_failing_file_is_listed_and_the_stream_goes_on(spark, tmp_path, tables):
+    diffs, files = tables
+    files = files.withColumn("code", F.when(F.col("ref") == "s2", "poison").otherwise(F.col("code")))
+
+    def own(code):
+        if "poison" in code:
+            raise ValueError("no such luck")
+        return [(1, "major", "own")]
+
+    folder, out = str(tmp_path / "in"), f"{tmp_path}/out"
+    frame(spark, EVENTS).coalesce(1).write.parquet(folder)
+    SR.review_stream(
+        source(spark, folder), diffs, files, scorer, [W.text_analyzer(own, "own")], SECRET, out, f"{tmp_path}/state"
+    ).awaitTermination()
+    stored = SR.read_stream_reports(spark, out)
+    assert [(r["head_sha"], r["id_prefix"]) for r in stored.collect()] == [("s1", r["report_id"][0]) for r in stored.collect()]
+    failed = spark.read.parquet(f"{out}-failed").collect()
+    assert [(r["head_sha"], "no such luck" in r["failures"][0]) for r in failed] == [("s2", True)]
+
+
 def test_hot_change_is_reviewed_once(spark, tmp_path, tables):
     folder = str(tmp_path / "in")
     frame(spark, [event(i, body()) for i in range(300)]).coalesce(1).write.parquet(folder)
@@ -158,7 +178,7 @@ def test_model_in_the_stream(spark, tmp_path, tables):
         f"{tmp_path}/out", f"{tmp_path}/state",
     )
     query.awaitTermination()
-    stored = spark.read.parquet(f"{tmp_path}/out")
+    stored = SR.read_stream_reports(spark, f"{tmp_path}/out")  # no risky section leaves no file
     scored = L.triage(L.score_snippets(spark.createDataFrame([("x == null",), ("calm",)], "content string"), model))
     risky = {r["content"] for r in scored.filter("risky = 1").collect()}
     expected = [name for name, text in (("a.java", "x == null"), ("c.java", "calm")) if text in risky]

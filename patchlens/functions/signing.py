@@ -11,7 +11,10 @@ BLOCK_BYTES = 64  # of SHA-256
 
 
 def hmac_sha256(secret: str, body: Column) -> Column:
-    """Hex digest over the raw bytes of ``body``."""
+    """Hex digest over the raw bytes of ``body``.
+
+    The key pads are literals of the plan; ``build_session`` has Spark redact them in plan text.
+    """
     key = secret.encode("utf-8")
     if len(key) > BLOCK_BYTES:
         key = hashlib.sha256(key).digest()

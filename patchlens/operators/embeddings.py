@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions.vectors import concat_vectors, l2_normalize
+from patchlens.operators.joins import sized_join
+from patchlens.session import materialize
 
 
 def content_key(df: DataFrame, text_col: str) -> DataFrame:
@@ -19,11 +21,14 @@ def content_key(df: DataFrame, text_col: str) -> DataFrame:
 def missing_embeddings(df: DataFrame, text_col: str, cache: DataFrame) -> DataFrame:
     """Distinct texts (key, text) that have no cached embedding yet.
 
-    Keyed by content, so the order or choice of rows cannot mix up vectors.
-    Copies of a text collapse before the shuffle, however many there are.
+    Keyed by content, so the order or choice of rows cannot mix up vectors. The
+    missing keys are found without the texts and written down; only texts with a
+    missing key are moved, and their copies collapse before that.
     """
-    distinct = content_key(df, text_col).select("key", text_col).dropDuplicates(["key"])
-    return distinct.join(cache.select("key"), "key", "left_anti")
+    keyed = content_key(df, text_col).select("key", text_col)
+    wanted = keyed.select("key").distinct().join(cache.select("key"), "key", "left_anti")
+    missing = materialize(wanted, "missing-keys")
+    return sized_join(keyed, missing, ["key"], count_large=keyed.select("key")).dropDuplicates(["key"])
 
 
 def normalize_embeddings(df: DataFrame, vector_col: str = "embedding") -> DataFrame:

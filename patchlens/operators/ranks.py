@@ -33,7 +33,7 @@ def running_totals(
         *[F.sum(f"_{t}").over(whole).alias(f"{t}_total") for t in totals],
     )
     inside = Window.partitionBy(group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # at most one row per partition and group
+    # groups lie one after the other in the ranges: rows <= partitions + groups
     return placed.join(F.broadcast(offsets), [group, "_bucket"]).select(
         *counts.columns,
         *[f"{t}_total" for t in totals],

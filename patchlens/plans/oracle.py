@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from patchlens.functions.constants import EXTENDED_KEYWORDS, KEYWORDS
+
 W = r"[\pL\pN_]"
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\pZ"
@@ -21,11 +23,6 @@ def quoted(*items: str) -> str:
     return ", ".join("'" + i.replace("'", "''") + "'" for i in items)
 
 
-KEYWORDS = (
-    "if else for while switch case try catch finally throw throws public private protected static final "
-    "return new import class interface enum"
-).split()
-KEYWORDS_24 = [*KEYWORDS, "extends", "implements"]
 NOT_CALLABLE = quoted(
     *"if for while switch catch synchronized try return throw new super this assert case else do instanceof".split()
 )
@@ -335,7 +332,7 @@ def basic(table: str, key: str, text: str) -> str:
 def rich(table: str, key: str, text: str, extra: str = "") -> str:
     low = f"lower({text})"
     return rf"""SELECT {key}, {extra} len({lines(text)}) AS num_lines, length({text}) AS num_chars,
-        {word_hits(low, KEYWORDS_24)} AS keyword_count,
+        {word_hits(low, EXTENDED_KEYWORDS)} AS keyword_count,
         {word_hits(low, ['if', 'for', 'while', 'switch', 'case'])} AS control_count,
         {word_hits(low, ['try', 'catch', 'throw', 'throws', 'finally'])} AS exception_count,
         {hits(text, W + '+[' + SPACE + ']*' + chr(92) + '(')} AS method_calls,

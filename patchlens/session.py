@@ -6,6 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# key pads of a signature check, as plan text shows them
+SECRET_PATTERN = "(?i)(0x|X')[0-9a-f]{128}"
+
+
 def build_session(app: str = "patchlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects; ``conf`` overrides them.
 
@@ -21,6 +25,7 @@ def build_session(app: str = "patchlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.redaction.string.regex": SECRET_PATTERN,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -30,8 +35,8 @@ def build_session(app: str = "patchlens", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local-mode session may do without; it uses the warehouse folder. A folder
-    of one machine is refused on a cluster.
+    Only a local-mode session may do without; it uses the warehouse folder. Whether
+    executors share the folder that is set cannot be told from its name.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:

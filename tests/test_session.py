@@ -29,3 +29,15 @@ def test_spread_only_small_scans(spark, tmp_path):
     assert one.rdd.getNumPartitions() == 8
     many = spark.range(0, 1000, 1, 50)
     assert session.spread(many, "id") is many
+
+
+def test_plan_text_hides_the_key(spark):
+    from patchlens.functions.signing import BLOCK_BYTES, is_authentic
+
+    key = "a secret of a service"
+    df = spark.createDataFrame([("b", "sha256=00")], "body string, sig string").filter(is_authentic(key, F.col("body"), F.col("sig")))
+    pads = [bytes(b ^ x for b in key.encode().ljust(BLOCK_BYTES, b"\0")).hex() for x in (0x36, 0x5C)]
+    texts = [df._jdf.queryExecution().toString(), df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))]
+    assert all(pad not in text.lower() for pad in pads for text in texts)
+    assert df.count() == 0

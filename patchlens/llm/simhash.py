@@ -15,6 +15,7 @@ forest of the links leaves the task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlens.llm import shingles
 from patchlens.llm.common import SPACED, connected_components, word_lists
 from patchlens.session import materialize
 
@@ -220,18 +222,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, similarity: Fraction | None = None
+) -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays, once.
 
-    Rows with a null id cannot be told apart and stay. All columns of ``docs`` are returned.
+    Texts are linked by fingerprints and, with a ``similarity``, also if their sets of
+    five-word runs are as similar. Rows are told apart by id and a hash of the text, so an id
+    that stands for several texts loses only those that are near another. Rows with a null id
+    stay. All columns of ``docs`` are returned.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **params), "simhash-groups")
-    dropped = found.filter("doc_id IS NOT NULL AND doc_id != component_id")
-    dropped = dropped.select(F.col("doc_id").alias("_near_id")).distinct()
-    kept = docs.join(dropped, docs[id_col] == dropped["_near_id"], "left_anti")
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    repeated = repeated.select(F.col("doc_id").alias("_near_id"))
-    once = kept.join(repeated, kept[id_col] == repeated["_near_id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == repeated["_near_id"], "left_anti").unionByName(once)
+
+    def run(batches):
+        for batch in batches:
+            prints = [simhash(data, width) for data in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64())], ["doc_id", "mark", "print"])
+
+    key, mark = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    source = docs.select(key.alias("doc_id"), mark.alias("mark"), F.col(text_col).cast("binary").alias("data"))
+    rows = materialize(source.mapInArrow(run, "doc_id long, mark long, print long"), "simhash-rows")
+    reps = rows.groupBy("print").agg(F.min("mark").alias("rep"))
+    ends = near_links(rows, radius).join(reps.select(F.col("print").alias("a"), F.col("rep").alias("u")), "a")
+    ends = ends.join(reps.select(F.col("print").alias("b"), F.col("rep").alias("v")), "b")
+    links = rows.join(reps, "print").select(F.col("mark").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    links = links.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    if similarity is not None:
+        links = links.unionByName(shingles.similar_links(source.select("mark", "data"), similarity=similarity))
+    labels = connected_components(links).withColumnRenamed("node", "mark")
+
+    named = rows.filter("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    named = named.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    found = named.join(firsts, "root").withColumn("stays", F.struct("doc_id", "mark") == F.col("first"))
+    found = found.select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark"), "n", "stays")
+    found = materialize(found.filter("NOT stays OR n > 1"), "simhash-groups")
+    same = (docs[id_col].cast("long") == F.col("_near_id")) & (F.xxhash64(docs[text_col]) == F.col("_near_mark"))
+    kept = docs.join(found, same, "left_anti")
+    once = docs.join(found.filter("stays"), same, "inner").dropDuplicates(["_near_id", "_near_mark"])
+    return kept.unionByName(once.select(*[docs[c] for c in docs.columns]))

@@ -135,6 +135,39 @@ def test_one_row_of_repeats_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(table(spark, rows)).collect()) == [1, 2]
 
 
+def test_near_copies_by_similarity(spark):
+    """Copies of 0.8 or more in five-word runs go, whatever their fingerprints; those below stay."""
+    rng = np.random.default_rng(4)
+    words = [[f"w{x}" for x in rng.integers(0, 10**6, 200)] for _ in range(40)]
+    rows, near = [], {}
+    for i, own in enumerate(words):
+        rows.append((i, " ".join(own), "en"))
+        for j, n in enumerate((1, 3, 4, 5, 6, 20)):
+            copy = list(own)
+            for at in rng.choice(np.arange(2, 198, 5), n, replace=False):
+                copy[at] = "other"
+            rows.append((1000 + 10 * i + j, " ".join(copy), "en"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    prints = {i: plain_print(t) for i, t, _ in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    group = groups(sets, near + links)
+    assert groups(sets, links) != group != {i: i for i in sets}
+    kept = simhash.keep_first(table(spark, rows), similarity=Fraction(4, 5))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, g in group.items() if i == g)
+
+
+def test_shingle_sets_over_parts(monkeypatch):
+    from patchlens.llm import shingles
+
+    text = " ".join(f"w{i % 97}" for i in range(400)).encode()
+    whole = shingles.shingle_set(text).tolist()
+    monkeypatch.setattr(shingles, "PART", 7)
+    monkeypatch.setattr(shingles, "word_lists", lambda d, t: common.word_lists(d, t, 64))
+    assert shingles.shingle_set(text).tolist() == whole and len(whole) == 97
+    assert len(shingles.shingle_set(b"two words")) == 1 and len(shingles.shingle_set(b" \n")) == 0
+
+
 # 2 packing
 
 

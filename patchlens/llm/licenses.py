@@ -1,7 +1,8 @@
-"""License scans: phrases, and an exact set-similarity join of text blocks with templates."""
+"""License scans: phrases, and an exact set-similarity join of word windows with templates."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
@@ -38,9 +39,10 @@ def words_of(text: str | bytes) -> list[bytes]:
 
 
 class Join:
-    """Templates ready to be joined with blocks of words.
+    """Templates ready to be joined with windows of words.
 
-    Words of the templates are ordered by how many blocks of the corpus hold them, the rarest
+    A window is as long as the template divided by the threshold, wherever lines break.
+    Words of the templates are ordered by how many lines of the corpus hold them, the rarest
     first. A block that shares ``need`` words of a template must hold one of its first
     ``size - need + 1`` words, be long enough, and at the first shared word still have enough
     words to come on both sides; what passes is counted in full.
@@ -48,21 +50,27 @@ class Join:
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: Fraction = CONTAINMENT):
         self.order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
-        self.sets, self.prefix = {}, {}
+        self.sets, self.prefix, self.widths = {}, {}, {}
         for label, text in sorted(templates.items()):
-            ranks = sorted(self.order[w] for w in set(words_of(text)))
+            words = words_of(text)
+            ranks = sorted(self.order[w] for w in set(words))
             if not ranks:
                 continue
             need = max(1, ceil(threshold * len(ranks)))
             self.sets[label] = (ranks, need)
+            self.widths[label] = ceil(len(words) / threshold)
             for place, rank in enumerate(ranks[: len(ranks) - need + 1]):
                 self.prefix.setdefault(rank, []).append((label, place))
         names = {i: w for w, i in self.order.items()}
         self.openers = frozenset(names[r] for r in self.prefix)
+        self.reach = {r: max(self.widths[label] for label, _ in own) for r, own in self.prefix.items()}
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """Containment of each template that a block holds to the threshold or more."""
-        block = sorted({self.order[w] for w in words if w in self.order})
+        return self._held({self.order[w] for w in words if w in self.order})
+
+    def _held(self, ranks: set[int]) -> dict[str, float]:
+        block = sorted(ranks)
         held, tried, found = set(block), set(), {}
         for place, rank in enumerate(block):
             for label, at in self.prefix.get(rank, ()):
@@ -77,14 +85,62 @@ class Join:
                     found[label] = shared / len(ranks)
         return found
 
+    def passages(self, places: list[int], ranks: list[int]) -> list[tuple[int, str, float]]:
+        """(place, label, containment) of the passages that hold a template to the threshold or more.
+
+        ``places`` ascend and are those of the templates' words in a text. Every such window has a
+        prefix word, so only the surroundings of these are filtered, and windows counted there;
+        windows that overlap are one passage with the largest containment.
+        """
+        near: list[list[int]] = []
+        for place, rank in zip(places, ranks, strict=True):
+            if rank in self.reach:
+                start, end = place - self.reach[rank] + 1, place + self.reach[rank] - 1
+                if near and start <= near[-1][1]:
+                    near[-1] = [min(start, near[-1][0]), max(end, near[-1][1])]
+                else:
+                    near.append([start, end])
+        found = []
+        for start, end in near:
+            low, high = bisect_left(places, start), bisect_right(places, end)
+            for label in self._held(set(ranks[low:high])):
+                found += self._windows(label, places[low:high], ranks[low:high])
+        return sorted(found)
+
+    def _windows(self, label: str, places: list[int], ranks: list[int]) -> list[tuple[int, str, float]]:
+        (words, need), width = self.sets[label], self.widths[label]
+        wanted, held, found = set(words), {}, []
+        own = [(p, r) for p, r in zip(places, ranks, strict=True) if r in wanted]
+        first, until = 0, -1
+        for place, rank in own:
+            held[rank] = held.get(rank, 0) + 1
+            while place - own[first][0] >= width:
+                gone = own[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            if len(held) >= need:
+                share = len(held) / len(words)
+                if own[first][0] <= until:
+                    found[-1] = (found[-1][0], label, max(share, found[-1][2]))
+                else:
+                    found.append((own[first][0], label, share))
+                until = place
+        return found
+
 
-def _line_words(data: bytes) -> Iterator[list[bytes]]:
+def _line_starts(data: bytes) -> list[int]:
+    """The place of the first word of every line, counted in words of the text."""
+    starts, total = [], 0
     for line in data.split(b"\n"):
-        yield [w for part in word_lists(line, WORDED) for w in part]
+        starts.append(total)
+        total += sum(map(len, word_lists(line, WORDED)))
+    return starts
 
 
 def block_frequencies(docs: DataFrame, templates: dict[str, str], text_col: str = "text") -> dict[bytes, int]:
-    """In how many blocks (lines) of all documents each word of the templates stands."""
+    """In how many lines of all documents each word of the templates stands; it decides their order alone."""
     vocabulary = frozenset(w for text in templates.values() for w in words_of(text))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -125,9 +181,11 @@ def scan(
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) of every row.
 
-    ``n_base`` counts all places of the phrases. A block is a line; ``labels`` adds to the
-    phrases' labels those of every template of which some block holds the ``threshold`` or more
-    of the distinct words, ``blocks`` lists them as (line, label, containment). ``score`` is 1
+    ``n_base`` counts all places of the phrases. A block is a window of words, as long as the
+    template divided by the ``threshold``, across line breaks; ``labels`` adds to the phrases'
+    labels those of every template of which some block holds the ``threshold`` or more of the
+    distinct words, ``blocks`` lists them as (line, label, containment) with the line in which
+    the passage begins; overlapping blocks of a template are one. ``score`` is 1
     with a phrase, else the largest containment found, else 0. A null or empty text has no
     words and no labels. Rows may repeat and ids be null; other columns are not read.
     The templates are sent to every task, so their size is limited.
@@ -164,9 +222,14 @@ _SCANNED = [
 
 def _scan_text(data: bytes, sought: list[tuple[bytes, str]], join: Join) -> dict:
     total, places, base, opened, tail = 0, set(), set(), False, []
+    at, ranks, order = [], [], join.order
     n_base, longest = 0, max((p.count(b" ") for p, _ in sought), default=0)
     for words in word_lists(data, WORDED):
         opened = opened or not join.openers.isdisjoint(words)
+        for place, word in enumerate(words, total):
+            if word in order:
+                at.append(place)
+                ranks.append(order[word])
         words = tail + words
         start = total - len(tail)
         joined = b" " + b" ".join(words) + b" "
@@ -179,11 +242,9 @@ def _scan_text(data: bytes, sought: list[tuple[bytes, str]], join: Join) -> dict
                 places.update((new[0], new[-1]))
         total = start + len(words)
         tail = words[len(words) - longest :] if longest else []
-    blocks = []
-    if opened:
-        for number, words in enumerate(_line_words(data)):
-            if not join.openers.isdisjoint(words):
-                blocks += [{"line": number, "label": k, "containment": v} for k, v in sorted(join.matches(words).items())]
+    passages = join.passages(at, ranks) if opened else []
+    starts = _line_starts(data) if passages else []
+    blocks = [{"line": bisect_right(starts, p) - 1, "label": k, "containment": v} for p, k, v in passages]
     score = 1.0 if base else max((b["containment"] for b in blocks), default=0.0)
     return {
         "n_words": total,

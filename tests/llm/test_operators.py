@@ -656,3 +656,34 @@ def test_license_odd_rows(spark):
     assert found[31]["labels"] == "" and found[31]["score"] == 0.0
     assert found[3]["n_words"] == 0 and found[3]["first_word"] is None
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=6), st.lists(st.sampled_from("abcdefxyz"), max_size=40), st.sampled_from([Fraction(1, 2), Fraction(4, 5), Fraction(1)]))
+def test_every_window_is_held_against_the_templates(template, words, threshold):
+    frequency = {w.encode(): ord(w) % 3 for w in "abcdef"}
+    join = licenses.Join({"t": " ".join(template), "u": "a b"}, frequency, threshold)
+    places = [i for i, w in enumerate(words) if w in "abcdef"]
+    found = {}
+    for _, label, share in join.passages(places, [join.order[words[i].encode()] for i in places]):
+        found[label] = max(share, found.get(label, 0))
+    want = {}
+    for label, own in (("t", template), ("u", ["a", "b"])):
+        width = -(-len(own) * threshold.denominator // threshold.numerator)
+        share = max((Fraction(len(set(own) & set(words[i : i + width])), len(set(own))) for i in range(len(words))), default=0)
+        if share >= threshold:
+            want[label] = float(share)
+    assert found == want
+
+
+def test_wrapped_license_headers(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+    gpl = "x\n# This work is licensed under the GNU\n# General Public License\n# version 3\n"
+    bsd = "x\ny\n// Use of this source code is governed by\n// a BSD 3-Clause\n// license.\n"
+    scattered = " and far ".join("Licensed under the Apache License Version 2.0".split())
+    rows = [(40, mpl, "en"), (41, gpl, "en"), (42, bsd, "en"), (43, scattered, "en"), (44, gpl.replace("\n# ", " "), "en")]
+    found = {r["doc_id"]: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert found[40]["labels"] == "mpl-2.0" and found[40]["blocks"][0]["line"] == 0
+    assert "gpl-3.0" in found[41]["labels"].split(",") and found[41]["labels"] == found[44]["labels"] and found[41]["blocks"][0]["line"] == 1
+    assert found[42]["labels"] == "bsd-3-clause" and found[42]["blocks"][0]["line"] == 2
+    assert found[43]["labels"] == "" and found[43]["score"] == 0.0

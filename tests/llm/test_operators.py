@@ -135,6 +135,13 @@ def test_one_row_of_repeats_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(table(spark, rows)).collect()) == [1, 2]
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Only the text that is near another goes, and unrelated texts of one id stay."""
+    rows = [(1, "a b c d", "en"), (2, "A B c d", "en"), (2, "one unique clean text", "en"), (3, "p q r s t", "en"), (3, "u v w x y", "en")]
+    kept = simhash.keep_first(table(spark, [*rows, rows[3]])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((i, t) for i, t, _ in rows if t != "A B c d")
+
+
 def test_near_copies_by_similarity(spark):
     """Copies of 0.8 or more in five-word runs go, whatever their fingerprints; those below stay."""
     rng = np.random.default_rng(4)

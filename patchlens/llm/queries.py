@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import chat, decontaminate, importance, language, licenses, linedup, packing, simhash, vectors, warc
+from patchlens.llm import chat, decontaminate, importance, language, licenses, linedup, packing, repair, runs, simhash, topk, vectors, warc
 from patchlens.llm.common import read_table
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -79,10 +79,42 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors by integer inner product for every twentieth id."""
+    found = topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to end in loops."""
+    found = runs.find_runs(runs.loop_tails(read_table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("best")
+    return found.withColumn("best", runs.longest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    given = read_table(spark, sf_dir, "conversations")
+    turns, found = repair.repair(repair.damage(given), given.select("conv_id"))
+    digests = repair.digests(turns).withColumnRenamed("conv_id", "repaired_id")
+    joined = found.join(digests, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    return joined.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest.alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_packing, op3_chat, op4_importance, op5_warc, op6_language, op7_linedup, op8_vectors, op9_decontaminate, op10_licenses,
+        op11_topk, op12_runs, op13_repair,
     )
 }
 
@@ -190,6 +222,18 @@ def _licenses_sql() -> str:
         FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+_TOPK_SQL = f"""
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS c FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
+        FROM v AS q JOIN v ON q.vec_id != v.vec_id AND len(q.c) = len(v.c) WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s QUALIFY rank <= {topk.K}"""
+
 # Fingerprints, tokens, drawn keys, rank-order distances and patience diff have no SQL form;
 # tests hold those queries against plain versions.
 ORACLE: dict[str, str] = {
@@ -198,4 +242,5 @@ ORACLE: dict[str, str] = {
     "op8_vectors": _VECTORS_SQL,
     "op9_decontaminate": _DECONTAMINATE_SQL,
     "op10_licenses": _licenses_sql(),
+    "op11_topk": _TOPK_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """A column name that begins with ``name`` and is none of ``taken``, whatever the case of letters."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, as ``--py-files`` does."""
     context = spark.sparkContext

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import WORDED, word_lists
+from patchlens.llm.common import WORDED, free_name, word_lists
+from patchlens.session import materialize
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -173,7 +174,7 @@ class Automaton:
         return total, found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[int, bytes], ...], window: int) -> Automaton:
     return Automaton([(item, [w for part in word_lists(data, WORDED) for w in part]) for item, data in items], window)
 
@@ -189,70 +190,70 @@ def _covered(windows) -> list[tuple[int, int]]:
     return [tuple(s) for s in spans]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple]:
-    """The items in blocks of at most ``ITEM_BYTES`` of text (a longer item alone), read one at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> tuple[int, Iterator[tuple]]:
+    """The items in blocks of about ``size`` bytes of text (a longer item alone): their number, and each in turn."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).dropna()
     items = items.distinct()
     total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    blocks = total // ITEM_BYTES + 1
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield tuple(sorted((r["i"], bytes(r["t"])) for r in part.collect()))
+    blocks = total // size + 1
+
+    def read():
+        for block in range(blocks):
+            part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
+            yield tuple(sorted((r["i"], bytes(r["t"])) for r in part.collect()))
+
+    return blocks, read()
 
 
 def find_windows(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", into: str = "hits"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    into: str = "hits",
+    cut: bool = False,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """``docs`` with a struct ``into``: n_words, the hit spans (in words) and the items found.
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not
     none, is one window. A null text has no words. Items with a null id or text are left out;
-    several texts under one id are one item. The benchmark is read in blocks of bounded size;
-    more than one block needs a pass of the documents for each.
+    several texts under one id are one item. The benchmark is read in blocks of about
+    ``item_bytes``; with more than one, every block is a written pass of the documents, so
+    that driver and tasks hold one block at a time. With ``cut`` the struct also has ``rest``,
+    the text without the hit words, null where there are none.
     """
-    hits = None
-    for items in _blocks(benchmark, item_col, "text"):
-        found = _hits(F.col(text_col), items, window)
-        hits = found if hits is None else _merged(hits, found)
-    return docs.withColumn(into, hits)
-
-
-_HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-
-
-def _hits(text, items, window):
-    kind = pa.struct(
-        [
-            ("n_words", pa.int64()),
-            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ("items", pa.list_(pa.int64())),
-        ]
-    )
-
-    @F.arrow_udf(_HITS)
-    def run(texts: pa.Array) -> pa.Array:
-        automaton, out = _automaton(items, window), []
-        for data in texts.to_pylist():
-            n, windows = automaton.matches(data or b"")
-            spans = [{"start": s, "end": e} for s, e in _covered(windows)]
-            found = sorted(set().union(*(w[2] for w in windows)))
-            out.append({"n_words": n, "spans": spans, "items": found})
-        return pa.array(out, kind)
-
-    return run.asNondeterministic()(text.cast("binary"))  # evaluated once, not again in each filter
-
-
-def _merged(one, two):
-    @F.arrow_udf(_HITS)
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            spans = _covered([(s["start"], s["end"], None) for s in x["spans"] + y["spans"]])
-            items = sorted({*x["items"], *y["items"]})
-            out.append({"n_words": x["n_words"], "spans": [{"start": s, "end": e} for s, e in spans], "items": items})
-        return pa.array(out, a.type)
-
-    return run(one, two)
+    count, blocks = _blocks(benchmark, item_col, "text", item_bytes)
+    for n, items in enumerate(blocks, 1):
+        before = F.col(into) if n > 1 else None
+        docs = docs.withColumn(into, _hits(F.col(text_col), items, window, before, cut and n == count))
+        if n < count:
+            docs = materialize(docs, "benchmark-pass")
+    return docs
+
+
+def _hits(text, items, window, before, cut):
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.struct([("n_words", pa.int64()), ("spans", spans_type), ("items", pa.list_(pa.int64())), ("rest", pa.string())])
+
+    def one(automaton, data, known):
+        n, windows = automaton.matches(data or b"")
+        found = set().union(*(w[2] for w in windows))
+        if known:
+            windows = [*windows, *((s["start"], s["end"], None) for s in known["spans"])]
+            found.update(known["items"])
+        spans = _covered(windows)
+        rest = without_words(data, spans).decode("utf-8", "replace") if cut and spans else None
+        return {"n_words": n, "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(found), "rest": rest}
+
+    @F.arrow_udf("n_words long, spans array<struct<start:long,end:long>>, items array<long>, rest string")
+    def run(texts: pa.Array, known: pa.Array) -> pa.Array:
+        automaton = _automaton(items, window)
+        return pa.array([one(automaton, t.as_py(), k.as_py()) for t, k in zip(texts, known, strict=True)], kind)
+
+    known = before if before is not None else F.lit(None).cast("struct<spans:array<struct<start:long,end:long>>,items:array<long>>")
+    return run.asNondeterministic()(text.cast("binary"), known)  # evaluated once, not again in each filter
 
 
 def hit_words(spans):
@@ -293,34 +294,28 @@ def without_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_hits(
-    docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVERAGE, window: int = WINDOW, text_col: str = "text", length_col: str | None = None
+    docs: DataFrame,
+    benchmark: DataFrame,
+    max_coverage: float = MAX_COVERAGE,
+    window: int = WINDOW,
+    text_col: str = "text",
+    length_col: str | None = None,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """``docs`` without the words that repeat benchmark windows.
 
     A span of hit words, ``window`` or longer, is cut out of its text; a row in which the
-    hit words are more than ``max_coverage`` of all words goes. Rows without a hit are
-    returned as they are. ``length_col`` names a column that holds the number of characters
-    and is set anew for texts that change.
+    hit words are more than ``max_coverage`` of all words goes. Rows without a hit, null and
+    empty texts among them, are returned as they are, whatever their number. ``length_col``
+    names a column that holds the number of characters and is set anew for texts that change.
+    A text is held by its task as a whole. Columns of ``docs`` may have any names.
     """
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, some in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            rest = without_words(text, [(s["start"], s["end"]) for s in some]) if some else b""
-            out.append(rest.decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
-
-    columns, into = docs.columns, "_hits"
-    while into in columns:
-        into += "_"
-    found = find_windows(docs, benchmark, window, text_col, into=into)
-    spans, n_words = F.col(into)["spans"], F.col(into)["n_words"]
+    columns, into = docs.columns, free_name(docs.columns, "_hits")
+    found = find_windows(docs, benchmark, window, text_col, into=into, cut=True, item_bytes=item_bytes)
+    spans, n_words, rest = (F.col(into)[c] for c in ("spans", "n_words", "rest"))
     kept = found.filter(hit_words(spans) <= n_words * max_coverage)
-    marked = F.size(spans) > 0
-    cleaned = F.when(marked, cut(F.col(text_col).cast("binary"), spans)).otherwise(F.col(text_col))
-    out = kept.withColumn(text_col, cleaned)
+    out = kept.withColumn(text_col, F.coalesce(rest, F.col(text_col)))
     if length_col in columns:
         length = F.length(text_col).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(marked, length).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(rest.isNotNull(), length).otherwise(F.col(length_col)))
     return out.select(*columns)

@@ -206,24 +206,22 @@ def delete_repeated(
     """``docs`` without the blocks of lines that an earlier document has.
 
     Documents with nothing left are dropped if ``drop_empty``; texts without repeated lines, null
-    and empty ones are returned as they are, whatever the number of equal rows. ``length_col``
-    names a column that holds the number of characters and is set anew for texts that change.
+    and empty ones are returned as they are, whatever the number of equal rows, and so are rows
+    with a null id. Two rows of one id are no partners of each other. ``length_col`` names a
+    column that holds the number of characters and is set anew for texts that change. A very
+    long text is one row of its task. Other columns may have any names.
     """
     columns = docs.columns
-    found = repeated_lines(docs, id_col, text_col, min_words).select(
-        F.col("doc_id").alias("_rep_id"), F.col("mark").alias("_rep_mark"), F.col("lines").alias("_rep_lines")
-    )
-    same = (docs[id_col].cast("long") == found["_rep_id"]) & (F.xxhash64(docs[text_col]) == found["_rep_mark"])
-    joined = docs.join(found, same, "left")
-    lines = F.split(docs[text_col], "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_rep_lines"), i.cast("long"))), "\n")
-    changed = F.col("_rep_lines").isNotNull()
-    values = {c: docs[c] for c in columns}
-    values[text_col] = F.when(changed, rest).otherwise(docs[text_col])
-    out = joined.select(*[v.alias(c) for c, v in values.items()], changed.alias("_rep_changed"))
+    key, mark, lines, changed = (free_name(columns, f"_repeated_{c}") for c in ("id", "mark", "lines", "changed"))
+    found = repeated_lines(docs, id_col, text_col, min_words)
+    found = found.select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("lines").alias(lines))
+    joined = docs.join(found, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(mark)), "left")
+    rest = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col(lines), i.cast("long")))
+    out = joined.withColumn(changed, F.col(lines).isNotNull())
+    out = out.withColumn(text_col, F.when(F.col(changed), F.array_join(rest, "\n")).otherwise(F.col(text_col)))
     if length_col in columns:
         length = F.length(text_col).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(F.col("_rep_changed"), length).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col(changed), length).otherwise(F.col(length_col)))
     if drop_empty:
-        out = out.filter(~F.col("_rep_changed") | (F.trim(F.col(text_col)) != ""))
+        out = out.filter(~F.col(changed) | (F.trim(F.col(text_col)) != ""))
     return out.select(*columns)

@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,18 @@ class TextTokenizer:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.fast = _byte_level(json.load(file))
+
+    @cached_property
+    def slow(self):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as file:
-            self.fast = _byte_level(json.load(file))
+        slow = Tokenizer.from_file(self.path)
+        slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        return slow
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast:

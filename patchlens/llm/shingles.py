@@ -3,6 +3,11 @@
 Any order of the shingles gives the same pairs: two sets of similarity ``t`` or more share one
 of the first ``size - ceil(t * size) + 1`` shingles of each. Shingles that are common in a sample
 of the texts come last, so that few texts meet under a shingle.
+
+Links are wanted that connect what similarity connects. In a first round each text under a
+shingle meets the ones next to it in size and one pivot, which is linear and gathers close
+families of any size. In a second round all texts that stand under one shingle and are not yet
+connected meet, if their sizes and places allow the similarity, so that no connection is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import SPACED, word_lists
+from patchlens.llm.common import SPACED, connected_components, word_lists
 from patchlens.session import materialize
 
 WIDTH = 5  # words of a shingle
@@ -25,9 +30,10 @@ SIMILARITY = Fraction(4, 5)
 SEED = 42
 PART = 65_536  # shingles hashed at once
 TEXTS = 256  # whose shingles a task holds at once
-NEIGHBOURS = 16  # texts before it that a text is held against under a shingle
-SAMPLE = 20_000  # texts whose shingles are counted for the order
-COMMON = 100_000  # shingles that are put last
+NEIGHBOURS = 2  # texts before it, besides the pivot, that a text meets in the first round
+GROUP = 4096  # texts under a shingle that one task compares in the second round; more are dealt in parts
+SAMPLE, SHARE = 20_000, 16  # the order is counted on that many texts, or on one of SHARE if that is more
+COMMON = 200_000  # shingles that are put last
 
 
 def shingle_set(data: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -62,26 +68,102 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
-def _pairs(similarity: Fraction, neighbours: int):
-    """Rows (key, size, mark) sorted to pairs (a, b) of marks that may be similar."""
+def _may_be(similarity: Fraction, size, pos, size_b, pos_b):
+    """Whether sizes, and the places of a shared shingle, allow the similarity."""
+    up, down = similarity.numerator, similarity.denominator
+    small, large = np.minimum(size, size_b), np.maximum(size, size_b)
+    common = np.minimum(size - pos, size_b - pos_b)  # at most, if the shingle is the first shared one
+    return (small * down >= large * up) & (common * (up + down) >= (size + size_b) * up)
+
+
+_ROW = ["key", "size", "pos", "a", "b"]
+_ROW_SCHEMA = ", ".join(f"{c} long" for c in _ROW)
+
+
+def _batch(key, size, pos, a, b) -> pa.RecordBatch:
+    n = len(a)
+    columns = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (key, size, pos, a, b)]
+    return pa.RecordBatch.from_arrays(columns, _ROW)
+
+
+def _first_round(similarity: Fraction):
+    """Rows (key, size, pos, mark) sorted by key, size and mark: pairs (a, b) to check, and (key, size, pos, a) of keys with several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4  # the pivot of the last key and the texts before
         for batch in batches:
             rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
-            again = (rows[0][1:] == rows[0][:-1]) & (rows[2][1:] == rows[2][:-1])  # equal texts
-            rows = [c[np.append(True, ~again)[: len(c)]] for c in rows]
-            key, size, mark = rows
-            out = []
-            for d in range(1, min(neighbours, len(key) - 1) + 1):
+            again = (rows[0][1:] == rows[0][:-1]) & (rows[3][1:] == rows[3][:-1])  # equal texts
+            key, size, pos, mark = rows = [c[np.append(True, ~again)[: len(c)]] for c in rows]
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            shared = np.append(False, same) | np.append(same, False)
+            if shared.any():
+                yield _batch(key[shared], size[shared], pos[shared], mark[shared], None)
+            firsts = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(key)), 0))
+            while True:  # a text too large for its pivot is the pivot of the following ones
+                far = size[firsts] * similarity.denominator < size * similarity.numerator
+                if not far.any():
+                    break
+                starts = far & np.append(True, ~(far[:-1] & (firsts[1:] == firsts[:-1])))
+                firsts = np.where(far, np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0)), firsts)
+            pairs = [(np.arange(len(key)), firsts)]
+            for d in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
                 at = np.flatnonzero(key[d:] == key[:-d]) + d
-                at = at[size[at - d] * similarity.denominator >= size[at] * similarity.numerator]
-                out.append(np.stack((mark[at], mark[at - d])))
-            held = [c[-neighbours:] for c in rows]
-            if out:
-                a, b = np.concatenate(out, axis=1)
-                both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                pairs.append((at, at - d))
+            i, j = np.concatenate(pairs, axis=1)
+            good = (i != j) & _may_be(similarity, size[i], pos[i], size[j], pos[j])
+            if good.any():
+                ends = np.sort(np.stack((mark[i[good]], mark[j[good]])), axis=0)
+                a, b = np.unique(ends, axis=1)
+                yield _batch(None, None, None, a, b)
+            tail = max(0, len(key) - NEIGHBOURS)
+            kept = np.unique(np.append(firsts[-1], np.arange(tail, len(key))))
+            held = [c[kept] for c in rows]
+
+    return run
+
+
+def _across(similarity: Fraction, size, pos, mark, root) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(mark), 256):
+        rows = slice(at, at + 256)
+        apart = (root[rows, None] != root[None, :]) & (np.arange(len(mark))[rows, None] < np.arange(len(mark))[None, :])
+        i, j = np.nonzero(apart & _may_be(similarity, size[rows, None], pos[rows, None], size[None, :], pos[None, :]))
+        if len(i):
+            ends = np.sort(np.stack((mark[i + at], mark[j])), axis=0)
+            yield _batch(None, None, None, *ends)
+
+
+def _second_round(similarity: Fraction, limit: int | None):
+    """Rows (key, size, pos, mark, root) sorted by key: pairs of texts of one key with different roots.
+
+    The rows of a key with more than ``limit`` texts are returned as they are, ``b`` being the root.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = [np.empty(0, np.int64)] * 5
+        large = None  # the key that goes on
+
+        def close(rows):
+            key, size, pos, mark, root = rows
+            if len(key) > 1:
+                yield from _across(similarity, size, pos, mark, root)
+
+        for batch in batches:
+            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])) if len(rows[0]) else np.empty(0, np.int64)
+            held = [np.empty(0, np.int64)] * 5
+            for n, (s, e) in enumerate(zip(starts, np.append(starts[1:], len(rows[0])), strict=True)):
+                part = [c[s:e] for c in rows]
+                if limit and (e - s > limit or large == part[0][0]):
+                    large = part[0][0]
+                    yield _batch(*part)
+                elif n + 1 == len(starts):
+                    held = part
+                else:
+                    yield from close(part)
+        yield from close(held)
 
     return run
 
@@ -94,21 +176,20 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
             for data in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data, width))], ["key"])
 
-    every = max(1, texts.select("mark").count() // SAMPLE)
+    every = max(1, min(SHARE, texts.select("mark").count() // SAMPLE))
     sample = texts.filter(F.pmod("mark", F.lit(every)) == 0).select("data")
     counts = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
     rows = counts.orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
     return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def similar_links(texts: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Links (a, b) of texts whose sets of ``width``-word runs have a Jaccard similarity of ``similarity`` or more.
+def similar_links(texts: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """Links (a, b) that connect all texts whose sets of ``width``-word runs have a Jaccard similarity of ``similarity`` or more.
 
     ``texts`` has the columns mark (a long that stands for the text) and data (the text's
-    bytes). Texts under a shingle are ordered by size and mark, and each is held against the
-    ``neighbours`` before it: up to 17 texts all pairs are seen, a larger family of copies is
-    linked along its order, over every shingle of the prefixes, and may lose a link.
-    Every link is checked on the whole sets, so none is below ``similarity``.
+    bytes). Every link is checked on the whole sets, so none is below ``similarity``; similar
+    texts without a link of their own are connected by others. Null, empty and blank texts
+    have no shingle and no link. An empty table gives no rows.
     """
     common, rank = common_shingles(texts, width)
 
@@ -118,12 +199,41 @@ def similar_links(texts: DataFrame, width: int = WIDTH, similarity: Fraction = S
             keys = [prefix(s, common, rank, similarity) for s in sets]
             n = [len(k) for k in keys]
             mark, size = (np.repeat(c, n) for c in (batch.column(0).to_numpy(), np.array([len(s) for s in sets], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys), size, mark)], ["key", "size", "mark"])
+            pos = np.concatenate([np.arange(k) for k in n])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys), size, pos, mark)], ["key", "size", "pos", "mark"])
 
-    rows = texts.select("mark", "data").mapInArrow(placed, "key long, size long, mark long")
+    rows = texts.select("mark", "data").mapInArrow(placed, "key long, size long, pos long, mark long")
     ordered = rows.repartition("key").sortWithinPartitions("key", "size", "mark")
-    found = ordered.mapInArrow(_pairs(similarity, neighbours), "a long, b long")
-    pairs = materialize(found.filter("a != b").distinct(), "shingle-pairs")
+    first = materialize(ordered.mapInArrow(_first_round(similarity), _ROW_SCHEMA), "shingle-keys")
+    tried = materialize(first.filter("key IS NULL AND a != b").select("a", "b").distinct(), "shingle-pairs")
+    links = materialize(checked_pairs(tried, texts, width, similarity), "shingle-links")
+
+    members = first.filter("key IS NOT NULL").select("key", "size", "pos", F.col("a").alias("mark")).distinct()
+    labels = connected_components(links).withColumnRenamed("node", "mark")
+    members = members.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    members = materialize(members.select("key", "size", "pos", "mark", "root"), "shingle-members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+    rest = members.join(mixed, "key").select("key", "size", "pos", "mark", "root")
+    ordered = rest.repartition("key").sortWithinPartitions("key")
+    found = materialize(ordered.mapInArrow(_second_round(similarity, group), _ROW_SCHEMA), "shingle-rest")
+
+    # A key with very many texts is dealt in parts, and every pair of parts goes to a task.
+    large = found.filter("key IS NOT NULL").withColumnsRenamed({"a": "mark", "b": "root"})
+    parts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / group).alias("parts"))
+    dealt = large.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(pair.alias("key"), "size", "pos", "mark", "root").repartition("key").sortWithinPartitions("key")
+    more = dealt.mapInArrow(_second_round(similarity, None), _ROW_SCHEMA)
+    untried = found.filter("key IS NULL").select("a", "b").unionByName(more.select("a", "b")).distinct()
+    untried = materialize(untried.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+    if untried.isEmpty():
+        return links
+    return links.unionByName(checked_pairs(untried, texts, width, similarity))
+
+
+def checked_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of marks whose whole sets are as similar."""
 
     def whole(batches: Iterator[pa.RecordBatch]):
         for batch in _cut(batches):

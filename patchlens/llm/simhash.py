@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm import shingles
-from patchlens.llm.common import SPACED, connected_components, word_lists
+from patchlens.llm.common import SPACED, connected_components, free_name, word_lists
 from patchlens.session import materialize
 
 SEED = 42
@@ -229,8 +229,10 @@ def keep_first(
 
     Texts are linked by fingerprints and, with a ``similarity``, also if their sets of
     five-word runs are as similar. Rows are told apart by id and a hash of the text, so an id
-    that stands for several texts loses only those that are near another. Rows with a null id
-    stay. All columns of ``docs`` are returned.
+    that stands for several texts loses only those that are near another; of equal rows one
+    stays. Rows with a null id stay. Null, empty and blank texts have fingerprint 0 and are one
+    group. A very long text is hashed in parts. An empty table gives no rows. All columns of
+    ``docs`` are returned, which may have any names.
     """
 
     def run(batches):
@@ -254,9 +256,10 @@ def keep_first(
     named = named.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     firsts = named.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     found = named.join(firsts, "root").withColumn("stays", F.struct("doc_id", "mark") == F.col("first"))
-    found = found.select(F.col("doc_id").alias("_near_id"), F.col("mark").alias("_near_mark"), "n", "stays")
-    found = materialize(found.filter("NOT stays OR n > 1"), "simhash-groups")
-    same = (docs[id_col].cast("long") == F.col("_near_id")) & (F.xxhash64(docs[text_col]) == F.col("_near_mark"))
+    near_id, near_mark, stays = (free_name(docs.columns, f"_near_{c}") for c in ("id", "mark", "stays"))
+    found = found.filter("NOT stays OR n > 1").select(F.col("doc_id").alias(near_id), F.col("mark").alias(near_mark), F.col("stays").alias(stays))
+    found = materialize(found, "simhash-groups")
+    same = (F.col(id_col).cast("long") == F.col(near_id)) & (F.xxhash64(text_col) == F.col(near_mark))
     kept = docs.join(found, same, "left_anti")
-    once = docs.join(found.filter("stays"), same, "inner").dropDuplicates(["_near_id", "_near_mark"])
-    return kept.unionByName(once.select(*[docs[c] for c in docs.columns]))
+    once = docs.join(found.filter(F.col(stays)), same, "inner").dropDuplicates([near_id, near_mark])
+    return kept.unionByName(once.select(*docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -694,3 +695,79 @@ def test_wrapped_license_headers(spark):
     assert "gpl-3.0" in found[41]["labels"].split(",") and found[41]["labels"] == found[44]["labels"] and found[41]["blocks"][0]["line"] == 1
     assert found[42]["labels"] == "bsd-3-clause" and found[42]["blocks"][0]["line"] == 2
     assert found[43]["labels"] == "" and found[43]["score"] == 0.0
+
+
+def _family(rng, n, words, low, high):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(low, high)):
+            copy[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def _classes(n, pairs):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("families", "group"), [([(300, 60, 1, 2)], 4096), ([(300, 200, 3, 6)], 64), ([(300, 200, 4, 5)], 4096), ([(1000, 200, 0, 4)], 128), ([(17, 60, 0, 3)] * 10, 8)]
+)
+def test_similar_links_lose_no_connection(spark, families, group):
+    from patchlens.llm import shingles
+
+    rng = random.Random(len(families))
+    texts = list(dict.fromkeys([t for f in families for t in _family(rng, *f)] + ["", " \n", "a b", "one two three four five", None]))
+    sets = [set(shingles.shingle_set((t or "").encode()).tolist()) for t in texts]
+    true = {(j, i) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    rows = [(i, None if t is None else t.encode(), "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows * 2, "mark long, data binary, key string")
+    found = {tuple(sorted(r)) for r in shingles.similar_links(df, group=group).collect()}
+    assert found <= true
+    assert _classes(len(texts), found) == _classes(len(texts), true)
+
+
+CLASHING = ["_rep_lines", "_rep_changed", "_repeated_id", "_repeated_lines", "_repeated_changed", "_near_id", "_near_mark", "_near_stays", "_NEAR_ID", "_hits", "n", "stays", "mark", "first", "root"]
+
+
+def test_clashing_columns_pass_through_the_stages(spark):
+    passage = "\n".join(" ".join(f"p{i}w{j}" for j in range(12)) for i in range(3))
+    texts = [f"first text {passage}", f"own words\n{passage}\nmore of them", "a b c", "a b c", None, "", " ".join(f"q{i}" for i in range(30))]
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHING if c != "_NEAR_ID"]) for i, t in enumerate(texts)]
+    names = ["doc_id", "text", *[c for c in CLASHING if c != "_NEAR_ID"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:]))
+    items = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(5, 20)))], "item_id long, text string")
+    lines = linedup.delete_repeated(docs)
+    assert lines.columns == names and lines.count() == 7
+    near = simhash.keep_first(docs)
+    assert near.columns == names and sorted(r["doc_id"] for r in near.collect()) == [0, 1, 2, 4, 6]
+    clean = decontaminate.remove_hits(docs, items)
+    assert clean.columns == names
+    kept = {r["doc_id"]: r for r in clean.collect()}
+    assert set(kept) == {0, 1, 2, 3, 4, 5, 6} and kept[6]["text"].split() == [f"q{i}" for i in [*range(5), *range(20, 30)]]
+    assert all(kept[i][c] == f"{c}{i}" for i in kept for c in names[2:])
+
+
+def test_benchmark_in_several_passes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    into = ["n_words", "spans", "items", "rest"]
+
+    def found(**options):
+        rows = decontaminate.find_windows(docs.select("doc_id", "text"), items, cut=True, **options).collect()
+        return {r["doc_id"]: tuple(r["hits"][c] for c in into) for r in rows}
+
+    one = found()
+    assert any(r[1] for r in one.values()) and found(item_bytes=3000) == one

@@ -6,7 +6,7 @@ import pytest
 from compare import compare, duck
 
 import corpus_pipeline
-from patchlens.llm import decontaminate, simhash
+from patchlens.llm import decontaminate, shingles, simhash
 from patchlens.llm.queries import ORACLE, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,14 +57,37 @@ def test_line_stage(stages):
         assert set(after[i]["text"].split("\n")) <= set(before[i]["text"].split("\n"))
 
 
-def test_near_stage(spark, stages):
-    before, after = stages["near_dedup"]
-    prints = {r["doc_id"]: simhash.simhash(r["text"].encode()) for r in before.collect()}
-    kept = {r["doc_id"] for r in after.collect()}
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before).collect()}
-    assert kept == {i for i, c in found.items() if i == c}
-    for a in kept:
-        assert not [b for b in kept if b < a and (prints[a] ^ prints[b]).bit_count() <= 3]
+def test_near_stage(spark, sf_dir, stages, tmp_path):
+    """Rows kept by the stage, with planted near copies, against links of fingerprints and of similarity."""
+    rows = [tuple(r[c] for c in COLUMNS) for r in stages["near_dedup"][0].collect()]
+    long = [r for r in rows if len(r[1].split()) > 120][:12]
+    for n, (i, text, lang, source, _) in enumerate(long):
+        words = text.split(" ")
+        for copy in range(3):
+            words[(37 * (copy + 1)) % len(words)] = f"changed{copy}"
+            new = " ".join(words)
+            rows.append((1_000_000 + 10 * n + copy, new, lang, source, len(new)))
+    before = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, before, sf_dir).collect()}
+    ids = sorted(r[0] for r in rows)
+    texts = {r[0]: r[1].encode() for r in rows}
+    prints = {i: simhash.simhash(t) for i, t in texts.items()}
+    sets = {i: set(shingles.shingle_set(t).tolist()) for i, t in texts.items()}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            near = (prints[a] ^ prints[b]).bit_count() <= 3
+            if near or sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    assert kept == {i for i in ids if parent[i] == i}
+    assert len(kept) <= len(rows) - 30
 
 
 def test_benchmark_stage(spark, sf_dir, stages):

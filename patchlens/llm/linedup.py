@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlens.llm.common import free_name
 from patchlens.session import materialize
 
 MIN_WORDS = 20  # of a common block that is deleted

@@ -5,8 +5,9 @@ of the first ``size - ceil(t * size) + 1`` shingles of each. Shingles that are c
 of the texts come last, so that few texts meet under a shingle.
 
 Links are wanted that connect what similarity connects. In a first round each text under a
-shingle meets the ones next to it in size and one pivot, which is linear and gathers close
-families of any size. In a second round all texts that stand under one shingle and are not yet
+shingle meets one pivot, the smallest text of about its size. That is linear, gathers close
+families of any size, and meets few different pairs, as most shingles of a family have the
+same pivot. In a second round all texts that stand under one shingle and are not yet
 connected meet, if their sizes and places allow the similarity, so that no connection is lost.
 """
 
@@ -30,7 +31,6 @@ SIMILARITY = Fraction(4, 5)
 SEED = 42
 PART = 65_536  # shingles hashed at once
 TEXTS = 256  # whose shingles a task holds at once
-NEIGHBOURS = 2  # texts before it, besides the pivot, that a text meets in the first round
 GROUP = 4096  # texts under a shingle that one task compares in the second round; more are dealt in parts
 SAMPLE, SHARE = 20_000, 16  # the order is counted on that many texts, or on one of SHARE if that is more
 COMMON = 200_000  # shingles that are put last
@@ -90,7 +90,7 @@ def _first_round(similarity: Fraction):
     """Rows (key, size, pos, mark) sorted by key, size and mark: pairs (a, b) to check, and (key, size, pos, a) of keys with several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held = [np.empty(0, np.int64)] * 4  # the pivot of the last key and the texts before
+        held = [np.empty(0, np.int64)] * 4  # the last text and its pivot
         for batch in batches:
             rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
             again = (rows[0][1:] == rows[0][:-1]) & (rows[3][1:] == rows[3][:-1])  # equal texts
@@ -108,18 +108,12 @@ def _first_round(similarity: Fraction):
                     break
                 starts = far & np.append(True, ~(far[:-1] & (firsts[1:] == firsts[:-1])))
                 firsts = np.where(far, np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0)), firsts)
-            pairs = [(np.arange(len(key)), firsts)]
-            for d in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
-                at = np.flatnonzero(key[d:] == key[:-d]) + d
-                pairs.append((at, at - d))
-            i, j = np.concatenate(pairs, axis=1)
-            good = (i != j) & _may_be(similarity, size[i], pos[i], size[j], pos[j])
+            good = (np.arange(len(key)) != firsts) & _may_be(similarity, size, pos, size[firsts], pos[firsts])
             if good.any():
-                ends = np.sort(np.stack((mark[i[good]], mark[j[good]])), axis=0)
+                ends = np.sort(np.stack((mark[good], mark[firsts[good]])), axis=0)
                 a, b = np.unique(ends, axis=1)
                 yield _batch(None, None, None, a, b)
-            tail = max(0, len(key) - NEIGHBOURS)
-            kept = np.unique(np.append(firsts[-1], np.arange(tail, len(key))))
+            kept = np.unique([firsts[-1], len(key) - 1])
             held = [c[kept] for c in rows]
 
     return run

@@ -18,7 +18,13 @@ HOT_ROWS = 1_000_000
 
 
 def _key(on: Sequence[str]) -> Column:
-    return F.xxhash64(F.to_json(F.struct(*on)))
+    return F.xxhash64(*on)  # keys of one hash are spread together, which changes no result
+
+
+def _splits_skew(df: DataFrame) -> bool:
+    """Whether Spark itself splits the skewed partitions of a join."""
+    conf = df.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{name}").lower() == "true" for name in ("enabled", "skewJoin.enabled"))
 
 
 def _hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int) -> Column:
@@ -55,9 +61,13 @@ def salted_join(
     both_sides: bool = False,
     left_by: Sequence[str] | None = None,
     right_by: Sequence[str] | None = None,
+    salted: bool | None = None,
 ) -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are spread over ``salts`` tasks.
 
+    Where adaptive execution splits skewed partitions, that is what spreads them, and the keys
+    are not counted; ``salted`` asks for one way or the other.
+
     The matching rows of ``right`` are repeated once per salt; rows of all other
     keys take salt 0. ``both_sides`` does the same for hot keys of ``right``.
     ``count_left`` is a cheaper table with the same keys to count; ``left_by`` and
@@ -66,16 +76,18 @@ def salted_join(
     """
     if how != "inner" and (how != "left" or both_sides):
         raise ValueError("salted_join does inner joins, and left joins with a spread left side")
+    if not (not _splits_skew(left) if salted is None else salted):
+        return left.join(right, list(on), how)
     hot = _hot_keys(left if count_left is None else count_left, on, hot_rows)
-    salted = left.withColumn("_ls", _spread(left, on, hot, left_by, salts))
+    spread = left.withColumn("_ls", _spread(left, on, hot, left_by, salts))
     repeated = right.withColumn("_ls", _repeat(on, hot, salts))
     keys = [*on, "_ls"]
     if both_sides:
         hot = _hot_keys(right, on, hot_rows)
-        salted = salted.withColumn("_rs", _repeat(on, hot, salts))
+        spread = spread.withColumn("_rs", _repeat(on, hot, salts))
         repeated = repeated.withColumn("_rs", _spread(right, on, hot, right_by, salts))
         keys.append("_rs")
-    return salted.join(repeated, keys, how).drop("_ls", "_rs")
+    return spread.join(repeated, keys, how).drop("_ls", "_rs")
 
 
 def limited_broadcast(df: DataFrame, rows: int) -> DataFrame:

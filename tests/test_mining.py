@@ -99,10 +99,10 @@ def _skewed(spark, n, hot, seed):
 def test_salted_join_equals_join(spark):
     left, right = _skewed(spark, 900, 0.5, 1), _skewed(spark, 300, 0.4, 2)
     want = sorted(left.join(right, "key").collect())
-    assert sorted(salted_join(left, right, ["key"], hot_rows=50).collect()) == want
-    assert sorted(salted_join(left, right, ["key"], hot_rows=50, both_sides=True).collect()) == want
+    assert sorted(salted_join(left, right, ["key"], hot_rows=50, salted=True).collect()) == want
+    assert sorted(salted_join(left, right, ["key"], hot_rows=50, salted=True, both_sides=True).collect()) == want
     few = right.dropDuplicates(["key"]).filter("key <> 'k3'")
-    outer = salted_join(left, few, ["key"], "left", hot_rows=50).fillna(-9).collect()
+    outer = salted_join(left, few, ["key"], "left", hot_rows=50, salted=True).fillna(-9).collect()
     assert sorted(map(str, outer)) == sorted(map(str, left.join(few, "key", "left").fillna(-9).collect()))
 
 
@@ -110,7 +110,7 @@ def test_salted_join_spreads_the_hot_key(spark):
     left, right = _skewed(spark, 4000, 0.6, 1), _skewed(spark, 20, 0.0, 2).union(
         spark.createDataFrame([("hot", 1)], "key string, v2 int")
     )
-    joined = salted_join(left, right, ["key"], hot_rows=100)
+    joined = salted_join(left, right, ["key"], hot_rows=100, salted=True)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_ls" in plan
     hot = left.filter("key = 'hot'").count()

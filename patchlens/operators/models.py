@@ -5,15 +5,15 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -25,10 +25,11 @@ from patchlens.operators.prep import (
     balanced_weights,
     drop_all_zero,
     drop_outliers,
-    hash_folds,
-    hash_split,
+    hash_number,
     labelled_samples,
     select_features,
+    stratified_folds,
+    stratified_split,
 )
 from patchlens.session import materialize
 
@@ -48,7 +49,16 @@ DEFAULTS = {
 }
 # of the boosted member of the code ensemble
 CODE_GBT = {"subsamplingRate": 0.8, "minInstancesPerNode": 2}
+# 108 settings of a search; trees of 31, 50 and 70 leaves are those of 5 to 7 levels
+SEARCH_SPACE = {
+    "maxIter": (100, 200, 300, 500),
+    "stepSize": (0.01, 0.05, 0.1),
+    "maxDepth": (5, 6, 7),
+    "minInstancesPerNode": (1, 10, 20),
+}
 # --- end of fixed values ---
+ROWS_PER_TASK = 50_000  # of a training table
+LEVEL_MEMORY = 512  # MB of node statistics, so that a tree level is one pass
 CLASSIFIERS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression}
 
 
@@ -95,17 +105,55 @@ def train(
     label_col: str = "label",
     kind: str = "gbt",
     weight_col: str | None = None,
+    validation_col: str | None = None,
     **params,
 ) -> PipelineModel:
-    """Fits on ``df``, which should be the training split only."""
-    return pipeline(feature_cols, kind, label_col, weight_col, numbers=numeric(df, feature_cols), **params).fit(df)
-
+    """Fits on ``df``, which should be the training split only.
 
-def numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """The columns that hold numbers and have some."""
+    A fit passes over the rows for every level of every tree, so what it needs is dealt
+    anew into as many parts as its measured rows ask for. With ``validation_col``, a
+    boolean, boosting fits the other rows and ends when the error of those no longer falls.
+    """
+    if validation_col and kind != "gbt":
+        raise ValueError("only boosting can stop by validation")
+    numbers, rows = _measured(df, feature_cols)
+    if kind == "gbt":
+        params = {"maxMemoryInMB": LEVEL_MEMORY, **params}
+    if validation_col:
+        params["validationIndicatorCol"] = validation_col
+    used = dict.fromkeys([*feature_cols, label_col, *filter(None, (weight_col, validation_col))])
+    table = df.select(*used).repartition(max(1, ceil(rows / ROWS_PER_TASK)))
+    return pipeline(feature_cols, kind, label_col, weight_col, numbers=numbers, **params).fit(table)
+
+
+def _measured(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], int]:
+    """The columns that hold numbers and have some, and the number of rows."""
     kinds = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
-    counts = df.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in kinds]).first() if kinds else {}
-    return [c for c in kinds if counts[c]]
+    present = [F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"n{i}") for i, c in enumerate(kinds)]
+    counts = df.agg(F.count("*").alias("rows"), *present).first()
+    return [c for i, c in enumerate(kinds) if counts[f"n{i}"]], counts["rows"]
+
+
+def with_validation(df: DataFrame, id_col: str, share: float = 0.2, seed: int = SEED) -> DataFrame:
+    """Adds ``validation``: true for about ``share`` of the rows, by a hash of their id."""
+    return df.withColumn("validation", hash_number(F.col(id_col), seed + 1) % 10_000 < round(share * 10_000))
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model as it was after ``rounds`` rounds: its first trees with their weights.
+
+    Boosting adds a tree a round and never changes one, so this is the model that a fit of
+    so many rounds gives.
+    """
+    context = SparkContext.getOrCreate()
+    gateway, jvm = context._gateway, context._jvm
+    whole, n = model._java_obj, min(rounds, model.getNumTrees)
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(whole.trees()[:n], whole.treeWeights()[:n], strict=True)):
+        trees[i], weights[i] = tree, weight
+    part = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights))
+    return part.setFeaturesCol(model.getFeaturesCol())
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
@@ -134,6 +182,12 @@ def fold_count(n_rows: int, most: int = 5) -> int:
     return max(2, min(most, n_rows // 10))
 
 
+def _side_by_side(df: DataFrame, tasks: Sequence, work, parallelism: int) -> list:
+    """Independent fits, ``parallelism`` of them at a time."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), tasks, chunksize=1)
+
+
 def cross_validate(
     df: DataFrame,
     feature_cols: Sequence[str],
@@ -145,22 +199,21 @@ def cross_validate(
     parallelism: int = 4,
     params: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Out-of-fold predictions (id, fold, label, prediction) of ``k`` folds.
+    """Out-of-fold predictions (id, fold, label, prediction) of ``k`` stratified folds.
 
     Several kinds vote, see :func:`soft_vote`; ``params`` are settings by kind. Fits do
     not depend on each other, so ``parallelism`` of them run at a time.
     """
     kinds = [kind] if isinstance(kind, str) else list(kind)
-    folded = hash_folds(df, id_col, k)
+    used = dict.fromkeys([id_col, *feature_cols, label_col, *filter(None, [weight_col])])
+    folded = materialize(stratified_folds(df.select(*used), id_col, label_col, k), "folds")
 
     def fit(task: tuple[int, str]) -> PipelineModel:
         fold, name = task
         rest = folded.filter(F.col("fold") != fold)
         return train(rest, feature_cols, label_col, name, weight_col, **(params or {}).get(name, {}))
 
-    tasks = [(fold, name) for fold in range(k) for name in kinds]
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), tasks, chunksize=1)
+    models = _side_by_side(df, [(fold, name) for fold in range(k) for name in kinds], fit, parallelism)
     parts = []
     for fold in range(k):
         mine = models[fold * len(kinds) : (fold + 1) * len(kinds)]
@@ -174,7 +227,7 @@ def random_search(
     df: DataFrame,
     feature_cols: Sequence[str],
     id_col: str,
-    grid: dict[str, Sequence],
+    grid: dict[str, Sequence] = SEARCH_SPACE,
     kind: str = "gbt",
     n_iter: int = 20,
     folds: int = 3,
@@ -183,30 +236,45 @@ def random_search(
     parallelism: int = 4,
     seed: int = SEED,
     **params,
-) -> tuple[CrossValidatorModel, list[tuple[dict, float]]]:
-    """Cross-validates ``n_iter`` settings drawn from a grid and refits the best.
+) -> tuple[PipelineModel, list[tuple[dict, float]]]:
+    """Cross-validates ``n_iter`` settings drawn from a grid, on stratified folds, and refits the best.
 
-    Returns the fitted search and every setting with its mean accuracy.
+    Settings of a boosted model that differ in the number of rounds only share a fit for
+    each fold: that of the most rounds, whose first trees are scored for all of them in one
+    pass over the fold. Returns the model of the best setting (the first of equals), fitted
+    on all rows, and every setting with its mean accuracy.
     """
-    flow = pipeline(feature_cols, kind, label_col, weight_col, numbers=numeric(df, feature_cols), **params)
-    model = flow.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(model.getParam(name), list(values))
-    every = builder.build()
+    every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
     drawn = random.Random(seed).sample(every, min(n_iter, len(every)))
-    search = CrossValidator(
-        estimator=flow,
-        estimatorParamMaps=drawn,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label_col, metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = search.fit(hash_folds(df, id_col, folds, seed))
-    settings = [{p.name: v for p, v in setting.items()} for setting in drawn]
-    return fitted, [(setting, float(m)) for setting, m in zip(settings, fitted.avgMetrics, strict=True)]
+    groups: dict[tuple, list[dict]] = {}
+    for setting in drawn:
+        rounds = kind == "gbt" and "maxIter" in setting
+        key = tuple((name, value) for name, value in setting.items() if not (rounds and name == "maxIter"))
+        groups.setdefault(key, []).append(setting)
+    used = dict.fromkeys([id_col, *feature_cols, label_col, *filter(None, [weight_col])])
+    folded = materialize(stratified_folds(df.select(*used), id_col, label_col, folds, seed), "folds")
+
+    def scores(task: tuple[list[dict], int]) -> list[float]:
+        settings, fold = task
+        longest = max(settings, key=lambda s: s.get("maxIter", 0))
+        model = train(folded.filter(F.col("fold") != fold), feature_cols, label_col, kind, weight_col, **{**params, **longest})
+        held = PipelineModel(model.stages[:-1]).transform(folded.filter(F.col("fold") == fold))
+        last = model.stages[-1]
+        for i, setting in enumerate(settings):
+            part = first_rounds(last, setting["maxIter"]) if len(settings) > 1 else last
+            held = part.setRawPredictionCol("").setProbabilityCol("").setPredictionCol(f"_p{i}").transform(held)
+        hits = [F.avg((F.col(f"_p{i}") == F.col(label_col)).cast("int")) for i in range(len(settings))]
+        return list(held.agg(*hits).first())
+
+    tasks = [(settings, fold) for settings in groups.values() for fold in range(folds)]
+    found = _side_by_side(df, tasks, scores, parallelism)
+    means: dict[int, float] = {}
+    for n, settings in enumerate(groups.values()):
+        by_fold = found[n * folds : (n + 1) * folds]
+        means |= {id(s): sum(f[i] for f in by_fold) / folds for i, s in enumerate(settings)}
+    tried = [(setting, float(means[id(setting)])) for setting in drawn]
+    best = max(tried, key=lambda t: t[1])[0]
+    return train(df, feature_cols, label_col, kind, weight_col, **{**params, **best}), tried
 
 
 def train_risk_model(
@@ -218,8 +286,8 @@ def train_risk_model(
     fitting read a few numbers per row and not the texts.
     """
     samples = text_features(labelled_samples(changes).select("sample_id", "snippet", "label"), "snippet")
-    split = hash_split(samples.drop("snippet"), "sample_id", train_share, seed)
-    table = materialize(split, "training")
+    features = materialize(samples.drop("snippet"), "features")
+    table = materialize(stratified_split(features, "sample_id", "label", train_share, seed), "training")
     weighted = balanced_weights(table.filter(F.col("split") == "train"))
     model = train(weighted, BASIC_FEATURES, kind=kind, weight_col="weight", **params)
     tested = positive_probability(model.transform(table.filter(F.col("split") == "test")))
@@ -238,7 +306,8 @@ def train_code_ensemble(
     """
     samples = labelled_samples(pairs, suffix="code").select("sample_id", "snippet", "label")
     metrics = code_metrics(samples, "snippet").select("sample_id", "label", *CODE_VECTOR_20)
-    table = materialize(hash_split(metrics, "sample_id", train_share, seed), "code-metrics")
+    metrics = materialize(metrics, "code-metrics")
+    table = materialize(stratified_split(metrics, "sample_id", "label", train_share, seed), "code-split")
     kept = drop_all_zero(table, CODE_VECTOR_20)
     fitting = drop_outliers(kept.filter(F.col("split") == "train"), CODE_VECTOR_20)
     fitting = materialize(balanced_weights(fitting), "code-training")

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import line_count
-from patchlens.operators.ranks import approximate_quantiles, as_one_row, exact_quantiles
+from patchlens.operators.ranks import approximate_quantiles, as_one_row, exact_quantiles, merged_sketches, sketched_quantiles
+from patchlens.session import materialize
 
 HASH_RANGE = 10_000
+HASH_BITS = 32  # of hash_number
+RANGE_BITS = 16  # of them that number the ranges in which the rows of a class are counted
 
 
 def labelled_samples(
@@ -62,6 +65,60 @@ def hash_folds(df: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", (hash_number(F.col(id_col), seed) % k).cast("int"))
 
 
+def _class_cuts(df: DataFrame, key: Column, label_col: str, shares: Sequence[float], max_classes: int) -> DataFrame:
+    """(label, cuts): for every share the key of the first row of a class that lies beyond it, null beyond the last.
+
+    ``key`` is a struct of a 32-bit hash and an id. Rows of a class are counted in ranges of
+    the hash; only the ranges that hold a cut are then ranked, so no class is sorted.
+    """
+    rows = df.select(F.col(label_col).alias("label"), key.alias("key"))
+    rows = rows.withColumn("range", F.shiftright(F.col("key.hash"), HASH_BITS - RANGE_BITS))
+    counts = rows.groupBy("label", "range").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("label")  # at most 2^RANGE_BITS rows a class
+    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("label", "range", "n", before.alias("before"), F.sum("n").over(whole).alias("total"))
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("total") * share + 0.5).alias("at")) for i, share in enumerate(shares)])
+    wanted = placed.select("label", "range", "before", "n", F.explode(cuts).alias("cut"))
+    wanted = wanted.filter((F.col("cut.at") >= F.col("before")) & (F.col("cut.at") < F.col("before") + F.col("n")))
+    wanted = materialize(wanted.select("label", "range", F.col("cut.i").alias("i"), (F.col("cut.at") - F.col("before")).alias("skip")), "cuts")
+    if wanted.count() > len(shares) * max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    held = rows.join(F.broadcast(wanted.select("label", "range").distinct().withColumnsRenamed({"label": "_l", "range": "_r"})),
+                     F.col("label").eqNullSafe(F.col("_l")) & (F.col("range") == F.col("_r")), "left_semi")
+    ranked = held.withColumn("place", F.row_number().over(Window.partitionBy("label", "range").orderBy("key")) - 1)
+    ends = ranked.withColumnsRenamed({"label": "_l", "range": "_r"}).join(
+        F.broadcast(wanted), F.col("label").eqNullSafe(F.col("_l")) & (F.col("range") == F.col("_r")) & (F.col("place") == F.col("skip"))
+    )
+    return ends.groupBy("label").agg(F.collect_list("key").alias("cuts"))
+
+
+def _stratified(df: DataFrame, id_col: str, label_col: str, shares: Sequence[float], seed: int, max_classes: int) -> tuple[DataFrame, Column]:
+    """``df`` with a column ``_cuts``, and the number of cuts that a row has behind it."""
+    key = F.struct(hash_number(F.col(id_col), seed).alias("hash"), F.col(id_col).cast("string").alias("id"))
+    cuts = materialize(_class_cuts(df, key, label_col, shares, max_classes), "class-cuts")
+    joined = df.join(F.broadcast(cuts.withColumnsRenamed({"label": "_cut_label", "cuts": "_cuts"})), F.col(label_col).eqNullSafe(F.col("_cut_label")), "left")
+    passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: key >= c))
+    return joined, passed
+
+
+def stratified_split(
+    df: DataFrame, id_col: str, label_col: str = "label", train: float = 0.75, seed: int = 42, max_classes: int = 1000
+) -> DataFrame:
+    """Adds ``split`` ("train"/"test"): of every class the share ``train`` exactly, rounded to a row.
+
+    The order in a class is that of a hash of the id, then of the id, so the split is the
+    same in every run. Nulls are a class. ``df`` is read three times; pass a written table.
+    """
+    joined, passed = _stratified(df, id_col, label_col, [train], seed, max_classes)
+    return joined.withColumn("split", F.when(passed == 0, "train").otherwise("test")).select(*df.columns, "split")
+
+
+def stratified_folds(df: DataFrame, id_col: str, label_col: str = "label", k: int = 5, seed: int = 42, max_classes: int = 1000) -> DataFrame:
+    """Adds ``fold`` (0 to ``k`` - 1); the rows of a class differ by one at most between folds."""
+    joined, passed = _stratified(df, id_col, label_col, [i / k for i in range(1, k)], seed, max_classes)
+    return joined.withColumn("fold", passed.cast("int")).select(*df.columns, "fold")
+
+
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows in a seeded random order (all rows when there are fewer)."""
     key = F.col(id_col).cast("string")
@@ -124,8 +181,11 @@ def _one_struct(quantiles: DataFrame, cols: Sequence[str]) -> Column:
     return as_one_row(quantiles, cols).select(F.struct(*cols).alias("q")).scalar()
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Replaces columns by (x - median) / IQR; a zero IQR divides by 1."""
+def robust_scale(df: DataFrame, cols: Sequence[str], exact: bool = False) -> DataFrame:
+    """Replaces columns by (x - median) / IQR; a zero IQR divides by 1.
+
+    Quartiles come from sketches unless ``exact``.
+    """
     quartiles = _one_struct(_quantiles(df, cols, (0.25, 0.5, 0.75), exact), cols)
     q = F.col("_q")
 
@@ -136,10 +196,19 @@ def robust_scale(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Data
     return df.withColumn("_q", quartiles).withColumns({c: scaled(c) for c in cols}).drop("_q")
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
-    """Rows (feature, q1, q3, lower, upper)."""
+def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5, exact: bool = False) -> DataFrame:
+    """Rows (feature, q1, q3, lower, upper), from one pass with sketches or, if ``exact``, by ranks."""
+    return _bounds(_quantiles(df, cols, (0.25, 0.75), exact), factor)
+
+
+def sketched_iqr_bounds(sketches: DataFrame, factor: float = 1.5) -> DataFrame:
+    """The bounds of all rows that went into stored sketches, see :func:`ranks.quantile_sketches`."""
+    return _bounds(sketched_quantiles(merged_sketches(sketches), (0.25, 0.75)), factor)
+
+
+def _bounds(quartiles: DataFrame, factor: float) -> DataFrame:
     q1, q3 = F.col("q0"), F.col("q1")
-    return _quantiles(df, cols, (0.25, 0.75), exact).select(
+    return quartiles.select(
         "feature",
         q1.alias("q1"),
         q3.alias("q3"),
@@ -148,8 +217,8 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5, exact: b
     )
 
 
-def drop_outliers(df: DataFrame, cols: Sequence[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
-    """Drops rows with any feature outside its IQR bounds; NULL is not outside."""
+def drop_outliers(df: DataFrame, cols: Sequence[str], factor: float = 1.5, exact: bool = False) -> DataFrame:
+    """Drops rows with any feature outside its IQR bounds; NULL is not outside. ``exact`` as in :func:`iqr_bounds`."""
     bounds = _one_struct(iqr_bounds(df, cols, factor, exact), cols)
     b = F.col("_b")
     outside = [(F.col(c) < b[c]["lower"]) | (F.col(c) > b[c]["upper"]) for c in cols]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from patchlens.session import materialize
 
+SKETCH_SIZE = 800  # of a KLL sketch; ranks are off by about 0.3 % of the rows at most
+
 
 def running_totals(
     counts: DataFrame, group: str, order: str, totals: Sequence[str], buckets: int | None = None
@@ -82,13 +84,34 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[
     )
 
 
-def approximate_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], accuracy: int = 10000) -> DataFrame:
-    """Same shape from one mergeable sketch per column: a single aggregation."""
-    sketches = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probabilities), accuracy).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("_q")) for c in cols])
-    return sketches.select(F.inline(rows)).select(
-        "feature", *[F.get("_q", i).alias(f"q{i}") for i in range(len(probabilities))]
-    )
+def quantile_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, feature, sketch): a KLL sketch of every column, for each group of ``by`` (or one for all).
+
+    A sketch has a few kilobytes, whatever it has seen, and sketches of one feature can be
+    merged. Stored by partition, they give the quantiles of old and new partitions together
+    from the rows of the new ones. NULL and NaN are left out; a column without numbers has none.
+    """
+    values = {f"_{i}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for i, c in enumerate(cols)}
+    narrow = df.select(*by, *[v.alias(name) for name, v in values.items()])
+    sketches = narrow.groupBy(*by).agg(*[F.kll_sketch_agg_double(name, F.lit(SKETCH_SIZE)).alias(name) for name in values])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("sketch")) for i, c in enumerate(cols)])
+    return sketches.select(*by, F.inline(rows)).filter(F.kll_sketch_get_n_double("sketch") > 0)
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """(feature, sketch): the sketches of every feature as one."""
+    return sketches.groupBy("feature").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """One row (feature, q0, q1, ...) for each sketch: values whose rank is about the one asked for."""
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probabilities)]
+    return sketches.select("feature", *found)
+
+
+def approximate_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Same shape as :func:`exact_quantiles` from one sketch per column: a single aggregation."""
+    return sketched_quantiles(quantile_sketches(df, cols), probabilities)
 
 
 def as_one_row(quantiles: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -92,9 +92,52 @@ def test_cross_validation_covers_every_row_once(train):
 
 
 def test_random_search(train):
-    fitted, tried = L.random_search(train, COLS, "sample_id", {"maxIter": [2, 4], "maxDepth": [2, 3]}, n_iter=2, folds=2)
-    assert len(tried) == 2 and len({tuple(s.items()) for s, _ in tried}) == 2
-    assert max(m for _, m in tried) == pytest.approx(max(fitted.avgMetrics))
+    grid = {"maxIter": [2, 4, 6], "maxDepth": [2, 3]}
+    model, tried = L.random_search(train, COLS, "sample_id", grid, n_iter=5, folds=2)
+    assert len(tried) == 5 and len({tuple(s.items()) for s, _ in tried}) == 5
+    best = max(tried, key=lambda t: t[1])
+    assert model.stages[-1].getNumTrees == best[0]["maxIter"]
+    # the accuracies are those of fits with that many rounds
+    folded = P.stratified_folds(train, "sample_id", "label", 2)
+    for setting, accuracy in tried[:2]:
+        hits = []
+        for fold in range(2):
+            fitted = L.train(folded.filter(F.col("fold") != fold), COLS, **setting)
+            hits.append(V.accuracy(fitted.transform(folded.filter(F.col("fold") == fold))).first()[0])
+        assert accuracy == pytest.approx(sum(hits) / 2)
+    assert len(L.random_search(train, COLS, "sample_id", {"regParam": [0.0, 0.1]}, kind="lr", folds=2)[1]) == 2
+
+
+def test_first_rounds_are_a_shorter_fit(train, test):
+    long, short = (L.train(train, COLS, weight_col="weight", maxIter=n) for n in (8, 3))
+    flow = L.PipelineModel(long.stages[:-1])
+    part = L.first_rounds(long.stages[-1], 3).transform(flow.transform(test))
+    columns = ["sample_id", "rawPrediction", "prediction"]
+    assert part.select(columns).orderBy("sample_id").collect() == short.transform(test).select(columns).orderBy("sample_id").collect()
+    assert L.first_rounds(long.stages[-1], 99).getNumTrees == 8
+
+
+def test_boosting_stops_by_validation(train, test):
+    marked = L.with_validation(train, "sample_id", 0.3)
+    stopped = L.train(marked, COLS, validation_col="validation", maxIter=60).stages[-1]
+    full = L.train(marked.filter("NOT validation"), COLS, maxIter=60)
+    n = stopped.getNumTrees
+    assert 0 < n < 60
+    scaled = L.PipelineModel(full.stages[:-1]).transform(test)
+    ours = L.first_rounds(full.stages[-1], n).transform(scaled).select("prediction").collect()
+    assert n and len(ours) == test.count()
+    with pytest.raises(ValueError):
+        L.train(marked, COLS, kind="rf", validation_col="validation")
+
+
+def test_a_small_table_is_one_part_of_a_fit(spark, train, monkeypatch):
+    seen = []
+    fit = L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    L.train(train.repartition(7), COLS, kind="lr")
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 100)
+    L.train(train, COLS, kind="lr")
+    assert seen[0] == 1 and seen[-1] > 1
 
 
 def test_feature_importance(models, train):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -146,3 +148,32 @@ def test_selected_features_are_the_largest_f(numbers):
     best = sorted(scores, key=scores.get, reverse=True)[:2]
     assert set(P.select_features(complete, COLS, k=2)) == set(best)
     assert P.select_features(complete, COLS, k=15) == COLS
+
+
+@pytest.mark.parametrize("sizes", [{0.0: 997, 1.0: 41, None: 6, 2.0: 1}, {"a": 3, "b": 200}])
+def test_stratified_split_and_folds_are_exact(spark, sizes):
+    rows = [(f"{label}-{i}", label, i) for label, n in sizes.items() for i in range(n)]
+    kind = "double" if 0.0 in sizes else "string"
+    df = spark.createDataFrame(rows, f"sample_id string, label {kind}, n int").repartition(5)
+
+    def order(i):
+        return int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16), i
+
+    split = {r["sample_id"]: r["split"] for r in P.stratified_split(df, "sample_id", "label", 0.7).collect()}
+    folds = {r["sample_id"]: r["fold"] for r in P.stratified_folds(df, "sample_id", "label", 4).collect()}
+    assert len(split) == len(folds) == len(rows)
+    for label, n in sizes.items():
+        ids = sorted((i for i, other, _ in rows if other == label), key=order)
+        cut = math.floor(n * 0.7 + 0.5)
+        assert [split[i] for i in ids] == ["train"] * cut + ["test"] * (n - cut)
+        counts = [sum(folds[i] == f for i in ids) for f in range(4)]
+        assert sum(counts) == n and max(counts) - min(counts) <= 1
+        assert [folds[i] for i in ids] == sorted(folds[i] for i in ids)
+
+
+def test_stratified_split_with_too_many_classes(spark):
+    df = spark.range(50).select(F.col("id").alias("sample_id"), F.col("id").alias("label"))
+    with pytest.raises(ValueError, match="classes"):
+        P.stratified_folds(df, "sample_id", "label", 3, max_classes=10)
+    empty = spark.createDataFrame([], "sample_id string, label double")
+    assert P.stratified_split(empty, "sample_id").count() == 0

@@ -82,6 +82,17 @@ REPORTS = _struct(
     code=T.StringType(),
 )
 
+# A flagged section for which an analyzer failed.
+FAILED = _struct(
+    report_id=T.StringType(),
+    repo=T.StringType(),
+    pr=T.LongType(),
+    head_sha=T.StringType(),
+    pos=T.IntegerType(),
+    filename=T.StringType(),
+    failures=T.ArrayType(T.StringType()),
+)
+
 # One <file> element of a lint report; "_x" is how Spark names XML attributes.
 LINT_FILE = _struct(
     _name=T.StringType(),

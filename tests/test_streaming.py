@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import glob
+import os
 import hashlib
 import hmac
 import json
@@ -193,3 +195,82 @@ def test_plain_streams(spark, tmp_path):
     SR.request_stream(source(spark, folder), SECRET, f"{tmp_path}/a", f"{tmp_path}/sa").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/a").count() == 3
     assert spark.read.parquet(f"{tmp_path}/b").count() == 5
+
+
+def test_ledger_segments_cover_every_batch_once():
+    for n in [*range(300), 4095, 4096, 4097, 70_000]:
+        spans = [(i * SR.FAN**level, (i + 1) * SR.FAN**level) for level, i in SR.ledger_segments(n)]
+        covered = sorted(spans)
+        assert [s for s, _ in covered] == [0, *[e for _, e in covered[:-1]]][: len(covered)]
+        assert (covered[-1][1] if covered else 0) == n
+    assert len(SR.ledger_segments(10**6)) < SR.FAN * 6
+
+
+def test_ledger_is_compacted_and_forgets_nothing(spark, tmp_path, tables, monkeypatch):
+    monkeypatch.setattr(SR, "FAN_BITS", 1)
+    monkeypatch.setattr(SR, "FAN", 2)
+    folder, opened = str(tmp_path / "in"), []
+    segments = SR.ledger_segments
+    monkeypatch.setattr(SR, "ledger_segments", lambda n: opened.append(len(segments(n))) or segments(n))
+    for i in range(9):  # one file is one batch; each repeats the first delivery and an old one
+        rows = [event(0, body(sha="s1")), event(i, body(sha="s1")), event(i // 2, body(sha="s1")), event(50 + i, body(pr=2, sha="s2"))]
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, tmp_path, tables)
+    assert max(opened) <= 4 < 8  # segments, of up to eight earlier batches
+    # every id was handled once
+    ledger = f"{tmp_path}/state-handled"
+    ids = [r["event_id"] for level, i in segments(9) for r in spark.read.schema(SR._LEDGER).parquet(SR._segment(ledger, level, i)).collect()]
+    assert set(ids) == {*range(9), *range(50, 59)}
+    handled = [spark.read.parquet(p).count() for p in sorted(glob.glob(f"{ledger}/level-0/*"))]
+    assert len(handled) == 9 and os.path.isdir(f"{ledger}/level-3/segment-0")
+    reports = spark.read.parquet(f"{tmp_path}/out")
+    # one report a batch for each change with a delivery not handled before
+    assert reports.filter("pr = 2").count() == 9 and reports.filter("pr = 1").count() == 9
+
+
+def flaky(folder, always=()):
+    """A review that fails the first time it sees a text, and always for some."""
+
+    def review(code):
+        if any(a in code for a in always):
+            raise RuntimeError("no such luck")
+        mark = os.path.join(folder, hashlib.sha256(code.encode()).hexdigest())
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("quota")
+        return [(1, "minor", "looked at")]
+
+    return W.text_analyzer(review, "flaky")
+
+
+def test_failed_files_are_tried_again_and_end(spark, tmp_path):
+    diff = "diff --git a/a.java b/a.java\n+x == null\ndiff --git a/b.java b/b.java\n+null\ndiff --git a/c.java b/c.java\n+null"
+    diffs = spark.createDataFrame([("o/r", 1, diff)], "repo string, pr long, diff_text string")
+    texts = {"a.java": "null a", "b.java": "null never", "c.java": "null c"}
+    files = spark.createDataFrame([("o/r", p, "s1", t) for p, t in texts.items()], "repo string, path string, ref string, code string")
+    marks = str(tmp_path / "marks")
+    os.mkdir(marks)
+    analyzers = [W.rule_analyzer(), flaky(marks, ["never"])]
+    folder, out = str(tmp_path / "in"), f"{tmp_path}/out"
+    frame(spark, [event(0, body(sha="s1"))]).coalesce(1).write.parquet(folder)
+    SR.review_stream(source(spark, folder), diffs, files, scorer, analyzers, SECRET, out, f"{tmp_path}/state").awaitTermination()
+
+    def issues():
+        return {r["filename"]: sorted(i["source"] for i in r["issues"]) for r in SR.read_stream_reports(spark, out, retried=True).collect()}
+
+    def again(later=files):
+        SR.retry_stream(spark, later, analyzers, out, f"{tmp_path}/retry", attempts=3).awaitTermination()
+
+    def dead():
+        return [(r["filename"], r["attempt"], r["gone"]) for r in spark.read.parquet(f"{out}-dead").collect()]
+
+    again(files.filter("path != 'c.java'"))
+    first = issues()
+    assert "flaky" in first["a.java"] and "flaky" not in first.get("b.java", []) and "flaky" not in first.get("c.java", [])
+    assert dead() == [("c.java", 1, True)]
+    again()
+    assert dead() == [("c.java", 1, True)]
+    again()
+    assert sorted(dead()) == [("b.java", 3, False), ("c.java", 1, True)]
+    again()
+    assert len(dead()) == 2 and issues() == first

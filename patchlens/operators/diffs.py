@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import constants as K
-from patchlens.functions.text import added_loc, lint_count, or_empty, removed_loc, split_lines
+from patchlens.functions.text import added_loc, lint_count, or_empty, removed_loc, split_lines, term_counts
 
 HEADER = "diff --git"
 
@@ -104,22 +104,20 @@ def label_diffs(
 def line_diff(files: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Lines removed and added between two versions, as a multiset difference.
 
-    One pass explodes both versions and one aggregation, mostly done before the
-    shuffle, nets them. Lines that only moved cancel out.
+    The lines of each version are sorted and counted in their row; every copy of a line gets
+    its number, and copies that the other version has too cancel out. Lines that only
+    moved are no difference. Nothing is shuffled.
     """
 
-    def side(col: str, weight: int) -> Column:
-        return F.transform(
-            split_lines(F.col(col)), lambda l: F.struct(l.alias("line"), F.lit(weight).cast("long").alias("weight"))
-        )
+    def copies(col: str) -> Column:
+        counts = term_counts(split_lines(F.col(col)))
+        return F.flatten(F.transform(counts, lambda c: F.transform(F.sequence(F.lit(1), c["tf"].cast("int")), lambda i: F.concat(i.cast("string"), F.lit(":"), c["term"]))))
+
+    def net(left: str, right: str, op: str) -> Column:
+        lines = F.transform(F.array_except(left, right), lambda x: F.substr(x, F.instr(x, ":") + 1))
+        return F.transform(term_counts(lines), lambda c: F.struct(c["term"].alias("line"), F.lit(op).alias("op"), c["tf"].cast("long").alias("n")))
 
-    both = F.concat(side(before, -1), side(after, 1))
+    sides = files.select(*keys, copies(before).alias("_before"), copies(after).alias("_after"))
+    found = F.concat(net("_before", "_after", "removed"), net("_after", "_before", "added"))
     # the outer form keeps Spark from computing the lists a second time to test for empty ones
-    lines = files.select(*keys, F.inline_outer(both)).filter(F.col("weight").isNotNull())
-    net = lines.groupBy(*keys, "line").agg(F.sum("weight").alias("net")).filter(F.col("net") != 0)
-    return net.select(
-        *keys,
-        "line",
-        F.when(F.col("net") > 0, "added").otherwise("removed").alias("op"),
-        F.abs("net").alias("n"),
-    )
+    return sides.select(*keys, F.inline_outer(found)).filter(F.col("n").isNotNull())

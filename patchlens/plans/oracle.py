@@ -91,8 +91,9 @@ VIEWS: dict[str, str] = {
                  chr(10) ORDER BY doc_id) AS diff_text
         FROM snippets GROUP BY 1""",
     "pairs": r"""
-        SELECT a.doc_id // 2 AS k, a.source, a.path, a.code AS before, b.code AS after
-        FROM snippets a JOIN snippets b ON b.doc_id = a.doc_id + 1 AND b.doc_id // 2 = a.doc_id // 2""",
+        SELECT doc_id // 2 AS k, arg_min(source, doc_id) AS source, arg_min(path, doc_id) AS path, arg_min(code, doc_id) AS before,
+               CASE WHEN count(*) = 1 THEN '' ELSE arg_max(code, doc_id) END AS after
+        FROM snippets GROUP BY 1""",
     "sized_pairs": r"""
         SELECT *, len(string_split(before, chr(10))) + len(string_split(after, chr(10))) AS size FROM pairs""",
     "changes": r"""
@@ -318,9 +319,9 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, quality AS label, h / 10000 AS score, (h > 5000)::INT AS prediction
         FROM (SELECT *, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 10001 AS h FROM labels)""",
     "token_vectors": r"""
-        SELECT vec_id, p AS pos, embedding[8 * p + 1 : 8 * p + 8] AS vec FROM embeddings, range(8) r(p)""",
+        SELECT vec_id, p AS pos, embedding[8 * p + 1 : 8 * p + 8] AS vec FROM embeddings, unnest(range((len(embedding) + 7) // 8)) r(p)""",
     "pooled": r"""
-        SELECT vec_id, d AS dim, avg(vec[d + 1]::DOUBLE) AS value FROM token_vectors, range(8) r(d) GROUP BY ALL""",
+        SELECT vec_id, d AS dim, avg(coalesce(vec[d + 1], 0)::DOUBLE) AS value FROM token_vectors, range(8) r(d) GROUP BY ALL""",
 }
 
 
@@ -378,9 +379,17 @@ CONSTRUCTS = (
 )
 DIMS = "SELECT vec_id, (dim)::INTEGER AS dim, round(value, 6) AS value FROM"
 
+
+
+def ranked(table: str, key: str = "sample_id", label: str = "label") -> str:
+    """Rows with their place ``r`` (from 0) in their class of ``n``, in the order of the hash."""
+    return f"""(SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {hashed(42, key)}, {key}) - 1 AS r,
+                count(*) OVER (PARTITION BY {label}) AS n FROM {table})"""
+
+
 TESTED = f"""
-    SELECT sample_id, label, TRUE AS score_is_share, TRUE AS prediction_follows
-    FROM samples WHERE {hashed(42, 'sample_id')} % 10000 >= 7500"""
+    SELECT sample_id, label, TRUE AS score_is_share, TRUE AS prediction_follows, TRUE AS learned
+    FROM {ranked('samples')} WHERE r >= floor(n * 0.75 + 0.5)"""
 
 QUERIES: dict[str, str] = {
     "src_changes_roundtrip": "SELECT * FROM changes",
@@ -497,6 +506,18 @@ QUERIES: dict[str, str] = {
     "prep_split_grouped": f"""
         SELECT sample_id, label, CASE WHEN {hashed(42, 'commit_hash')} % 10000 < 8000 THEN 'train' ELSE 'test' END AS split
         FROM samples""",
+    "prep_split_stratified": f"""
+        SELECT sample_id, label, CASE WHEN r < floor(n * 0.75 + 0.5) THEN 'train' ELSE 'test' END AS split FROM {ranked('samples')}""",
+    "prep_folds_stratified": f"""
+        SELECT sample_id, label, list_sum([CASE WHEN r >= floor(n * i / 5 + 0.5) THEN 1 ELSE 0 END for i in [1, 2, 3, 4]])::INTEGER AS fold
+        FROM {ranked('samples')}""",
+    "prep_iqr_sketch": "SELECT feature, TRUE AS q1_holds, TRUE AS q3_holds, TRUE AS ordered FROM complete_long GROUP BY feature",
+    "prep_anova_chosen": """
+        WITH c AS (SELECT feature, label, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS w FROM complete_long GROUP BY ALL),
+        g AS (SELECT feature, sum(n * m) / sum(n) AS grand FROM c GROUP BY feature),
+        f AS (SELECT feature, (sum(n * (m - grand) ** 2) / (count(*) - 1)) / (nullif(sum(w), 0) / (sum(n) - count(*))) AS f_value
+              FROM c JOIN g USING (feature) GROUP BY feature)
+        SELECT feature FROM f ORDER BY f_value DESC NULLS LAST, feature LIMIT 5""",
     "prep_folds": f"SELECT sample_id, label, ({hashed(42, 'sample_id')} % 5)::INTEGER AS fold FROM samples",
     "prep_sample_n": "SELECT sample_id, side FROM samples ORDER BY md5('42:' || sample_id), sample_id LIMIT 300",
     "prep_standardize": f"""
@@ -544,11 +565,11 @@ QUERIES: dict[str, str] = {
         SELECT doc_id, round(score, 6) AS score, (score > 0.5)::INTEGER AS label FROM a""",
     "emb_l2_normalize": f"""{DIMS} (
         SELECT vec_id, d AS dim, embedding[d + 1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS value
-        FROM embeddings, range(64) r(d))""",
+        FROM embeddings, unnest(range(len(embedding))) r(d))""",
     "emb_mean_pool": f"{DIMS} pooled",
     "emb_concat": f"""
-        WITH stacked AS (SELECT vec_id, d AS dim, embedding[d + 1]::DOUBLE AS value FROM embeddings, range(64) r(d)
-                         UNION ALL SELECT vec_id, dim + 64, value FROM pooled)
+        WITH stacked AS (SELECT vec_id, d AS dim, embedding[d + 1]::DOUBLE AS value FROM embeddings, unnest(range(len(embedding))) r(d)
+                         UNION ALL SELECT vec_id, dim + len(embedding), value FROM pooled JOIN embeddings USING (vec_id))
         {DIMS} (SELECT vec_id, dim, value / sqrt(sum(value * value) OVER (PARTITION BY vec_id)) AS value FROM stacked)""",
     "eval_accuracy": "SELECT round(avg((label = prediction)::INT), 6) AS accuracy FROM predictions",
     "eval_class_report": """
@@ -576,7 +597,7 @@ QUERIES: dict[str, str] = {
                n < 100 AS small_corpus
         FROM (SELECT lang, avg((label = prediction)::INT) AS a, count(*) AS n FROM predictions JOIN documents USING (doc_id) GROUP BY lang)""",
     "ml_bundle_roundtrip": f"""
-        SELECT sample_id, label, TRUE AS same FROM samples WHERE {hashed(42, 'sample_id')} % 10000 >= 7500""",
+        SELECT sample_id, label, TRUE AS same FROM {ranked('samples')} WHERE r >= floor(n * 0.75 + 0.5)""",
     "ml_train_gbt": TESTED,
     "ml_train_rf": TESTED,
     "ml_train_lr": TESTED,
@@ -587,16 +608,19 @@ QUERIES: dict[str, str] = {
           JOIN code b ON b.doc_id = 2 * k + later
           WHERE regexp_matches(lower(msg), 'fix|bug|resolve|patch|defect|error|issue') AND p.path LIKE '%.java'
             AND k % 7 <> 0 AND k % 11 <> 0 AND before <> '' AND after <> '')
-        SELECT sample_id, CASE side WHEN 'buggy' THEN 1.0::DOUBLE ELSE 0 END AS label, TRUE AS score_is_share, TRUE AS prediction_follows
-        FROM kept WHERE {hashed(42, 'sample_id')} % 10000 >= 8000 AND lines_of_code > 0""",
+        SELECT sample_id, label, TRUE AS score_is_share, TRUE AS prediction_follows, TRUE AS learned
+        FROM {ranked("(SELECT *, CASE side WHEN 'buggy' THEN 1.0::DOUBLE ELSE 0 END AS label FROM kept)")}
+        WHERE r >= floor(n * 0.8 + 0.5) AND (side = 'buggy' OR lines_of_code > 0)""",
     "ml_cv": f"""
-        SELECT sample_id, ({hashed(42, 'sample_id')} % greatest(2, least(5, (SELECT count(*) FROM samples) // 10)))::INTEGER AS fold,
-               label, TRUE AS predicted FROM samples""",
-    "ml_random_search": "SELECT 20::BIGINT AS tried, 20::BIGINT AS distinct_settings, TRUE AS accuracies_are_shares, TRUE AS best_refitted",
+        WITH sized AS (SELECT *, greatest(2, least(5, count(*) OVER () // 10)) AS k FROM {ranked('samples')})
+        SELECT sample_id, list_sum([CASE WHEN i < k AND r >= floor(n * i / k + 0.5) THEN 1 ELSE 0 END for i in [1, 2, 3, 4]])::INTEGER AS fold,
+               label, TRUE AS predicted, TRUE AS learned FROM sized""",
+    "ml_random_search": """
+        SELECT 20::BIGINT AS tried, 20::BIGINT AS distinct_settings, TRUE AS accuracies_are_shares, TRUE AS best_refitted, TRUE AS learned""",
     "ml_feature_importance": """
-        SELECT 10::BIGINT AS features, 10::BIGINT AS distinct_features, 1.0::DOUBLE AS total, TRUE AS least_left_out""",
+        SELECT 10::BIGINT AS features, 10::BIGINT AS distinct_features, 1.0::DOUBLE AS total, TRUE AS least_left_out, TRUE AS planted_first""",
     "triage_score": """
-        SELECT diff_id, pos, filename, TRUE AS score_is_share, TRUE AS risky_follows FROM parsed WHERE filename LIKE '%.java'""",
+        SELECT diff_id, pos, filename, TRUE AS score_is_share, TRUE AS risky_follows, TRUE AS tells_planted FROM parsed WHERE filename LIKE '%.java'""",
     "triage_override": """
         SELECT doc_id, (doc_id % 2)::INTEGER AS prediction,
                CASE WHEN doc_id % 5 = 0 OR contains(code, 'FORCE_RISK') THEN 1 ELSE (doc_id % 2)::INTEGER END AS risky FROM snippets""",

@@ -25,6 +25,7 @@ from patchlens.operators import (
     mining as M,
     models as L,
     prep as P,
+    ranks,
     reports as R,
     review as W,
 )
@@ -395,6 +396,18 @@ def prep_folds(spark, sf_dir):
     return folded.select("sample_id", "label", "fold")
 
 
+@query
+def prep_split_stratified(spark, sf_dir):
+    samples = P.labelled_samples(views.changes(spark, sf_dir)).select("sample_id", "label")
+    return P.stratified_split(materialize(samples, "samples"), "sample_id")
+
+
+@query
+def prep_folds_stratified(spark, sf_dir):
+    samples = P.labelled_samples(views.changes(spark, sf_dir)).select("sample_id", "label")
+    return P.stratified_folds(materialize(samples, "samples"), "sample_id")
+
+
 @query
 def prep_sample_n(spark, sf_dir):
     return P.sample_n(P.labelled_samples(views.changes(spark, sf_dir)), "sample_id", 300).select("sample_id", "side")
@@ -409,19 +422,34 @@ def prep_standardize(spark, sf_dir):
 
 @query
 def prep_robust_scale(spark, sf_dir):
-    scaled = P.robust_scale(_samples(spark, sf_dir), X.BASIC_FEATURES)
+    scaled = P.robust_scale(_samples(spark, sf_dir), X.BASIC_FEATURES, exact=True)
     return rounded(scaled.select("sample_id", *X.BASIC_FEATURES), *X.BASIC_FEATURES)
 
 
 @query
 def prep_iqr_bounds(spark, sf_dir):
-    bounds = P.iqr_bounds(_samples(spark, sf_dir, "rich"), X.RICH_FEATURES)
+    bounds = P.iqr_bounds(_samples(spark, sf_dir, "rich"), X.RICH_FEATURES, exact=True)
     return rounded(bounds, "q1", "q3", "lower", "upper")
 
 
+@query
+def prep_iqr_sketch(spark, sf_dir):
+    """Bounds from sketches stored by class: how the ranks of the quartiles lie among all rows of the feature."""
+    samples = P.drop_missing(_samples(spark, sf_dir, "rich"), X.RICH_FEATURES)
+    stored = materialize(ranks.quantile_sketches(samples, X.RICH_FEATURES, ["label"]), "sketches")
+    bounds = materialize(P.sketched_iqr_bounds(stored), "bounds")
+    values = samples.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in X.RICH_FEATURES])))
+    counts = values.join(F.broadcast(bounds), "feature").groupBy("feature", "q1", "q3", "lower", "upper")
+    below = [F.avg((F.col("value") < F.col(q)).cast("int")).alias(f"under_{q}") for q in ("q1", "q3")]
+    up_to = [F.avg((F.col("value") <= F.col(q)).cast("int")).alias(f"to_{q}") for q in ("q1", "q3")]
+    near = {q: (F.col(f"under_{q}") <= p + 0.02) & (F.col(f"to_{q}") >= p - 0.02) for q, p in (("q1", 0.25), ("q3", 0.75))}
+    order = (F.col("lower") <= F.col("q1")) & (F.col("q1") <= F.col("q3")) & (F.col("q3") <= F.col("upper"))
+    return counts.agg(*below, *up_to).select("feature", near["q1"].alias("q1_holds"), near["q3"].alias("q3_holds"), order.alias("ordered"))
+
+
 @query
 def prep_outliers(spark, sf_dir):
-    kept = P.drop_outliers(_samples(spark, sf_dir), X.BASIC_FEATURES)
+    kept = P.drop_outliers(_samples(spark, sf_dir), X.BASIC_FEATURES, exact=True)
     return kept.select("sample_id", "label", *X.BASIC_FEATURES)
 
 
@@ -455,6 +483,14 @@ def prep_anova_f(spark, sf_dir):
     return rounded(scores, "f_value")
 
 
+@query
+def prep_anova_chosen(spark, sf_dir):
+    """The five features of eleven that selection keeps."""
+    samples = P.drop_missing(_samples(spark, sf_dir, "rich"), X.RICH_FEATURES)
+    chosen = P.select_features(samples, X.RICH_FEATURES, k=5)
+    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+
+
 # --- words and vectors ---------------------------------------------------------------------------------
 
 
@@ -524,47 +560,50 @@ def ml_quality_band(spark, sf_dir):
 
 # --- models ------------------------------------------------------------------------------------------------------
 
-# Queries of one data folder share these fits; ml_train_gbt and ml_code_ensemble fit for themselves.
-FITTED: dict[tuple[str, str], tuple[str, str]] = {}
-# 108 settings; a search over 100 to 500 rounds takes hours of job overhead on tables of this size
-SEARCH = {
-    "maxIter": [5, 10, 20],
-    "stepSize": [0.03, 0.1, 0.3],
-    "maxDepth": [2, 3, 5],
-    "subsamplingRate": [0.8, 1.0],
-    "minInstancesPerNode": [1, 2],
-}
+# Queries of one session share these fits, by what they were fitted on; ml_train_gbt and ml_code_ensemble fit for themselves.
+FITTED: dict[tuple, tuple[str, str]] = {}
+LEARNED = 0.8  # share of right answers on planted changes, half of them for a model that has learned nothing
+# The space of the library with a twentieth of the rounds: the whole one takes hours of job overhead on tables of this size.
+SEARCH = {**L.SEARCH_SPACE, "maxIter": tuple(n // 20 for n in L.SEARCH_SPACE["maxIter"])}
 
 
 def _training_table(spark, sf_dir, group="basic"):
-    samples = P.labelled_samples(views.changes(spark, sf_dir)).select("sample_id", "snippet", "label")
-    featured = X.text_features(samples, "snippet", [group]).drop("snippet")
-    return materialize(P.balanced_weights(P.hash_split(featured, "sample_id")), "training")
+    samples = P.labelled_samples(views.planted_changes(spark, sf_dir)).select("sample_id", "snippet", "label")
+    featured = materialize(X.text_features(samples, "snippet", [group]).drop("snippet"), "features")
+    return materialize(P.balanced_weights(P.stratified_split(featured, "sample_id")), "training")
 
 
 def _split(table):
     return table.filter(F.col("split") == "train"), table.filter(F.col("split") == "test")
 
 
+def _content(table):
+    """What a table holds, in a number that does not depend on the order of rows."""
+    return table.agg(F.count("*"), F.bit_xor(F.xxhash64(*sorted(table.columns)))).first()
+
+
 def _fit(spark, sf_dir, kind):
     """The stored model of a kind with the library's own settings, and the split it was fitted on."""
-    key = (f"{shared_dir(spark)}:{sf_dir}", kind)
+    table = _training_table(spark, sf_dir)
+    key = (shared_dir(spark), kind, *_content(table))
     if key not in FITTED:
-        table = _training_table(spark, sf_dir)
-        rows, bundle = run_dir(spark, "training-rows"), run_dir(spark, "model")
-        table.write.parquet(rows)
-        model = L.train(_split(table)[0], X.BASIC_FEATURES, kind=kind, weight_col="weight")
-        bundles.save_bundle(model, bundle)
-        FITTED[key] = rows, bundle
-    rows, bundle = FITTED[key]
-    return bundles.load_bundle(bundle), *_split(spark.read.parquet(rows))
+        bundle = run_dir(spark, "model")
+        bundles.save_bundle(L.train(_split(table)[0], X.BASIC_FEATURES, kind=kind, weight_col="weight"), bundle)
+        FITTED[key] = bundle
+    return bundles.load_bundle(FITTED[key]), *_split(table)
+
+
+def _learned(scored):
+    """Whether enough of the rows are answered rightly, as a value for every row."""
+    return (scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("a")).scalar() >= LEARNED).alias("learned")
 
 
 def _verdicts(scored):
     """Test samples and whether score and prediction are what they should be."""
+    scored = materialize(scored.select("sample_id", "label", "score", "prediction"), "scored")
     share = F.col("score").between(0, 1)
     follows = F.col("prediction") == (F.col("score") > 0.5).cast("double")
-    return scored.select("sample_id", "label", share.alias("score_is_share"), follows.alias("prediction_follows"))
+    return scored.select("sample_id", "label", share.alias("score_is_share"), follows.alias("prediction_follows"), _learned(scored))
 
 
 def _scored(model, test):
@@ -573,7 +612,7 @@ def _scored(model, test):
 
 @query
 def ml_train_gbt(spark, sf_dir):
-    return _verdicts(L.train_risk_model(views.changes(spark, sf_dir))[1])
+    return _verdicts(L.train_risk_model(views.planted_changes(spark, sf_dir))[1])
 
 
 @query
@@ -597,17 +636,18 @@ def ml_soft_vote(spark, sf_dir):
     for i, (model, _, _) in enumerate(fits):
         member = _scored(model, test).select("sample_id", F.col("score").alias(f"_m{i}"))
         voted = voted.join(member, "sample_id")
+    voted = materialize(voted, "voted")
     mean = (F.col("_m0") + F.col("_m1") + F.col("_m2")) / 3
     follows = F.col("prediction") == (F.col("score") > 0.5).cast("double")
     return voted.select(
-        "sample_id", "label", (F.abs(mean - F.col("score")) < 1e-9).alias("is_mean"), follows.alias("prediction_follows")
+        "sample_id", "label", (F.abs(mean - F.col("score")) < 1e-9).alias("is_mean"), follows.alias("prediction_follows"), _learned(voted)
     )
 
 
 @query
 def ml_code_ensemble(spark, sf_dir):
     pairs = M.modified_pairs(views.commits(spark, sf_dir), views.file_changes(spark, sf_dir))
-    return _verdicts(L.train_code_ensemble(pairs)[2])
+    return _verdicts(L.train_code_ensemble(pairs.withColumn("buggy_code", views.planted(F.col("buggy_code"), F.lit(8))))[2])
 
 
 @query
@@ -617,25 +657,30 @@ def ml_cv(spark, sf_dir):
     folds = L.cross_validate(
         table, X.BASIC_FEATURES, "sample_id", ("rf", "gbt", "lr"), L.fold_count(table.count()), weight_col="weight", parallelism=8
     )
-    return folds.select("sample_id", "fold", "label", F.col("prediction").isin(0.0, 1.0).alias("predicted"))
+    folds = materialize(folds, "out-of-fold")
+    return folds.select("sample_id", "fold", "label", F.col("prediction").isin(0.0, 1.0).alias("predicted"), _learned(folds))
 
 
 @query
 def ml_random_search(spark, sf_dir):
     """20 of 108 settings: all different, with an accuracy each, the best refitted."""
     train, _ = _split(_training_table(spark, sf_dir))
-    fitted, tried = L.random_search(train, X.BASIC_FEATURES, "sample_id", SEARCH, weight_col="weight", parallelism=8)
-    best = max(accuracy for _, accuracy in tried)
-    chosen = fitted.bestModel.stages[-1]
-    won = any(a == best and all(chosen.getOrDefault(k) == v for k, v in s.items()) for s, a in tried)
+    model, tried = L.random_search(train, X.BASIC_FEATURES, "sample_id", SEARCH, weight_col="weight", parallelism=8)
+    best, most = max(tried, key=lambda t: t[1])
+    chosen = model.stages[-1]
+    won = chosen.getNumTrees == best["maxIter"] and all(chosen.getOrDefault(k) == v for k, v in best.items())
     shares = all(0 <= accuracy <= 1 for _, accuracy in tried)
-    row = (len(tried), len({tuple(s.items()) for s, _ in tried}), shares, won)
-    return spark.createDataFrame([row], "tried long, distinct_settings long, accuracies_are_shares boolean, best_refitted boolean")
+    row = (len(tried), len({tuple(s.items()) for s, _ in tried}), shares, won, most >= LEARNED)
+    names = "tried long, distinct_settings long, accuracies_are_shares boolean, best_refitted boolean, learned boolean"
+    return spark.createDataFrame([row], names)
 
 
 @query
 def ml_feature_importance(spark, sf_dir):
-    """The ten features of eleven that a forest uses most: places and whether shares are in order."""
+    """The ten features of eleven that a forest uses most: places, whether shares are in order, and what comes first.
+
+    The planted lines hold keywords, control words, exceptions, calls and suspicious words.
+    """
     table = P.drop_missing(_training_table(spark, sf_dir, "rich"), X.RICH_FEATURES)
     model = L.train(_split(table)[0], X.RICH_FEATURES, kind="rf", weight_col="weight")
     top = L.feature_importance(model, X.RICH_FEATURES, table)
@@ -643,11 +688,13 @@ def ml_feature_importance(spark, sf_dir):
     total = every.agg(F.round(F.sum("importance"), 6)).scalar()
     shares = F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False)
     least = every.agg(F.min("importance")).scalar()
+    planted = ("keyword_count", "control_count", "exception_count", "method_calls", "suspicious_count")
     return top.agg(shares.alias("s")).select(
         F.size("s").cast("long").alias("features"),
         F.size(F.array_distinct("s.feature")).cast("long").alias("distinct_features"),
         total.alias("total"),
         (F.element_at("s", -1)["importance"] >= least).alias("least_left_out"),
+        (F.get("s", 0)["feature"].isin(*planted) & (F.get("s", 0)["importance"] > 1 / len(X.RICH_FEATURES))).alias("planted_first"),
     )
 
 
@@ -665,13 +712,21 @@ def ml_bundle_roundtrip(spark, sf_dir):
 
 @query
 def triage_score(spark, sf_dir):
-    """Snippets of all diffs with the verdict whether the scored class or the marker makes them risky."""
+    """Snippets of all diffs with the verdict whether the scored class or the marker makes them risky.
+
+    The same snippets with planted lines must get higher scores on the whole.
+    """
     model, _, _ = _fit(spark, sf_dir, "gbt")
     snippets = D.parse_diffs(views.diffs(spark, sf_dir)).filter(has_suffix(F.col("filename")))
     triaged = L.triage(L.score_snippets(snippets, model))
+    planted = snippets.withColumn("content", views.planted(F.col("content"), F.lit(7)))
+    means = [L.score_snippets(df, model).agg(F.avg("score").alias("a")).scalar() for df in (snippets, planted)]
     marked = F.contains("content", F.lit(K.FORCE_RISK_MARKER))
     follows = F.col("risky") == (marked | (F.col("score") > 0.5)).cast("int")
-    return triaged.select("diff_id", "pos", "filename", F.col("score").between(0, 1).alias("score_is_share"), follows.alias("risky_follows"))
+    return triaged.select(
+        "diff_id", "pos", "filename", F.col("score").between(0, 1).alias("score_is_share"), follows.alias("risky_follows"),
+        (means[1] - means[0] > 0.3).alias("tells_planted"),
+    )
 
 
 # --- triage and review ----------------------------------------------------------------------------------------------

@@ -76,17 +76,16 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, source, path, before, after): documents 2k and 2k + 1 as two versions."""
+    """(k, source, path, before, after): documents 2k and 2k + 1 as two versions; a single one has an empty ``after``."""
     docs = snippets(spark, sf_dir).withColumn("k", _div("doc_id", 2))
     # two rows per group
     versions = docs.groupBy("k").agg(
         F.min_by("source", "doc_id").alias("source"),
         F.min_by("path", "doc_id").alias("path"),
         F.min_by("code", "doc_id").alias("before"),
-        F.max_by("code", "doc_id").alias("after"),
-        F.count("*").alias("n"),
+        F.when(F.count("*") == 1, "").otherwise(F.max_by("code", "doc_id")).alias("after"),
     )
-    return versions.filter("n = 2").drop("n")
+    return versions
 
 
 def _md5(column: Column) -> Column:
@@ -107,6 +106,20 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANTED = "\nif (item == null) { throw new Exception(item); }"
+
+
+def planted(text: Column, times: Column) -> Column:
+    """A text with lines at its end that a model can learn to tell."""
+    return F.concat(text, F.repeat(F.lit(PLANTED), times))
+
+
+def planted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change corpus with 5 to 9 planted lines more on the buggy side; ids are those of ``changes``."""
+    times = (5 + F.pmod(F.xxhash64("commit_hash"), F.lit(5))).cast("int")
+    return changes(spark, sf_dir).withColumn("buggy_change", planted(F.col("buggy_change"), times))
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per pair; the first has no parent, every tenth is a merge."""
     docs = table(spark, sf_dir, "documents")
@@ -274,6 +287,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, pos, vec): each embedding as eight vectors of eight values."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("embedding", p * 8 + 1, F.lit(8)))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(parts).alias("pos", "vec"))
+    """(vec_id, pos, vec): each embedding as vectors of eight values, the last one filled up with zeros."""
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), 7))
+    last = F.floor((F.size("embedding") + 7) / 8).cast("int") - 1
+    parts = F.transform(F.sequence(F.lit(0), last), lambda p: F.slice(filled, p * 8 + 1, F.lit(8)))
+    some = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0)
+    return some.select("vec_id", F.posexplode(parts).alias("pos", "vec"))

@@ -11,6 +11,7 @@ from patchlens.functions import constants as K
 from patchlens.operators.review import FINDINGS_DDL, map_severity
 
 ROWS_PER_FILE = 500_000
+EMBEDDING_BUCKETS = 256
 PROJECT_COPY = "project_name"
 # Quotes doubled, texts kept as they are: "" stays "" and blanks are not trimmed.
 DIFF_CSV_OPTIONS = {
@@ -153,11 +154,15 @@ def write_lint_reports(findings: DataFrame, path: str) -> None:
 def write_reports(reports: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
     """One folder per first digit of the id, sorted by id. Streams use the same layout.
 
-    A lookup opens one folder and, in parquet, the row groups that can hold the id.
+    A lookup opens one folder and, in parquet, the row groups that can hold the id: by their
+    range, and by a Bloom filter of their ids, which also turns most absent ids away.
     """
     keyed = reports.select(*schemas.REPORTS.names, F.substring("report_id", 1, 1).alias("id_prefix"))
     ordered = keyed.hint("rebalance", "id_prefix").sortWithinPartitions("id_prefix", "report_id")
-    ordered.write.mode(mode).partitionBy("id_prefix").format(format).save(path)
+    writer = ordered.write.mode(mode).partitionBy("id_prefix")
+    if format == "parquet":
+        writer = writer.option("parquet.bloom.filter.enabled#report_id", "true").option("parquet.bloom.filter.fpp#report_id", "0.01")
+    writer.format(format).save(path)
 
 
 def read_reports(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -166,6 +171,16 @@ def read_reports(spark: SparkSession, path: str, format: str = "parquet") -> Dat
     return spark.read.schema(schema).format(format).load(path)
 
 
+def write_embedding_table(new: DataFrame, table: str, buckets: int = EMBEDDING_BUCKETS) -> None:
+    """Adds (key, embedding) rows to a table of the catalog that is bucketed and sorted by key.
+
+    A join by key reads the table bucket by bucket and does not shuffle it. The number of
+    buckets is that of the first write; take it so that a bucket fits a task.
+    """
+    rows = new.select(*schemas.EMBEDDINGS.names).repartition(buckets, "key")  # one file a bucket
+    rows.write.mode("append").bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(table)
+
+
 def append_embeddings(new: DataFrame, path: str) -> None:
     """Adds (key, embedding) rows to the cache."""
     new.select(*schemas.EMBEDDINGS.names).write.mode("append").parquet(path)

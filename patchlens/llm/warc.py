@@ -125,13 +125,24 @@ class _Roller:
         self.sum.update(data)
         self.written += len(data)
 
+    def _stands(self) -> bool:
+        info = self.store.get_file_info(self.path)
+        if info.type == fs.FileType.NotFound or info.size != self.written:
+            return False
+        found = hashlib.sha256()
+        with self.store.open_input_stream(self.path, compression=None) as stream:
+            while data := stream.read(_READ):
+                found.update(data)
+        return found.digest() == self.sum.digest()
+
     def close(self) -> tuple:
         self.stream.close()
         self.stream = None
         temporary = f"{self.path}.{self.attempt}.tmp"
-        if self.store.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.store.delete_file(self.path)  # of an earlier attempt, with the same bytes
-        self.store.move(temporary, self.path)
+        if self._stands():  # from another attempt, whose manifest may count already
+            self.store.delete_file(temporary)
+        else:
+            self.store.move(temporary, self.path)
         self.number += 1
         return self.name, self.first, self.last, self.records, self.written, self.sum.hexdigest()
 
@@ -147,12 +158,13 @@ def write_archive(
 ) -> None:
     """Write ``records`` (of ``payloads``) as gzipped WARC files with a manifest; those in ``seen`` (of ``revisits``) as revisits.
 
-    Records are range-partitioned and sorted by page id, so every task writes a range of ids
-    and the same rows give the same bytes. The rows of ``seen`` travel along and sort before
+    Records are range-partitioned and sorted by page id, so every task writes a range of ids,
+    and the same rows in the same ranges give the same bytes. The rows of ``seen`` travel along and sort before
     the record they decide, which spares a join of the payloads. A file is closed at
     ``file_bytes`` compressed bytes and gets its name when it is whole. The manifest, committed
     by Spark when all tasks have ended, lists the files that count; readers go by it alone, so
-    files of lost tasks do no harm. ``folder`` is a URI of a store that all executors reach.
+    files of lost tasks do no harm. A file that stands with the bytes of this attempt is left
+    in place, so a repeated task never takes away what a manifest counts on. ``folder`` is a URI of a store that all executors reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):

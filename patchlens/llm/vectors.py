@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -22,7 +23,8 @@ LEADING = 16  # principal dimensions of the boxes
 GRID = 4  # principal dimensions of the grid order
 FAN = 8  # intervals under one of the next level
 SPAN = 32  # blocks that a task compares with its own
-MAX_WIDTH = 4096
+MAX_WIDTH = 4096  # components for which principal axes are computed; wider vectors keep their own axes
+BLOCK_CELLS = 1 << 22  # components of a block of wide vectors
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -100,10 +102,10 @@ def _gap(low_a, high_a, low_b, high_b) -> np.ndarray:
     return (between * between).sum(axis=-1)
 
 
-def grid_blocks(units: DataFrame, width: int, axes: np.ndarray, threshold: float, block: int) -> DataFrame:
+def grid_blocks(units: DataFrame, width: int, axes: np.ndarray | None, threshold: float, block: int) -> DataFrame:
     """(number, ids, sizes, data, low, high): the vectors in epsilon grid order, in numbered blocks.
 
-    Vectors are turned to the principal axes and sorted by their cells on the leading ones;
+    Vectors are turned to the principal ``axes``, if given, and sorted by their cells on the leading ones;
     ``low`` and ``high`` bound a block there. A range partition gives chunks of at most ``LEAF``
     vectors, and the chunks of the whole sequence are gathered to blocks of about ``block``.
     """
@@ -112,7 +114,8 @@ def grid_blocks(units: DataFrame, width: int, axes: np.ndarray, threshold: float
 
     def place(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x = _matrix(batch.column(2), width) @ axes
+            x = _matrix(batch.column(2), width)
+            x = x if axes is None else x @ axes
             cells = np.floor(x[:, : min(GRID, width)] / side).astype(np.int32)
             columns = [pa.array(cells[:, i]) if i < cells.shape[1] else pa.array(np.zeros(len(x), np.int32)) for i in range(GRID)]
             data = pa.array([row.tobytes() for row in x], pa.binary())
@@ -288,11 +291,21 @@ def linked_blocks(blocks: DataFrame, pairs: DataFrame, width: int, threshold: fl
     return sent.select("a", "b", "pair", "ids", "sizes", "data").mapInArrow(run, "vec_id long, links long, root long")
 
 
+def _linked(units: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
+    """What :func:`linked_blocks` gives for vectors of one size, as a written table."""
+    axes = principal_axes(units, width) if width <= MAX_WIDTH else None
+    block = max(16, min(block, BLOCK_CELLS // width))
+    blocks = materialize(grid_blocks(units, width, axes, threshold, block), "vector-blocks")
+    last = blocks.agg(F.max("number")).first()[0]
+    pairs = near_blocks(blocks.select("number", "low", "high"), last + 1, 2 - 2 * threshold + 1e-9)
+    return materialize(linked_blocks(blocks, pairs, width, threshold), "vector-links")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
 
     Vectors with a cosine of ``threshold`` or more, in double precision, are linked; vectors of
-    different sizes never are, nor those that are null, empty, zero or hold null or non-finite
+    different sizes never are (each size is joined by itself), nor those that are null, empty, zero or hold null or non-finite
     components. ``n_links`` counts the other vectors linked directly, ``component_id`` is the
     smallest id reachable, itself included, and ``kept`` tells whether that is the vector's own.
     Ids are expected to be unique: rows that repeat an id are vectors of their own when links
@@ -301,18 +314,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     units = materialize(unit_vectors(vectors, id_col, vector_col), "unit-vectors")
-    width = units.agg(F.max("size")).first()[0]
-    if width is None:
+    widths = [r["size"] for r in units.groupBy("size").count().filter("count > 1").orderBy("size").collect()]
+    parts = [_linked(units.filter(F.col("size") == w), w, threshold, block) for w in widths]
+    if not parts:
         links = every.limit(0).withColumn("links", F.lit(0).cast("long"))
         labels = every.limit(0).withColumn("root", F.col("vec_id"))
     else:
-        if width > MAX_WIDTH:
-            raise ValueError(f"vectors of {width} components; the axes are computed for {MAX_WIDTH} at most")
-        axes = principal_axes(units, width)
-        blocks = materialize(grid_blocks(units, width, axes, threshold, block), "vector-blocks")
-        last = blocks.agg(F.max("number")).first()[0]
-        pairs = near_blocks(blocks.select("number", "low", "high"), last + 1, 2 - 2 * threshold + 1e-9)
-        linked = materialize(linked_blocks(blocks, pairs, width, threshold), "vector-links")
+        linked = reduce(DataFrame.unionByName, parts)
         links = linked.groupBy("vec_id").agg(F.sum("links").alias("links"))
         edges = linked.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).filter("a != b").distinct()
         labels = connected_components(edges).withColumnRenamed("node", "vec_id")

@@ -169,7 +169,7 @@ def best_fit(
     max_docs: int = CONTEXT,
     max_attention: int = CONTEXT * CONTEXT,
     rule: str = "norm",
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
 ) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece; ``lengths`` come in the order in which they are placed.
 

@@ -771,3 +771,37 @@ def test_benchmark_in_several_passes(spark, sf_dir):
 
     one = found()
     assert any(r[1] for r in one.values()) and found(item_bytes=3000) == one
+
+
+def test_vectors_of_many_sizes_and_wide_ones(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=vectors.MAX_WIDTH + 5)
+    rows = [(1, wide.tolist()), (2, (wide + 0.01 * rng.normal(size=len(wide))).tolist()), (3, rng.normal(size=len(wide)).tolist())]
+    rows += [(10, [1.0, 0.0]), (11, [1.0, 0.01]), (12, [0.0, 1.0]), (20, [1.0, 0.0, 0.0]), (21, [1.0]), (30, [0.0, 0.0]), (31, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
+    alone = {i: (0, i, True) for i in (3, 12, 20, 21, 30, 31)}
+    assert found == alone | {1: (1, 1, True), 2: (1, 1, False), 10: (1, 10, True), 11: (1, 10, False)}
+
+
+def test_a_standing_file_of_the_same_bytes_is_left(tmp_path):
+    def write(attempt, records):
+        roller = warc._Roller(f"file://{tmp_path}", 0, attempt, 1 << 20, 6, warc.DATE)
+        for i in range(records):
+            list(roller.add(i, b"record %d" % i))
+        return roller.close()
+
+    first = write(1, 3)
+    path = tmp_path / first[0]
+    inode = path.stat().st_ino
+    assert write(2, 3) == first and path.stat().st_ino == inode
+    other = write(3, 4)
+    assert path.stat().st_size == other[4] and hashlib.sha256(path.read_bytes()).hexdigest() == other[5]
+    assert [p.name for p in tmp_path.iterdir()] == [first[0]]
+
+
+def test_every_capacity_takes_part_in_the_choice():
+    lengths = np.array([778, 700, 670, 521, 385, 78, 52])
+    scalar, whole = packing.best_fit(lengths, weights=(1, 0, 0))[0].tolist(), packing.best_fit(lengths)[0].tolist()
+    assert scalar == [0, 1, 2, 3, 3, 3, 0]
+    assert whole == [0, 1, 2, 3, 3, 0, 0]  # tokens alone would say 3, which has more attention left

@@ -4,11 +4,13 @@ Any order of the shingles gives the same pairs: two sets of similarity ``t`` or
 of the first ``size - ceil(t * size) + 1`` shingles of each. Shingles that are common in a sample
 of the texts come last, so that few texts meet under a shingle.
 
-Links are wanted that connect what similarity connects. In a first round each text under a
-shingle meets one pivot, the smallest text of about its size. That is linear, gathers close
-families of any size, and meets few different pairs, as most shingles of a family have the
-same pivot. In a second round all texts that stand under one shingle and are not yet
-connected meet, if their sizes and places allow the similarity, so that no connection is lost.
+Links are wanted that connect what similarity connects, in three rounds. In the first each
+text under a shingle meets one pivot, the smallest text of about its size: that is linear, and
+gathers close families of any size. Where texts under a shingle are not connected by then, they
+bring their whole sets, in the second round, to the few shingles under which most of them stand,
+and all of those that are still apart are compared there. In the third round those meet that
+are apart and had none of these shingles in common, under any shingle of their prefixes, if
+their sizes and places allow the similarity. So no connection is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ SIMILARITY = Fraction(4, 5)
 SEED = 42
 PART = 65_536  # shingles hashed at once
 TEXTS = 256  # whose shingles a task holds at once
-GROUP = 4096  # texts under a shingle that one task compares in the second round; more are dealt in parts
+GROUP = 4096  # texts under a shingle that one task pairs in the third round; more are dealt in parts
+CELLS = 1 << 22  # shingles of the sets that one task compares in the second round; more are dealt in parts
+MEETINGS = 3  # shingles to which a text brings its set
 SAMPLE, SHARE = 20_000, 16  # the order is counted on that many texts, or on one of SHARE if that is more
 COMMON = 200_000  # shingles that are put last
 
@@ -119,49 +123,100 @@ def _first_round(similarity: Fraction):
     return run
 
 
-def _across(similarity: Fraction, size, pos, mark, root) -> Iterator[pa.RecordBatch]:
+def apart_links(marks: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links between texts of different roots that connect all that are as similar; one for each root that they join."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    flag = np.zeros(len(tokens), bool)
+    label, ends = np.unique(roots, return_inverse=True)[1], []
+    for p in range(len(sets)):
+        if (label == label[0]).all():
+            break
+        own = ids[starts[p] : starts[p] + sizes[p]]
+        flag[own] = True
+        both = np.add.reduceat(flag[ids], starts, dtype=np.int64)
+        flag[own] = False
+        near = both * similarity.denominator >= (sizes + sizes[p] - both) * similarity.numerator
+        others = np.flatnonzero(near & (label != label[p]))
+        if len(others):
+            joined, first = np.unique(label[others], return_index=True)
+            ends += [(p, o) for o in others[first]]
+            label[np.isin(label, joined)] = label[p]
+    i, j = np.array(ends, np.int64).reshape(-1, 2).T
+    return marks[i], marks[j]
+
+
+def _second_round(similarity: Fraction):
+    """Rows (key, mark, root, own) sorted by key to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, held = None, []
+
+        def close():
+            rows = {mark: (root, own) for mark, root, own in held}
+            if len({root for root, _ in rows.values()}) > 1:
+                roots, sets = zip(*rows.values(), strict=True)
+                a, b = apart_links(np.array(list(rows), np.int64), np.array(roots, np.int64), list(sets), similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for i, (k, mark, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if k != key:
+                    yield from close()
+                    key, held = k, []
+                held.append((mark, root, batch.column(3)[i].values.to_numpy()))
+        yield from close()
+
+    return run
+
+
+def _across(similarity: Fraction, size, pos, mark, root, *met) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(mark), 256):
         rows = slice(at, at + 256)
         apart = (root[rows, None] != root[None, :]) & (np.arange(len(mark))[rows, None] < np.arange(len(mark))[None, :])
-        i, j = np.nonzero(apart & _may_be(similarity, size[rows, None], pos[rows, None], size[None, :], pos[None, :]))
+        apart &= _may_be(similarity, size[rows, None], pos[rows, None], size[None, :], pos[None, :])
+        for x in met:
+            for y in met:
+                apart &= (x[rows, None] != y[None, :]) | (x[rows, None] == 0)
+        i, j = np.nonzero(apart)
         if len(i):
-            ends = np.sort(np.stack((mark[i + at], mark[j])), axis=0)
-            yield _batch(None, None, None, *ends)
-
+            yield _pairs_batch(mark[i + at], mark[j])
 
-def _second_round(similarity: Fraction, limit: int | None):
-    """Rows (key, size, pos, mark, root) sorted by key: pairs of texts of one key with different roots.
 
-    The rows of a key with more than ``limit`` texts are returned as they are, ``b`` being the root.
-    """
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    a, b = np.sort(np.stack((a, b)), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        held = [np.empty(0, np.int64)] * 5
-        large = None  # the key that goes on
 
-        def close(rows):
-            key, size, pos, mark, root = rows
-            if len(key) > 1:
-                yield from _across(similarity, size, pos, mark, root)
+def _third_round(similarity: Fraction):
+    """Rows (key, size, pos, mark, root, shingles met in the second round) sorted by key to pairs (a, b) to check."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = None
         for batch in batches:
-            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
-            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])) if len(rows[0]) else np.empty(0, np.int64)
-            held = [np.empty(0, np.int64)] * 5
-            for n, (s, e) in enumerate(zip(starts, np.append(starts[1:], len(rows[0])), strict=True)):
-                part = [c[s:e] for c in rows]
-                if limit and (e - s > limit or large == part[0][0]):
-                    large = part[0][0]
-                    yield _batch(*part)
-                elif n + 1 == len(starts):
-                    held = part
-                else:
-                    yield from close(part)
-        yield from close(held)
+            rows = [c.to_numpy() for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
+            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])).tolist()
+            for s, e in zip(starts, starts[1:], strict=False):
+                yield from _across(similarity, *(c[s:e] for c in rows[1:]))
+            held = [c[starts[-1] :] for c in rows]
+        if held is not None:
+            yield from _across(similarity, *held[1:])
 
     return run
 
 
+def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` by (key, mark) with the keys of ``parts`` (key, parts) dealt so that each pair of parts has a key of its own."""
+    dealt = rows.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumn("key", F.when(F.col("parts") > 1, pair).otherwise(F.col("key"))).drop("parts", "own", "other")
+
+
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and ranks, the most frequent last, of at most ``COMMON`` shingles of a sample of (mark, data)."""
 
@@ -177,7 +232,9 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def similar_links(texts: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, group: int = GROUP) -> DataFrame:
+def similar_links(
+    texts: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, group: int = GROUP, cells: int = CELLS, meetings: int = MEETINGS
+) -> DataFrame:
     """Links (a, b) that connect all texts whose sets of ``width``-word runs have a Jaccard similarity of ``similarity`` or more.
 
     ``texts`` has the columns mark (a long that stands for the text) and data (the text's
@@ -203,40 +260,65 @@ def similar_links(texts: DataFrame, width: int = WIDTH, similarity: Fraction = S
     links = materialize(checked_pairs(tried, texts, width, similarity), "shingle-links")
 
     members = first.filter("key IS NOT NULL").select("key", "size", "pos", F.col("a").alias("mark")).distinct()
-    labels = connected_components(links).withColumnRenamed("node", "mark")
-    members = members.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    members = materialize(members.select("key", "size", "pos", "mark", "root"), "shingle-members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-    rest = members.join(mixed, "key").select("key", "size", "pos", "mark", "root")
-    ordered = rest.repartition("key").sortWithinPartitions("key")
-    found = materialize(ordered.mapInArrow(_second_round(similarity, group), _ROW_SCHEMA), "shingle-rest")
-
-    # A key with very many texts is dealt in parts, and every pair of parts goes to a task.
-    large = found.filter("key IS NOT NULL").withColumnsRenamed({"a": "mark", "b": "root"})
-    parts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / group).alias("parts"))
-    dealt = large.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(pair.alias("key"), "size", "pos", "mark", "root").repartition("key").sortWithinPartitions("key")
-    more = dealt.mapInArrow(_second_round(similarity, None), _ROW_SCHEMA)
-    untried = found.filter("key IS NULL").select("a", "b").unionByName(more.select("a", "b")).distinct()
+    members = _open_keys(members, connected_components(links), "shingle-members")
+    if members.isEmpty():
+        return links
+    # The shingles with the most texts first: texts of one family mostly agree on them.
+    counted = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key")))
+    chosen = counted.groupBy("mark", "root", "size").agg(F.slice(order["key"], 1, meetings).alias("met"))
+    chosen = materialize(chosen, "shingle-meetings")
+    meeting = chosen.select("mark", "root", "size", F.explode("met").alias("key"))
+    total = F.ceil(F.sum("size") * 2 / cells)
+    parts = meeting.groupBy("key").agg(total.alias("parts"), F.sum("size").alias("all")).filter(F.col("all") > cells).drop("all")
+    sets = whole_sets(chosen.select("mark"), texts, width)
+    sent = _dealt(meeting, parts).join(sets, "mark").select("key", "mark", "root", "own")
+    met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_second_round(similarity), "a long, b long")
+    links = materialize(links.unionByName(met).distinct(), "shingle-links")
+
+    members = _open_keys(members.drop("root"), connected_components(links), "shingle-members")
+    if members.isEmpty():
+        return links
+    known = [F.coalesce(F.get("met", i), F.lit(0).cast("long")).alias(f"met{i}") for i in range(meetings)]
+    rest = members.join(chosen.select("mark", *known), "mark").select("key", "size", "pos", "mark", "root", *[f"met{i}" for i in range(meetings)])
+    parts = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group)
+    parts = parts.select("key", F.ceil(F.col("n") * 2 / group).alias("parts"))
+    ordered = _dealt(rest, parts).select(*rest.columns).repartition("key").sortWithinPartitions("key")
+    untried = ordered.mapInArrow(_third_round(similarity), "a long, b long").distinct()
     untried = materialize(untried.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
     if untried.isEmpty():
         return links
     return links.unionByName(checked_pairs(untried, texts, width, similarity))
 
 
-def checked_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of marks whose whole sets are as similar."""
+def _open_keys(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``members`` with their roots, of the keys whose texts are not all connected, as a written table.
+
+    Two texts alone under a key have met there as pivot and text.
+    """
+    labels = labels.withColumnRenamed("node", "mark")
+    rooted = members.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    rooted = materialize(rooted.select("key", "size", "pos", "mark", "root"), name)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+    mixed = mixed.filter("least < most AND n > 2").select("key")
+    return materialize(rooted.join(mixed, "key").select(*rooted.columns), f"{name}-open")
+
+
+def whole_sets(marks: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(mark, own): the sorted distinct shingles of the texts in ``marks``, as a written table."""
 
     def whole(batches: Iterator[pa.RecordBatch]):
         for batch in _cut(batches):
             sets = pa.array([shingle_set(data, width) for data in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["mark", "own"])
 
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    sets = texts.join(marks, "mark", "left_semi").select("mark", "data").mapInArrow(whole, "mark long, own array<long>")
-    sets = materialize(sets.dropDuplicates(["mark"]), "shingle-sets")
+    sets = texts.join(marks, "mark", "left_semi").select("mark", "data").dropDuplicates(["mark"])
+    return materialize(sets.mapInArrow(whole, "mark long, own array<long>"), "shingle-sets")
+
+
+def checked_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of marks whose whole sets are as similar."""
+    sets = whole_sets(pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct(), texts, width)
     sides = pairs.join(sets.select(F.col("mark").alias("a"), F.col("own").alias("x")), "a")
     sides = sides.join(sets.select(F.col("mark").alias("b"), F.col("own").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))

@@ -723,9 +723,13 @@ def _classes(n, pairs):
 
 
 @pytest.mark.parametrize(
-    ("families", "group"), [([(300, 60, 1, 2)], 4096), ([(300, 200, 3, 6)], 64), ([(300, 200, 4, 5)], 4096), ([(1000, 200, 0, 4)], 128), ([(17, 60, 0, 3)] * 10, 8)]
+    ("families", "group", "cells", "meetings"),
+    [
+        ([(300, 60, 1, 2)], 4096, 1 << 22, 3), ([(300, 60, 1, 2)], 16, 1 << 12, 1), ([(300, 200, 3, 6)], 64, 1 << 14, 1),
+        ([(300, 200, 4, 5)], 4096, 1 << 22, 3), ([(1000, 200, 0, 4)], 128, 1 << 15, 2), ([(17, 60, 0, 3)] * 10, 8, 1 << 9, 3),
+    ],
 )
-def test_similar_links_lose_no_connection(spark, families, group):
+def test_similar_links_lose_no_connection(spark, families, group, cells, meetings):
     from patchlens.llm import shingles
 
     rng = random.Random(len(families))
@@ -734,7 +738,7 @@ def test_similar_links_lose_no_connection(spark, families, group):
     true = {(j, i) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     rows = [(i, None if t is None else t.encode(), "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows * 2, "mark long, data binary, key string")
-    found = {tuple(sorted(r)) for r in shingles.similar_links(df, group=group).collect()}
+    found = {tuple(sorted(r)) for r in shingles.similar_links(df, group=group, cells=cells, meetings=meetings).collect()}
     assert found <= true
     assert _classes(len(texts), found) == _classes(len(texts), true)
 

@@ -18,6 +18,15 @@ def content_key(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
+def uncached_keys(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """The distinct keys that the cache does not have.
+
+    A cache that is a bucketed table (``tables.write_embedding_table``) is read bucket by bucket and stays in
+    place; only the keys move.
+    """
+    return keys.select("key").join(cache.select("key"), "key", "left_anti").distinct()
+
+
 def missing_embeddings(df: DataFrame, text_col: str, cache: DataFrame) -> DataFrame:
     """Distinct texts (key, text) that have no cached embedding yet.
 
@@ -26,8 +35,7 @@ def missing_embeddings(df: DataFrame, text_col: str, cache: DataFrame) -> DataFr
     missing key are moved, and their copies collapse before that.
     """
     keyed = content_key(df, text_col).select("key", text_col)
-    wanted = keyed.select("key").distinct().join(cache.select("key"), "key", "left_anti")
-    missing = materialize(wanted, "missing-keys")
+    missing = materialize(uncached_keys(keyed, cache), "missing-keys")
     return sized_join(keyed, missing, ["key"], count_large=keyed.select("key")).dropDuplicates(["key"])
 
 

@@ -16,7 +16,6 @@ from patchlens.operators.review import (
     all_findings,
     normalized_severity,
     one_row_each,
-    run_analyzers,
 )
 from patchlens.session import materialize
 
@@ -106,15 +105,6 @@ def build_reports(flags: DataFrame, files: DataFrame, analyzers: Sequence[Analyz
     return with_issues(analyse_flagged(flags, files, analyzers, limit))
 
 
-def reports_from_code(coded: DataFrame, analyzers: Sequence[Analyzer]) -> DataFrame:
-    """Reports of rows that already hold ``report_id`` and ``code``."""
-    found = run_analyzers(coded.select(F.col("report_id").alias("file_id"), "code"), analyzers)
-    kept = found.filter(F.size("findings") > 0).select(
-        F.col("file_id").alias("report_id"), F.col("findings").alias("issues")
-    )
-    return coded.join(kept, "report_id").select("report_id", *FLAG_KEYS, "issues", "code")
-
-
 def lookup_report(reports: DataFrame, wanted: str) -> DataFrame:
     """The report with an id; no row means "not found".
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from patchlens.functions.constants import EXTENDED_KEYWORDS, KEYWORDS
+from patchlens.functions.constants import EXTENDED_KEYWORDS, KEYWORDS, LINT_PATTERNS, RISKY_TOKENS
 
 W = r"[\pL\pN_]"
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
@@ -43,7 +43,6 @@ RESERVED = quoted(
         "throws transient try void volatile while true false null"
     ).split()
 )
-LINT = (r"TODO", r"FIXME", r"null", r"==", r"System\.exit", r"print\([^\n]*\)")
 
 
 SECRET = b"test-secret".ljust(64, b"\0")
@@ -56,7 +55,7 @@ def hits(text: str, pattern: str) -> str:
 
 
 def lint(text: str) -> str:
-    return " + ".join(hits(text, p) for p in LINT)
+    return " + ".join(hits(text, p) for p in LINT_PATTERNS)
 
 
 def word_hits(lower_text: str, words) -> str:
@@ -303,7 +302,7 @@ VIEWS: dict[str, str] = {
     "lint_findings": "\n UNION ALL\n".join(
         f"SELECT doc_id, line::INTEGER AS line, {i} AS rule, 'warning' AS severity, 'matches {p}' AS message, "
         f"'Checkstyle' AS source FROM code_lines WHERE regexp_matches(text, '{p}')"
-        for i, p in enumerate(LINT)
+        for i, p in enumerate(LINT_PATTERNS)
     ),
     "all_findings": r"""
         SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY part, line, rule) - 1)::INTEGER AS ord,
@@ -559,7 +558,7 @@ QUERIES: dict[str, str] = {
         vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM snippets)) / (1 + count(*))) + 1 AS idf
                   FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 1000),
         w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
-        s AS (SELECT doc_id, coalesce(sum(w) FILTER (WHERE term IN ('null', 'catch', 'synchronized', 'thread', 'system.exit', 'exception')), 0)
+        s AS (SELECT doc_id, coalesce(sum(w) FILTER (WHERE term IN ({quoted(*RISKY_TOKENS)})), 0)
                      / sqrt(sum(w * w)) AS raw FROM w GROUP BY doc_id),
         a AS (SELECT doc_id, coalesce(raw, 0) / (SELECT max(raw) FROM s) AS score FROM snippets LEFT JOIN s USING (doc_id))
         SELECT doc_id, round(score, 6) AS score, (score > 0.5)::INTEGER AS label FROM a""",

@@ -99,3 +99,11 @@ def test_line_diff(spark):
         want.update({(key, "removed", l): n for l, n in (b - a).items()})
         want.update({(key, "added", l): n for l, n in (a - b).items()})
     assert got == want
+
+
+def test_line_diff_stays_in_its_row(spark):
+    rows = [(1, "a\nb\nb\n5:c\n", "b\na\nd\nd\n5:c"), (2, None, "x"), (3, "x\nx", ""), (4, "same\nlines", "lines\nsame"), (5, None, None)]
+    df = spark.createDataFrame(rows, "k long, before string, after string")
+    found = D.line_diff(df, ["k"], "before", "after")
+    assert sorted(map(tuple, found.collect())) == [(1, "b", "removed", 1), (1, "d", "added", 2), (2, "x", "added", 1), (3, "x", "removed", 2)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 
 from patchlens import schemas
 from patchlens.operators import prep as P
-from patchlens.operators.ranks import approximate_quantiles, exact_quantiles, running_totals
+from patchlens.operators.ranks import (
+    approximate_quantiles,
+    exact_quantiles,
+    merged_sketches,
+    quantile_sketches,
+    running_totals,
+    sketched_quantiles,
+)
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +184,21 @@ def test_stratified_split_with_too_many_classes(spark):
         P.stratified_folds(df, "sample_id", "label", 3, max_classes=10)
     empty = spark.createDataFrame([], "sample_id string, label double")
     assert P.stratified_split(empty, "sample_id").count() == 0
+
+
+def test_sketches_are_close_and_merge(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=60_000), rng.exponential(size=40_000) * 50])
+    df = spark.createDataFrame(pd.DataFrame({"day": np.arange(100_000) % 7, "x": values, "y": np.full(100_000, np.nan)}))
+    stored = quantile_sketches(df, ["x", "y"], ["day"])
+    assert stored.count() == 7  # the column without numbers has none
+    ordered = np.sort(values)
+    for sketches in (merged_sketches(stored), quantile_sketches(df, ["x", "y"])):
+        row = sketched_quantiles(sketches, (0.01, 0.25, 0.5, 0.75, 0.99)).first()
+        for i, p in enumerate((0.01, 0.25, 0.5, 0.75, 0.99)):
+            assert abs(np.searchsorted(ordered, row[f"q{i}"]) / len(ordered) - p) < 0.01
+    # a new day joins the stored sketches without the old rows
+    new = quantile_sketches(spark.createDataFrame(pd.DataFrame({"x": np.full(100_000, 1e6)})), ["x"])
+    bounds = P.sketched_iqr_bounds(stored.select("feature", "sketch").unionByName(new)).first()
+    assert bounds["q3"] == 1e6 and bounds["q1"] < 200
+    assert P.iqr_bounds(df, ["x"]).first()["feature"] == "x"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -131,3 +132,67 @@ def test_embedding_cache_grows(spark, tmp_path):
     for key in ("a", "b"):
         tables.append_embeddings(spark.createDataFrame([(key, [1.0])], schemas.EMBEDDINGS), path)
     assert tables.read_embeddings(spark, path).count() == 2
+
+
+def test_bucketed_cache_is_not_shuffled(spark):
+    from patchlens.operators import embeddings as E
+
+    table = "embedding_cache_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    texts = spark.createDataFrame([(f"text {i}",) for i in range(300)], "snippet string")
+    known = E.content_key(texts.limit(200), "snippet").select("key", F.array(F.lit(0.5).cast("float")).alias("embedding"))
+    try:
+        for part in known.randomSplit([1.0, 1.0], 1):
+            tables.write_embedding_table(part, table, buckets=8)
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            keyed = E.content_key(texts, "snippet").select("key")
+            joined = E.uncached_keys(keyed, spark.table(table))
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount: 8 out of 8" in plan
+            assert plan.count("Exchange") == 1  # of the wanted keys
+            assert joined.count() == 300 - spark.table(table).select("key").distinct().count()
+            missing = E.missing_embeddings(texts, "snippet", spark.table(table))
+            assert missing.count() == joined.count()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_absent_report_reads_no_rows(spark, tmp_path):
+    from patchlens.operators import reports as R
+
+    ids = F.sha2(F.col("id").cast("string"), 256)
+    one = spark.range(20_000).select(
+        ids.alias("report_id"), F.lit("o/r").alias("repo"), F.lit(1).cast("long").alias("pr"), F.lit("s").alias("head_sha"),
+        F.lit("a.java").alias("filename"), F.array().cast(schemas.REPORTS["issues"].dataType).alias("issues"), F.lit("code").alias("code"),
+    )
+    path = str(tmp_path / "reports")
+    tables.write_reports(one, path)
+    stored = tables.read_reports(spark, path)
+    known = stored.orderBy("report_id").first()["report_id"]
+
+    def rows_read(wanted):
+        found = R.lookup_report(stored, wanted)
+        count = len(found.collect())
+        plan, scans = found._jdf.queryExecution().executedPlan(), []
+
+        def visit(node):
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                node = node.executedPlan()
+            if "Scan" in node.nodeName():
+                scans.append(node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            for i in range(children.size()):
+                visit(children.apply(i))
+
+        visit(plan)
+        return count, sum(scans)
+
+    assert rows_read(known)[0] == 1 and rows_read(known)[1] >= 1
+    absent = [hashlib.sha256(f"absent {i}".encode()).hexdigest() for i in range(20)]
+    read = [rows_read(a) for a in absent]
+    assert all(count == 0 for count, _ in read)
+    assert sum(rows == 0 for _, rows in read) >= 18  # within the ids of their folder, but not in the filter

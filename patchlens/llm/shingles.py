@@ -5,8 +5,8 @@ of the first ``size - ceil(t * size) + 1`` shingles of each. Shingles that are c
 of the texts come last, so that few texts meet under a shingle.
 
 Links are wanted that connect what similarity connects, in three rounds. In the first each
-text under a shingle meets one pivot, the smallest text of about its size: that is linear, and
-gathers close families of any size. Where texts under a shingle are not connected by then, they
+text under a shingle meets one pivot, the smallest text of about its size, and is checked against
+the two that it meets most: that is linear, and gathers close families of any size. Where texts under a shingle are not connected by then, they
 bring their whole sets, in the second round, to the few shingles under which most of them stand,
 and all of those that are still apart are compared there. In the third round those meet that
 are apart and had none of these shingles in common, under any shingle of their prefixes, if
@@ -22,10 +22,11 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import SPACED, connected_components, word_lists
+from patchlens.operators.joins import sized_join
 from patchlens.session import materialize
 
 WIDTH = 5  # words of a shingle
@@ -35,7 +36,8 @@ PART = 65_536  # shingles hashed at once
 TEXTS = 256  # whose shingles a task holds at once
 GROUP = 4096  # texts under a shingle that one task pairs in the third round; more are dealt in parts
 CELLS = 1 << 22  # shingles of the sets that one task compares in the second round; more are dealt in parts
-MEETINGS = 3  # shingles to which a text brings its set
+PIVOTS = 2  # pivots that a text is checked against in the first round
+MEETINGS = 2  # shingles to which a text brings its set
 SAMPLE, SHARE = 20_000, 16  # the order is counted on that many texts, or on one of SHARE if that is more
 COMMON = 200_000  # shingles that are put last
 
@@ -72,6 +74,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches without the marks that the task has had before."""
+    seen: set[int] = set()
+    for batch in _cut(batches):
+        fresh = []
+        for i, mark in enumerate(batch.column(0).to_pylist()):
+            if mark not in seen:
+                seen.add(mark)
+                fresh.append(i)
+        if fresh:
+            yield batch.take(pa.array(fresh)) if len(fresh) < batch.num_rows else batch
+
+
 def _may_be(similarity: Fraction, size, pos, size_b, pos_b):
     """Whether sizes, and the places of a shared shingle, allow the similarity."""
     up, down = similarity.numerator, similarity.denominator
@@ -91,20 +106,22 @@ def _batch(key, size, pos, a, b) -> pa.RecordBatch:
 
 
 def _first_round(similarity: Fraction):
-    """Rows (key, size, pos, mark) sorted by key, size and mark: pairs (a, b) to check, and (key, size, pos, a) of keys with several texts."""
+    """Rows (key, place, mark) sorted by these: pairs (pivot a, text b), and (key, size, pos, a) of keys with several texts.
+
+    ``place`` holds the size of the set and the place of the key in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held = [np.empty(0, np.int64)] * 4  # the last text and its pivot
+        held = [np.empty(0, np.int64)] * 3  # the last text and its pivot
         for batch in batches:
             rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
-            again = (rows[0][1:] == rows[0][:-1]) & (rows[3][1:] == rows[3][:-1])  # equal texts
-            key, size, pos, mark = rows = [c[np.append(True, ~again)[: len(c)]] for c in rows]
+            again = (rows[0][1:] == rows[0][:-1]) & (rows[2][1:] == rows[2][:-1])  # equal texts
+            key, place, mark = rows = [c[np.append(True, ~again)[: len(c)]] for c in rows]
+            size, pos = place >> 32, place & 0xFFFFFFFF
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
             shared = np.append(False, same) | np.append(same, False)
-            if shared.any():
-                yield _batch(key[shared], size[shared], pos[shared], mark[shared], None)
             firsts = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(key)), 0))
             while True:  # a text too large for its pivot is the pivot of the following ones
                 far = size[firsts] * similarity.denominator < size * similarity.numerator
@@ -112,11 +129,15 @@ def _first_round(similarity: Fraction):
                     break
                 starts = far & np.append(True, ~(far[:-1] & (firsts[1:] == firsts[:-1])))
                 firsts = np.where(far, np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0)), firsts)
+            # two texts alone under a key that cannot be similar by it are of no further use
+            two = np.flatnonzero(same[1:-1] & ~same[:-2] & ~same[2:]) + 1
+            two = two[~_may_be(similarity, size[two], pos[two], size[two + 1], pos[two + 1])]
+            shared[two] = shared[two + 1] = False
+            if shared.any():
+                yield _batch(key[shared], size[shared], pos[shared], mark[shared], None)
             good = (np.arange(len(key)) != firsts) & _may_be(similarity, size, pos, size[firsts], pos[firsts])
             if good.any():
-                ends = np.sort(np.stack((mark[good], mark[firsts[good]])), axis=0)
-                a, b = np.unique(ends, axis=1)
-                yield _batch(None, None, None, a, b)
+                yield _batch(None, None, None, mark[firsts[good]], mark[good])
             kept = np.unique([firsts[-1], len(key) - 1])
             held = [c[kept] for c in rows]
 
@@ -211,10 +232,10 @@ def _third_round(similarity: Fraction):
 def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """``rows`` by (key, mark) with the keys of ``parts`` (key, parts) dealt so that each pair of parts has a key of its own."""
     dealt = rows.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.withColumn("key", F.when(F.col("parts") > 1, pair).otherwise(F.col("key"))).drop("parts", "own", "other")
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("mark"), F.col("parts")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return dealt.withColumn("key", F.when(F.col("parts") > 1, pair).otherwise(F.col("key"))).drop("parts", "_own", "_other")
 
 
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,22 +266,26 @@ def similar_links(
     common, rank = common_shingles(texts, width)
 
     def placed(batches: Iterator[pa.RecordBatch]):
-        for batch in _cut(batches):
+        for batch in _once(batches):
             sets = [shingle_set(data, width) for data in batch.column(1).to_pylist()]
             keys = [prefix(s, common, rank, similarity) for s in sets]
             n = [len(k) for k in keys]
-            mark, size = (np.repeat(c, n) for c in (batch.column(0).to_numpy(), np.array([len(s) for s in sets], np.int64)))
-            pos = np.concatenate([np.arange(k) for k in n])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys), size, pos, mark)], ["key", "size", "pos", "mark"])
+            place = np.repeat(np.array([len(s) for s in sets], np.int64) << 32, n) + np.concatenate([np.arange(k) for k in n])
+            columns = [np.concatenate(keys), place, np.repeat(batch.column(0).to_numpy(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "mark"])
 
-    rows = texts.select("mark", "data").mapInArrow(placed, "key long, size long, pos long, mark long")
-    ordered = rows.repartition("key").sortWithinPartitions("key", "size", "mark")
+    rows = texts.select("mark", "data").mapInArrow(placed, "key long, place long, mark long")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "place", "mark")
     first = materialize(ordered.mapInArrow(_first_round(similarity), _ROW_SCHEMA), "shingle-keys")
-    tried = materialize(first.filter("key IS NULL AND a != b").select("a", "b").distinct(), "shingle-pairs")
+    # A text is checked against the pivots that it has most shingles in common with.
+    pairs = first.filter("key IS NULL AND a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
+    tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
     links = materialize(checked_pairs(tried, texts, width, similarity), "shingle-links")
 
     members = first.filter("key IS NOT NULL").select("key", "size", "pos", F.col("a").alias("mark")).distinct()
-    members = _open_keys(members, connected_components(links), "shingle-members")
+    members = _open_keys(members, connected_components(links), tried, "shingle-members")
     if members.isEmpty():
         return links
     # The shingles with the most texts first: texts of one family mostly agree on them.
@@ -271,12 +296,13 @@ def similar_links(
     meeting = chosen.select("mark", "root", "size", F.explode("met").alias("key"))
     total = F.ceil(F.sum("size") * 2 / cells)
     parts = meeting.groupBy("key").agg(total.alias("parts"), F.sum("size").alias("all")).filter(F.col("all") > cells).drop("all")
-    sets = whole_sets(chosen.select("mark"), texts, width)
-    sent = _dealt(meeting, parts).join(sets, "mark").select("key", "mark", "root", "own")
-    met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_second_round(similarity), "a long, b long")
+    sets = _sets_of(texts, chosen.select("mark", "root", "met"), width, "root long, met array<long>")
+    sent = _dealt(sets.select(F.explode("met").alias("key"), "mark", "root", "own"), parts)
+    ordered = sent.select("key", "mark", "root", "own").repartition("key").sortWithinPartitions("key")
+    met = ordered.mapInArrow(_second_round(similarity), "a long, b long")
     links = materialize(links.unionByName(met).distinct(), "shingle-links")
 
-    members = _open_keys(members.drop("root"), connected_components(links), "shingle-members")
+    members = _open_keys(members.drop("root"), connected_components(links), tried, "shingle-members")
     if members.isEmpty():
         return links
     known = [F.coalesce(F.get("met", i), F.lit(0).cast("long")).alias(f"met{i}") for i in range(meetings)]
@@ -291,34 +317,44 @@ def similar_links(
     return links.unionByName(checked_pairs(untried, texts, width, similarity))
 
 
-def _open_keys(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+def _open_keys(members: DataFrame, labels: DataFrame, tried: DataFrame, name: str) -> DataFrame:
     """``members`` with their roots, of the keys whose texts are not all connected, as a written table.
 
-    Two texts alone under a key have met there as pivot and text.
+    Two texts alone under a key are left out if their pair was tried.
     """
     labels = labels.withColumnRenamed("node", "mark")
     rooted = members.join(labels, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     rooted = materialize(rooted.select("key", "size", "pos", "mark", "root"), name)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-    mixed = mixed.filter("least < most AND n > 2").select("key")
+    ends = [F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b")]
+    mixed = rooted.groupBy("key").agg(*ends).filter("least < most")
+    known = mixed.filter("n = 2").join(tried, ["a", "b"], "left_semi").select("key")
+    mixed = mixed.select("key").join(known, "key", "left_anti")
     return materialize(rooted.join(mixed, "key").select(*rooted.columns), f"{name}-open")
 
 
-def whole_sets(marks: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(mark, own): the sorted distinct shingles of the texts in ``marks``, as a written table."""
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, more: str = "") -> DataFrame:
+    """(mark, the further columns of ``wanted``, own): the sets of the texts in ``wanted``, a written table of distinct marks.
+
+    Texts do not move if ``wanted`` is small enough to be sent to them. Copies of a text in
+    other partitions give their set again.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]):
-        for batch in _cut(batches):
+        for batch in _once(batches):
             sets = pa.array([shingle_set(data, width) for data in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["mark", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], sets], names)
 
-    sets = texts.join(marks, "mark", "left_semi").select("mark", "data").dropDuplicates(["mark"])
-    return materialize(sets.mapInArrow(whole, "mark long, own array<long>"), "shingle-sets")
+    names = ["mark", *[c for c in wanted.columns if c != "mark"], "own"]
+    found = sized_join(texts.select("mark", "data"), wanted, ["mark"], count_large=texts.select("mark"))
+    schema = ", ".join(filter(None, ["mark long", more, "own array<long>"]))
+    return found.select("mark", "data", *names[1:-1]).mapInArrow(whole, schema)
 
 
 def checked_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) of marks whose whole sets are as similar."""
-    sets = whole_sets(pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct(), texts, width)
+    marks = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
+    sets = _sets_of(texts, materialize(marks, "shingle-marks"), width)
+    sets = materialize(sets.dropDuplicates(["mark"]), "shingle-sets")
     sides = pairs.join(sets.select(F.col("mark").alias("a"), F.col("own").alias("x")), "a")
     sides = sides.join(sets.select(F.col("mark").alias("b"), F.col("own").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))

@@ -13,17 +13,27 @@ from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from patchlens.functions import constants as K
 from patchlens.functions.text import basic_features, or_empty
-from patchlens.operators.features import BASIC_FEATURES, CODE_VECTOR_20, code_metrics, text_features
+from patchlens.functions.vectors import concat_vectors, l2_normalize
+from patchlens.operators.embeddings import content_key
+from patchlens.operators.features import (
+    BASIC_FEATURES,
+    CODE_VECTOR_20,
+    METADATA_FEATURES,
+    RICH_FEATURES,
+    code_metrics,
+    text_features,
+)
 from patchlens.operators.prep import (
     balanced_weights,
     drop_all_zero,
+    drop_missing,
     drop_outliers,
     hash_number,
     labelled_samples,
@@ -31,6 +41,7 @@ from patchlens.operators.prep import (
     stratified_folds,
     stratified_split,
 )
+from patchlens.operators.textstats import tfidf_risk
 from patchlens.session import materialize
 
 SEED = 42
@@ -49,6 +60,8 @@ DEFAULTS = {
 }
 # of the boosted member of the code ensemble
 CODE_GBT = {"subsamplingRate": 0.8, "minInstancesPerNode": 2}
+# of the model on vectors, text and metadata
+COMBINED_GBT = {"maxIter": 300, "stepSize": 0.05}
 # 108 settings of a search; trees of 31, 50 and 70 leaves are those of 5 to 7 levels
 SEARCH_SPACE = {
     "maxIter": (100, 200, 300, 500),
@@ -294,6 +307,51 @@ def train_risk_model(
     return model, tested.select("sample_id", "label", "score", "prediction")
 
 
+def train_combined_model(
+    changes: DataFrame,
+    caches: Sequence[DataFrame],
+    labels: str = "soft",
+    message_col: str | None = None,
+    train_share: float = 0.75,
+    seed: int = SEED,
+    kind: str = "gbt",
+    **params,
+) -> tuple[PipelineModel, list[str], DataFrame]:
+    """Change corpus and cached embeddings to one model on vectors, text and metadata features.
+
+    ``caches`` are tables (key, embedding) by content, one for each family; the vectors of all
+    families stand side by side, at unit length. Labels are the stored ones above a half ("soft")
+    or the TF-IDF risk of the snippets ("tfidf"). Samples that lack a vector in some cache
+    (see ``embeddings.missing_embeddings``) or a feature are left out. Texts are read for the
+    features and then left behind; only keys meet the caches. Returns the model, its
+    feature columns and the scored test split.
+    """
+    if labels not in ("soft", "tfidf"):
+        raise ValueError(f"unknown labels {labels!r}")
+    samples = labelled_samples(changes, soft=True)
+    named = samples.select("sample_id", "snippet", "file_path", "label_binary", *filter(None, [message_col]))
+    numbers = [*RICH_FEATURES, *METADATA_FEATURES]
+    featured = text_features(content_key(named, "snippet"), "snippet", ["rich", "metadata"], "file_path", message_col)
+    table = featured.select("sample_id", "key", F.col("label_binary").cast("double").alias("label"), *numbers)
+    if labels == "tfidf":
+        risk = tfidf_risk(samples, "sample_id", "snippet").select("sample_id", F.col("label").cast("double").alias("label"))
+        table = table.drop("label").join(risk, "sample_id")
+    table = materialize(drop_missing(table, numbers), "features")
+    vectors = table.select("sample_id", "key")
+    for i, cache in enumerate(caches):
+        vectors = vectors.join(cache.select("key", F.col("embedding").alias(f"_v{i}")), "key")
+    stacked = concat_vectors(*[F.col(f"_v{i}") for i in range(len(caches))])
+    vectors = vectors.select("sample_id", array_to_vector(l2_normalize(stacked).cast("array<double>")).alias("embedding"))
+    table = materialize(table.drop("key").join(vectors, "sample_id"), "combined")
+    split = materialize(stratified_split(table, "sample_id", "label", train_share, seed), "combined-split")
+    weighted = balanced_weights(split.filter(F.col("split") == "train"))
+    columns = ["embedding", *numbers]
+    settings = {**(COMBINED_GBT if kind == "gbt" else {}), **params}
+    model = train(weighted, columns, kind=kind, weight_col="weight", **settings)
+    tested = positive_probability(model.transform(split.filter(F.col("split") == "test")))
+    return model, columns, tested.select("sample_id", "label", "score", "prediction")
+
+
 def train_code_ensemble(
     pairs: DataFrame, k: int = 15, train_share: float = 0.8, seed: int = SEED, params: dict[str, dict] | None = None
 ) -> tuple[list[PipelineModel], list[str], DataFrame]:

@@ -650,6 +650,17 @@ def ml_code_ensemble(spark, sf_dir):
     return _verdicts(L.train_code_ensemble(pairs.withColumn("buggy_code", views.planted(F.col("buggy_code"), F.lit(8))))[2])
 
 
+@query
+def ml_train_combined(spark, sf_dir):
+    """A forest on vectors, text and metadata; every snippet has one of the given vectors in the cache."""
+    changes = views.planted_changes(spark, sf_dir)
+    keys = E.content_key(P.labelled_samples(changes), "snippet").select("key").distinct()
+    vectors = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    slot = F.pmod(F.xxhash64("key"), vectors.select(F.max("vec_id") + 1).scalar())
+    cache = materialize(keys.withColumn("vec_id", slot).join(vectors, "vec_id").select("key", "embedding"), "cache")
+    return _verdicts(L.train_combined_model(changes, [cache], kind="rf")[2])
+
+
 @query
 def ml_cv(spark, sf_dir):
     """All samples, each in its one fold, with an out-of-fold prediction of the vote."""

@@ -118,14 +118,17 @@ def test_first_rounds_are_a_shorter_fit(train, test):
 
 
 def test_boosting_stops_by_validation(train, test):
-    marked = L.with_validation(train, "sample_id", 0.3)
-    stopped = L.train(marked, COLS, validation_col="validation", maxIter=60).stages[-1]
-    full = L.train(marked.filter("NOT validation"), COLS, maxIter=60)
-    n = stopped.getNumTrees
-    assert 0 < n < 60
+    wrong = P.hash_number(F.col("sample_id"), 7) % 4 == 0  # labels that cannot be learned
+    noisy = train.withColumn("label", F.when(wrong, 1 - F.col("label")).otherwise(F.col("label")))
+    marked = L.with_validation(noisy, "sample_id", 0.3)
+    stopped = L.train(marked, COLS, validation_col="validation", maxIter=60)
+    full = L.train(marked.filter("NOT validation"), COLS, maxIter=20)
+    n = stopped.stages[-1].getNumTrees
+    assert 0 < n < 20
     scaled = L.PipelineModel(full.stages[:-1]).transform(test)
-    ours = L.first_rounds(full.stages[-1], n).transform(scaled).select("prediction").collect()
-    assert n and len(ours) == test.count()
+    ours = L.first_rounds(full.stages[-1], n).transform(scaled)
+    columns = ["sample_id", "prediction"]
+    assert sorted(ours.select(columns).collect()) == sorted(stopped.transform(test).select(columns).collect())
     with pytest.raises(ValueError):
         L.train(marked, COLS, kind="rf", validation_col="validation")
 
@@ -197,3 +200,28 @@ def test_rows_with_a_missing_value_are_scored(spark):
     assert featured.filter("sample_id = 'one line' AND line_stddev IS NULL").count() == 1
     model = L.train(featured, cols, kind="rf", numTrees=5, maxDepth=3)
     assert model.transform(featured).count() == 41
+
+
+def test_combined_model_on_cached_vectors(spark):
+    from patchlens.operators import embeddings as E
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(80):
+        risky = "if (x == null) { throw new Exception(); }\n" * rng.randint(4, 9)
+        rows.append(("p", f"c{i}", f"src/{i}.java", risky + str(i), f"calm value {i}\nmore", 1.0, 0.2))
+    names = "project string, commit_hash string, file_path string, buggy_change string, fixed_change string, buggy_label double, fixed_label double"
+    changes = spark.createDataFrame(rows, names)
+    keys = E.content_key(P.labelled_samples(changes), "snippet").select("key")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.xxhash64("key", i), F.lit(100)) / 100).cast("float"))
+    cache = keys.select("key", vector.alias("embedding")).cache()
+    some = cache.filter(F.pmod(F.xxhash64("key"), F.lit(10)) > 0)
+    model, columns, tested = L.train_combined_model(changes, [cache, some], maxIter=5)
+    assert V.accuracy(tested).first()[0] > 0.9 and tested.columns == ["sample_id", "label", "score", "prediction"]
+    assert model.stages[-1].numFeatures == 8 + len(columns) - 1 and columns[0] == "embedding"
+    n = some.select("key").distinct().count()
+    assert 0 < tested.count() <= n // 4 + 2
+    _, _, by_risk = L.train_combined_model(changes, [cache], labels="tfidf", kind="rf", numTrees=5)
+    assert by_risk.filter("label = 1").count() > 0
+    with pytest.raises(ValueError):
+        L.train_combined_model(changes, [cache], labels="hard")

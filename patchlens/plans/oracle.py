@@ -612,7 +612,8 @@ QUERIES: dict[str, str] = {
         WHERE r >= floor(n * 0.8 + 0.5) AND (side = 'buggy' OR lines_of_code > 0)""",
     "ml_train_combined": f"""
         SELECT sample_id, label, TRUE AS score_is_share, TRUE AS prediction_follows, TRUE AS learned
-        FROM {ranked('(SELECT sample_id, (soft_label > 0.5)::DOUBLE AS label FROM samples)')} WHERE r >= floor(n * 0.75 + 0.5)""",
+        FROM {ranked('''(SELECT s.sample_id, (s.soft_label > 0.5)::DOUBLE AS label FROM samples s JOIN rich_samples r USING (sample_id)
+            WHERE s.side = 'buggy' OR r.line_stddev IS NOT NULL)''')} WHERE r >= floor(n * 0.75 + 0.5)""",
     "ml_cv": f"""
         WITH sized AS (SELECT *, greatest(2, least(5, count(*) OVER () // 10)) AS k FROM {ranked('samples')})
         SELECT sample_id, list_sum([CASE WHEN i < k AND r >= floor(n * i / k + 0.5) THEN 1 ELSE 0 END for i in [1, 2, 3, 4]])::INTEGER AS fold,

@@ -234,7 +234,7 @@ _TOPK_SQL = f"""
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
     FROM s QUALIFY rank <= {topk.K}"""
 
-# Fingerprints, tokens, drawn keys, rank-order distances and patience diff have no SQL form;
+# Fingerprints, tokens, drawn keys, rank-order distances, patience diff and checksums have no SQL form;
 # tests hold those queries against plain versions.
 ORACLE: dict[str, str] = {
     "op3_chat": _chat_sql(),

@@ -296,9 +296,11 @@ def similar_links(
     meeting = chosen.select("mark", "root", "size", F.explode("met").alias("key"))
     total = F.ceil(F.sum("size") * 2 / cells)
     parts = meeting.groupBy("key").agg(total.alias("parts"), F.sum("size").alias("all")).filter(F.col("all") > cells).drop("all")
-    sets = _sets_of(texts, chosen.select("mark", "root", "met"), width, "root long, met array<long>")
-    sent = _dealt(sets.select(F.explode("met").alias("key"), "mark", "root", "own"), parts)
-    ordered = sent.select("key", "mark", "root", "own").repartition("key").sortWithinPartitions("key")
+    # Keys are dealt before the sets are there, so that sets are shuffled once.
+    going = _dealt(meeting, parts).groupBy("mark", "root").agg(F.collect_set("key").alias("met"))
+    sets = _sets_of(texts, materialize(going, "shingle-sent"), width, "root long, met array<long>")
+    sent = sets.select(F.explode("met").alias("key"), "mark", "root", "own")
+    ordered = sent.repartition("key").sortWithinPartitions("key")
     met = ordered.mapInArrow(_second_round(similarity), "a long, b long")
     links = materialize(links.unionByName(met).distinct(), "shingle-links")
 

@@ -62,15 +62,15 @@ def code_metrics(df: DataFrame, code_col: str = "code") -> DataFrame:
     The text is tokenised once per row. Blank and NULL code gives zeros.
     """
     tokenised = df.withColumn("_tok", C.tokens(F.col(code_col))).withColumns(
-        {**C.size_counts(F.col(code_col)), "_text": C.token_text(F.col("_tok"))}
+        {**C.size_counts(F.col(code_col)), "_shape": C.shape(F.col("_tok")), "_distinct": F.array_distinct("_tok")}
     )
-    toks, text, marked = F.col("_tok"), F.col("_text"), F.col("_marked")
-    counted = tokenised.withColumn("_marked", C.marked_tokens(text)).withColumns(
+    shape = F.col("_shape")
+    counted = tokenised.withColumns(
         {
-            **C.construct_counts(text, marked),
-            **C.cyclomatic(text, marked),
-            "nesting_depth": C.nesting_depth(toks),
-            **C.halstead(toks),
+            **C.construct_counts(shape),
+            **C.cyclomatic(shape),
+            "nesting_depth": C.nesting_depth(shape),
+            **C.halstead(F.col("_distinct")),
         }
     )
 
@@ -101,7 +101,7 @@ def code_metrics(df: DataFrame, code_col: str = "code") -> DataFrame:
             "halstead_volume": C.volume(vocabulary),
         }
     )
-    metrics = [m for m in measured.columns if m not in {*df.columns, "_tok", "_text", "_marked", "is_blank"}]
+    metrics = [m for m in measured.columns if m not in {*df.columns, "_tok", "_shape", "_distinct", "is_blank"}]
     zeroed = [F.when(c("is_blank"), F.lit(0)).otherwise(c(m)).alias(m) for m in metrics]
     return measured.select(*df.columns, *zeroed)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from patchlens.functions import code as C
 from patchlens.operators import features as X
 
 JAVA = '''package a.b;
@@ -79,3 +83,27 @@ def test_halstead(spark):
     m = metrics(spark, "a = b + c * b; foo(a);")[0]
     assert (m["unique_operators"], m["unique_names"], m["vocabulary_size"]) == (2, 4, 6)
     assert m["halstead_volume"] == pytest.approx(6 * 2.584962500721156)
+
+
+def test_one_character_a_token(spark):
+    code = 'if (a != null) { B.c(9x, _d, é, ²); } ++e >>= $ "x" // f'
+    df = spark.createDataFrame([(code,)], "code string")
+    shape = C.shape(C.tokens(F.col("code")))
+    assert df.select(shape).first()[0] == "a(xEp){x.x(0,x,x,0);}OxSz"
+
+
+def test_metrics_of_random_tokens(spark):
+    """Counts over the tokens themselves."""
+    rng = random.Random(3)
+    some = [*C.SINGLE, *[item for items in C.KINDS.values() for item in items], "x", "_y", "9z", "é", "²", "@", "new", "class", ".", "null", "=="]
+    texts = [[rng.choice(some) for _ in range(rng.choice((1, 5, 60)))] for _ in range(300)]
+    texts = [[t for t in text if t != "/"] for text in texts]  # two of them are a comment
+    for text, m in zip(texts, metrics(spark, *(" ".join(t) for t in texts)), strict=True):
+        near = list(zip(["", *text], text, [*text[1:], ""], strict=False))
+        assert m["null_checks"] == sum(t in ("==", "!=") and "null" in (a, b) for a, t, b in near)
+        assert m["classes"] == sum(t == "class" and a != "." for a, t, _ in near)
+        assert m["ternary_expressions"] == sum(t == "?" and a not in ("<", ",") for a, t, _ in near)
+        assert m["binary_operations"] == sum(t in C.BINARY_OPERATORS for t in text)
+        assert m["complexity"] - m["ternary_expressions"] == 1 + sum(t in ("if", "for", "while", "case", "catch", "&&", "||") for t in text)
+        assert m["unique_operators"] == len({t for t in text if t in C.BINARY_OPERATORS})
+        assert m["unique_names"] == len({t for t in text if (t[0].isalpha() or t[0] == "_") and t not in C.RESERVED})

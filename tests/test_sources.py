@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from patchlens import schemas
+from patchlens.plans import views
 from patchlens.sources import tables
 
 CHANGES = [
@@ -196,3 +197,18 @@ def test_absent_report_reads_no_rows(spark, tmp_path):
     read = [rows_read(a) for a in absent]
     assert all(count == 0 for count, _ in read)
     assert sum(rows == 0 for _, rows in read) >= 18  # within the ids of their folder, but not in the filter
+
+
+def test_export_names_the_project_of_each_change(spark, tmp_path):
+    """The named file changes are those joined with their commits, and an export is compressed."""
+    rows = [(i, f"a {i}\nb\nc", "en", f"s{i % 3}") for i in range(9)] + [(None, "x", "en", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = views.file_changes(spark, str(tmp_path), named=True).filter("commit_hash IS NOT NULL")
+    commits = views.commits(spark, str(tmp_path))
+    joined = commits.select("commit_hash", "project_url").join(views.file_changes(spark, str(tmp_path)), "commit_hash")
+    assert sorted(named.collect()) == sorted(joined.collect()) and named.count() == 5
+    tables.write_export(named, f"{tmp_path}/files")
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "files").glob("part-*"))
+    back = tables.read_file_changes(spark, f"{tmp_path}/files").select(*named.columns)
+    key = lambda r: r["commit_hash"]
+    assert sorted(back.collect(), key=key) == sorted(named.collect(), key=key)

@@ -71,6 +71,7 @@ SEARCH_SPACE = {
 }
 # --- end of fixed values ---
 ROWS_PER_TASK = 50_000  # of a training table
+FOREST_ROWS = 5_000  # of a training table that are worth a task of their own, as every tree passes over them
 LEVEL_MEMORY = 512  # MB of node statistics, so that a tree level is one pass
 CLASSIFIERS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression}
 
@@ -124,18 +125,24 @@ def train(
     """Fits on ``df``, which should be the training split only.
 
     A fit passes over the rows for every level of every tree, so what it needs is dealt
-    anew into as many parts as its measured rows ask for. With ``validation_col``, a
-    boolean, boosting fits the other rows and ends when the error of those no longer falls.
+    anew into as many parts as its measured rows ask for. A forest, in which a row goes through
+    every tree, uses all cores, and keeps the node where a row stands in each tree, so that no
+    level walks the trees from their roots. With ``validation_col``, a boolean, boosting fits
+    the other rows and ends when the error of those no longer falls.
     """
     if validation_col and kind != "gbt":
         raise ValueError("only boosting can stop by validation")
     numbers, rows = _measured(df, feature_cols)
     if kind == "gbt":
         params = {"maxMemoryInMB": LEVEL_MEMORY, **params}
+    parts = ceil(rows / ROWS_PER_TASK)
+    if kind == "rf":
+        params = {"cacheNodeIds": True, **params}
+        parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / FOREST_ROWS)))
     if validation_col:
         params["validationIndicatorCol"] = validation_col
     used = dict.fromkeys([*feature_cols, label_col, *filter(None, (weight_col, validation_col))])
-    table = df.select(*used).repartition(max(1, ceil(rows / ROWS_PER_TASK)))
+    table = df.select(*used).repartition(max(1, parts))
     return pipeline(feature_cols, kind, label_col, weight_col, numbers=numbers, **params).fit(table)
 
 

@@ -12,6 +12,7 @@ from patchlens.operators import evaluation as V
 from patchlens.operators import features as X
 from patchlens.operators import models as L
 from patchlens.operators import prep as P
+from patchlens.plans import queries
 from patchlens.sources import bundles
 
 COLS = list(X.BASIC_FEATURES)
@@ -225,3 +226,30 @@ def test_combined_model_on_cached_vectors(spark):
     assert by_risk.filter("label = 1").count() > 0
     with pytest.raises(ValueError):
         L.train_combined_model(changes, [cache], labels="hard")
+
+
+def test_forest_keeps_the_nodes_of_rows(spark):
+    """A forest is dealt over all cores, does not walk its trees for every level, and is the same forest."""
+    rows = [(float(i % 97), float(i * 7 % 101), float(i % 97 > 40)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    kept, walked = (L.train(df, ("a", "b"), kind="rf", numTrees=4, maxDepth=6, **p).stages[-1] for p in ({}, {"cacheNodeIds": False}))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in walked.trees]
+
+
+def test_vote_computes_its_features_once(spark, monkeypatch):
+    given = []
+
+    def fit(spark, sf_dir, kind, table=None):
+        given.append((kind, table))
+        return None, None, None
+
+    def stop(models, df):
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "_training_table", lambda spark, sf_dir: "table")
+    monkeypatch.setattr(queries, "_fit", fit)
+    monkeypatch.setattr(L, "soft_vote", stop)
+    with pytest.raises(InterruptedError):
+        queries.ml_soft_vote(spark, "none")
+    assert given == [(kind, "table") for kind in ("rf", "gbt", "lr")]

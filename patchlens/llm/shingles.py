@@ -11,6 +11,11 @@ bring their whole sets, in the second round, to the few shingles under which mos
 and all of those that are still apart are compared there. In the third round those meet that
 are apart and had none of these shingles in common, under any shingle of their prefixes, if
 their sizes and places allow the similarity. So no connection is lost.
+
+Many texts have a shingle in common by chance, the more the more texts there are. A signature,
+the parities of a set's shingles in ``SIGNATURE`` buckets, travels with each text: two signatures
+differ in no more bits than the sets differ in shingles. Pairs that are too far apart by that are
+settled without their sets, and a text leaves each shingle under which all others are.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ WIDTH = 5  # words of a shingle
 SIMILARITY = Fraction(4, 5)
 SEED = 42
 PART = 65_536  # shingles hashed at once
+SIGNATURE = 512  # bits
 TEXTS = 256  # whose shingles a task holds at once
-GROUP = 4096  # texts under a shingle that one task pairs in the third round; more are dealt in parts
+GROUP = 4096  # texts under a shingle that one task pairs by signature, or in the third round; there, more are dealt in parts
 CELLS = 1 << 22  # shingles of the sets that one task compares in the second round; more are dealt in parts
 PIVOTS = 2  # pivots that a text is checked against in the first round
 MEETINGS = 2  # shingles to which a text brings its set
@@ -68,6 +74,18 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarit
     return shingles[np.lexsort((shingles, late))][: size - ceil(similarity * size) + 1] if size else shingles
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each bucket, 64 buckets a long."""
+    odd = np.bincount(shingles & (SIGNATURE - 1), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _signed(similarity: Fraction, size, size_b, bits):
+    """Whether sizes, and the number of bits in which signatures differ, allow the similarity."""
+    up, down = similarity.numerator, similarity.denominator
+    return (size + size_b - bits) * (up + down) >= (size + size_b) * (2 * up)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
@@ -96,25 +114,30 @@ def _may_be(similarity: Fraction, size, pos, size_b, pos_b):
 
 
 _ROW = ["key", "size", "pos", "a", "b"]
-_ROW_SCHEMA = ", ".join(f"{c} long" for c in _ROW)
+_MEMBER = ["key", "size", "pos", "mark", "root"]
+_ROW_SCHEMA = ", ".join(f"{c} long" for c in _ROW) + ", bits array<long>"
 
 
-def _batch(key, size, pos, a, b) -> pa.RecordBatch:
+def _batch(key, size, pos, a, b, bits=None) -> pa.RecordBatch:
     n = len(a)
     columns = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (key, size, pos, a, b)]
-    return pa.RecordBatch.from_arrays(columns, _ROW)
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.list_(pa.int64())) if bits is None else bits], [*_ROW, "bits"])
 
 
 def _first_round(similarity: Fraction):
-    """Rows (key, place, mark) sorted by these: pairs (pivot a, text b), and (key, size, pos, a) of keys with several texts.
+    """Rows (key, place, mark, bits) sorted by the first three: pairs (pivot a, text b), and (key, size, pos, a) of keys with several texts.
 
-    ``place`` holds the size of the set and the place of the key in it.
+    ``place`` holds the size of the set and the place of the key in it. One row of a text has
+    its signature as ``bits``, which comes out as (size, a, bits).
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         held = [np.empty(0, np.int64)] * 3  # the last text and its pivot
         for batch in batches:
-            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+            signs = batch.filter(batch.column(3).is_valid())
+            if signs.num_rows:
+                yield _batch(None, signs.column(1).to_numpy() >> 32, None, signs.column(2).to_numpy(), None, signs.column(3))
+            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns[:3], strict=True)]
             again = (rows[0][1:] == rows[0][:-1]) & (rows[2][1:] == rows[2][:-1])  # equal texts
             key, place, mark = rows = [c[np.append(True, ~again)[: len(c)]] for c in rows]
             size, pos = place >> 32, place & 0xFFFFFFFF
@@ -144,6 +167,55 @@ def _first_round(similarity: Fraction):
     return run
 
 
+def _with_partner(similarity: Fraction, group: int):
+    """Rows (key, size, pos, mark, root, bits) sorted by key to those that may be similar to one of another root under their key.
+
+    Of a key with more than ``group`` rows all stay.
+    """
+
+    def partners(size, pos, root, bits) -> np.ndarray:
+        found = np.zeros(len(size), bool)
+        for at in range(0, len(size), 256):
+            rows = slice(at, at + 256)
+            near = (root[rows, None] != root[None, :]) & _may_be(similarity, size[rows, None], pos[rows, None], size[None, :], pos[None, :])
+            i, j = np.nonzero(near)
+            for s in range(0, len(i), PART):
+                x, y = i[s : s + PART] + at, j[s : s + PART]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                found[x[_signed(similarity, size[x], size[y], apart)]] = True
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, passed = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = batch.column(5).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            rows = [*(c.to_numpy() for c in batch.columns[:5]), bits]
+            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
+            key = rows[0]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            last = int(starts[-1])
+            kept = np.zeros(len(key), bool)
+            for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                if key[s] == passed or e - s > group:
+                    kept[s:e] = True
+                elif e - s > 1:
+                    kept[s:e] = partners(rows[1][s:e], rows[2][s:e], rows[4][s:e], rows[5][s:e])
+            if key[last] == passed or len(key) - last > group:
+                kept[last:], passed, held = True, key[last], None
+            else:
+                held = [c[last:] for c in rows]
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in rows[:5]], _MEMBER)
+        if held is not None and len(held[0]) > 1:
+            kept = partners(held[1], held[2], held[4], held[5])
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in held[:5]], _MEMBER)
+
+    return run
+
+
 def apart_links(marks: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links between texts of different roots that connect all that are as similar; one for each root that they join."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -272,9 +344,15 @@ def similar_links(
             n = [len(k) for k in keys]
             place = np.repeat(np.array([len(s) for s in sets], np.int64) << 32, n) + np.concatenate([np.arange(k) for k in n])
             columns = [np.concatenate(keys), place, np.repeat(batch.column(0).to_numpy(), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "mark"])
-
-    rows = texts.select("mark", "data").mapInArrow(placed, "key long, place long, mark long")
+            if len(place):
+                first = np.zeros(len(place), bool)  # row of a text, which has its signature
+                first[(np.cumsum(n) - n)[np.array(n) > 0]] = True
+                values = np.concatenate([signature(s) for s in sets if len(s)])
+                offsets = np.append(0, np.cumsum(first) * (SIGNATURE // 64)).astype(np.int32)
+                bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~first))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), bits], ["key", "place", "mark", "bits"])
+
+    rows = texts.select("mark", "data").mapInArrow(placed, "key long, place long, mark long, bits array<long>")
     ordered = rows.repartition("key").sortWithinPartitions("key", "place", "mark")
     first = materialize(ordered.mapInArrow(_first_round(similarity), _ROW_SCHEMA), "shingle-keys")
     # A text is checked against the pivots that it has most shingles in common with.
@@ -282,10 +360,16 @@ def similar_links(
     best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
     tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
-    links = materialize(checked_pairs(tried, texts, width, similarity), "shingle-links")
+    signs = first.filter("bits IS NOT NULL").select(F.col("a").alias("mark"), "size", "bits").dropDuplicates(["mark"])
+    signs = materialize(signs, "shingle-signatures")
+    near = materialize(_near_pairs(tried, signs, similarity), "shingle-near")
+    links = materialize(checked_pairs(near, texts, width, similarity), "shingle-links")
 
     members = first.filter("key IS NOT NULL").select("key", "size", "pos", F.col("a").alias("mark")).distinct()
     members = _open_keys(members, connected_components(links), tried, "shingle-members")
+    signed = members.join(signs.select("mark", "bits"), "mark").select(*_MEMBER, "bits").repartition("key").sortWithinPartitions("key")
+    possible = signed.mapInArrow(_with_partner(similarity, group), ", ".join(f"{c} long" for c in _MEMBER))
+    members = materialize(possible, "shingle-possible")
     if members.isEmpty():
         return links
     # The shingles with the most texts first: texts of one family mostly agree on them.
@@ -314,11 +398,20 @@ def similar_links(
     ordered = _dealt(rest, parts).select(*rest.columns).repartition("key").sortWithinPartitions("key")
     untried = ordered.mapInArrow(_third_round(similarity), "a long, b long").distinct()
     untried = materialize(untried.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+    untried = materialize(_near_pairs(untried, signs, similarity), "shingle-near")
     if untried.isEmpty():
         return links
     return links.unionByName(checked_pairs(untried, texts, width, similarity))
 
 
+def _near_pairs(pairs: DataFrame, signs: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) that the signatures (mark, size, bits) allow."""
+    for end in ("a", "b"):
+        pairs = pairs.join(signs.select(F.col("mark").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    apart = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(SIGNATURE // 64)), F.lit(0).cast("long"))
+    return pairs.filter(_signed(similarity, F.col("size_a"), F.col("size_b"), apart)).select("a", "b")
+
+
 def _open_keys(members: DataFrame, labels: DataFrame, tried: DataFrame, name: str) -> DataFrame:
     """``members`` with their roots, of the keys whose texts are not all connected, as a written table.
 

@@ -743,6 +743,39 @@ def test_similar_links_lose_no_connection(spark, families, group, cells, meeting
     assert _classes(len(texts), found) == _classes(len(texts), true)
 
 
+@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40))
+def test_signatures_differ_no_more_than_sets(own, other):
+    from patchlens.llm import shingles
+
+    x, y = (shingles.signature(np.array(sorted(s), np.int64)) for s in (own, other))
+    bits = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+    assert bits <= len(own ^ other)
+    if own and other and 5 * len(own & other) >= 4 * len(own | other):
+        assert shingles._signed(Fraction(4, 5), len(own), len(other), bits)
+
+
+def test_chance_meetings_move_no_sets(spark, monkeypatch):
+    """Texts that have only one phrase in common are settled by their signatures; similar ones are still linked."""
+    from patchlens.llm import shingles
+
+    written = {}
+
+    def counted(df, name):
+        found = materialize(df, name)
+        written[name] = written.get(name, 0) + found.count()
+        return found
+
+    materialize = shingles.materialize
+    monkeypatch.setattr(shingles, "materialize", counted)
+    rng = random.Random(8)
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(8)] + [f"p{k}q{j}" for k in (i % 7, 7 + i % 11) for j in range(7)]) for i in range(77)]
+    texts += [f"{t} more" for t in texts[:3]]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "mark long, data binary").repartition(3)
+    found = {tuple(sorted(r)) for r in shingles.similar_links(df).collect()}
+    assert found == {(i, 77 + i) for i in range(3)}
+    assert written["shingle-sets"] <= 12 and written.get("shingle-sent", 0) == 0
+
+
 CLASHING = ["_rep_lines", "_rep_changed", "_repeated_id", "_repeated_lines", "_repeated_changed", "_near_id", "_near_mark", "_near_stays", "_NEAR_ID", "_hits", "n", "stays", "mark", "first", "root"]
 
 

@@ -32,6 +32,7 @@ SPANS = 32  # parts among which the blocks are dealt for a chunk of queries
 SPAN_BLOCKS = 64  # blocks of a part at most; then there are more parts
 LEVELS = 16  # impact levels of a posting list
 ROUND = 1 << 15  # postings read between two looks at the bounds
+SHORT = 32  # postings of a segment, on average, from which segments are copied one by one
 
 _NAMES = ["size", "number", "ids", "rows", "kind", "code", "postings", "segments"]
 _TYPES = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary(), pa.binary(), pa.binary()]
@@ -100,8 +101,10 @@ class _Held:
         self.rows = np.array(row["rows"], np.int64)
         self.x = np.frombuffer(row["code"], row["kind"]).reshape(len(self.rows), row["size"]).astype(np.int64)
         self.most = int(np.abs(self.x.astype(float)).max())
+        # products and their sums of small components are exact in floats of half the size
+        self.real = self.x.astype(np.float32 if self.most**2 * row["size"] < 2**24 else float)
         if row["segments"]:
-            self.postings = np.frombuffer(row["postings"], np.uint16)
+            self.postings = np.frombuffer(row["postings"], np.uint16).astype(np.intp)  # as bincount takes them
             dim, sign, self.impact, start, length = np.frombuffer(row["segments"]).reshape(5, -1)
             self.dim, self.sign = dim.astype(np.int64), sign
             self.start, self.length = start.astype(np.int64), length.astype(np.int64)
@@ -111,7 +114,10 @@ class _Held:
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Exact inner products; beyond the range of a long they take its end."""
-        if self.most * float(np.abs(q.astype(float)).sum()) < 2**62:
+        most = self.most * float(np.abs(q.astype(float)).sum())
+        if most < (2**24 if self.real.dtype == np.float32 else 2**53):  # every sum is exact
+            return (self.real[at] @ q.astype(self.real.dtype)).astype(np.int64)
+        if most < 2**62:
             return self.x[at] @ q
         ends = np.iinfo(np.int64)
         exact = (sum(a * b for a, b in zip(r, q.tolist(), strict=True)) for r in self.x[at].tolist())
@@ -129,6 +135,9 @@ class _Best:
         return float(self.score[self.k - 1]) if len(self.score) >= self.k else -np.inf
 
     def add(self, score: np.ndarray, block: _Held, at: np.ndarray) -> None:
+        if len(score) > self.k:  # only those that are sorted which may be among the best
+            least = max(np.partition(score, -self.k)[-self.k], self.score[-1] if len(self.score) >= self.k else np.iinfo(np.int64).min)
+            score, at = score[score >= least], at[score >= least]
         score, ids = np.r_[self.score, score], np.r_[self.id, block.ids[at]]
         null, row = np.r_[self.null, block.null[at]], np.r_[self.row, block.rows[at]]
         order = np.lexsort((row, null, ids, ~score))[: self.k]
@@ -158,8 +167,12 @@ def search_block(block: _Held, q: np.ndarray, own: int, best: _Best) -> int:
         end = max(at + 1, int(np.searchsorted(read, read[at] + ROUND, "right")) - 1)
         now = order[at:end]
         n = block.length[some[now]]
-        places = np.repeat(block.start[some[now]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        gathered += np.bincount(block.postings[places], np.repeat(product[now], n), len(gathered))
+        first = block.start[some[now]]
+        if n.sum() >= SHORT * len(n):
+            places = np.concatenate([block.postings[s:e] for s, e in zip(first.tolist(), (first + n).tolist(), strict=True)])
+        else:
+            places = block.postings[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        gathered += np.bincount(places, np.repeat(product[now], n), len(gathered))
         rest = max(0.0, rest - float(drop[now].sum()))
         if not at:  # exact scores of the foremost are a first bound
             foremost = np.argpartition(-gathered, min(2 * best.k, len(gathered)) - 1)[: 2 * best.k]

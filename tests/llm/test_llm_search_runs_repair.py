@@ -84,6 +84,33 @@ def test_blocks_stop_early_and_only_with_proof(monkeypatch):
         assert topk.search_block(far, x[q], q, best) == 0
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 24, 1 << 27])
+def test_scores_are_exact_at_every_size(scale):
+    """In doubles, longs and Python's integers; equal scores go by the smaller id, also across blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (300, 24)) * scale + rng.integers(0, 2, (300, 24))
+    parts = [(list(range(0, 300, 2)), x[::2]), (list(range(1, 300, 2)), x[1::2])]
+    blocks = [topk._Held(dict(zip(topk._NAMES, topk._pack(24, i, ids, ids, rows, True)))) for i, (ids, rows) in enumerate(parts)]
+    for q in (0, 7, 150):
+        best = topk._Best(20)
+        for block in blocks:
+            topk.search_block(block, x[q], q, best)
+        exact = [sum(a * b for a, b in zip(r, x[q].tolist())) for r in x.tolist()]
+        want = sorted((-s, i) for i, s in enumerate(exact) if i != q)[:20]
+        assert list(zip((-best.score).tolist(), best.id.tolist())) == want
+
+
+def test_few_of_many_scores_are_sorted(monkeypatch):
+    """What cannot be among the best is left out before the sort by score and id."""
+    x = np.random.default_rng(6).integers(-40, 40, (4000, 8))
+    block = topk._Held(dict(zip(topk._NAMES, topk._pack(8, 0, list(range(4000)), list(range(4000)), x, True))))
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(topk.np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    best = topk._Best(5)
+    best.add(block.scores(x[0], np.arange(4000)), block, np.arange(4000))
+    assert best.score.tolist() == sorted((x @ x[0]).tolist(), reverse=True)[:5] and max(sorted_rows) < 100
+
+
 # --- periodic runs ---
 
 

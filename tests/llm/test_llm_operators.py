@@ -755,7 +755,7 @@ def test_signatures_differ_no_more_than_sets(own, other):
 
 
 def test_chance_meetings_move_no_sets(spark, monkeypatch):
-    """Texts that have only one phrase in common are settled by their signatures; similar ones are still linked."""
+    """Texts that have only a passage in common are settled by their signatures; similar ones are still linked."""
     from patchlens.llm import shingles
 
     written = {}
@@ -768,7 +768,8 @@ def test_chance_meetings_move_no_sets(spark, monkeypatch):
     materialize = shingles.materialize
     monkeypatch.setattr(shingles, "materialize", counted)
     rng = random.Random(8)
-    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(8)] + [f"p{k}q{j}" for k in (i % 7, 7 + i % 11) for j in range(7)]) for i in range(77)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(50)] for _ in range(120)]
+    texts = [" ".join(own[40 + i] + own[i // 2]) for i in range(77)]  # two by two half alike
     texts += [f"{t} more" for t in texts[:3]]
     df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "mark long, data binary").repartition(3)
     found = {tuple(sorted(r)) for r in shingles.similar_links(df).collect()}

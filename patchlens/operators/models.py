@@ -71,6 +71,7 @@ SEARCH_SPACE = {
 }
 # --- end of fixed values ---
 ROWS_PER_TASK = 50_000  # of a training table
+BOOST_ROWS = 200_000  # of a training table of numbers for boosting, whose every tree level shuffles between all tasks
 FOREST_ROWS = 5_000  # of a training table that are worth a task of their own, as every tree passes over them
 LEVEL_MEMORY = 512  # MB of node statistics, so that a tree level is one pass
 CLASSIFIERS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression}
@@ -135,17 +136,25 @@ def train(
     numbers, rows = _measured(df, feature_cols)
     if kind == "gbt":
         params = {"maxMemoryInMB": LEVEL_MEMORY, **params}
-    parts = ceil(rows / ROWS_PER_TASK)
     if kind == "rf":
         params = {"cacheNodeIds": True, **params}
-        parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / FOREST_ROWS)))
+    vectors = not all(isinstance(df.schema[c].dataType, NumericType) for c in feature_cols)
+    parts = _parts(kind, rows, vectors, df.sparkSession.sparkContext.defaultParallelism)
     if validation_col:
         params["validationIndicatorCol"] = validation_col
     used = dict.fromkeys([*feature_cols, label_col, *filter(None, (weight_col, validation_col))])
-    table = df.select(*used).repartition(max(1, parts))
+    table = df.select(*used).repartition(parts)
     return pipeline(feature_cols, kind, label_col, weight_col, numbers=numbers, **params).fit(table)
 
 
+def _parts(kind: str, rows: int, vectors: bool, cores: int) -> int:
+    """Into how many parts a training table is dealt."""
+    parts = ceil(rows / (BOOST_ROWS if kind == "gbt" and not vectors else ROWS_PER_TASK))
+    if kind == "rf":
+        parts = max(parts, min(cores, ceil(rows / FOREST_ROWS)))
+    return max(1, parts)
+
+
 def _measured(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], int]:
     """The columns that hold numbers and have some, and the number of rows."""
     kinds = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]

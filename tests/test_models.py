@@ -144,6 +144,16 @@ def test_a_small_table_is_one_part_of_a_fit(spark, train, monkeypatch):
     assert seen[0] == 1 and seen[-1] > 1
 
 
+def test_boosting_on_numbers_has_larger_parts(spark, monkeypatch):
+    seen = []
+    fit = L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    table = spark.range(120_000).select((F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("label"))
+    for kind in ("gbt", "lr"):
+        L.train(table, ["a"], kind=kind, maxIter=1)
+    assert seen[0] == 1 and seen[-1] == 3
+
+
 def test_feature_importance(models, train):
     rows = L.feature_importance(models["rf"], COLS, train, top=2).collect()
     assert len(rows) == 2 and rows[0]["importance"] >= rows[1]["importance"]

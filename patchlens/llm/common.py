@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.session import materialize
-
-_PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
+from patchlens.session import materialize, ship
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # Words between white space, and words of digits, letters and everything beyond ASCII.
@@ -39,19 +32,6 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, as ``--py-files`` does."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="patchlens-py-"), "patchlens.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-        for file in sorted(_PACKAGE.rglob("*.py")):
-            archive.write(file, f"{_PACKAGE.name}/{file.relative_to(_PACKAGE)}")
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def word_lists(data: bytes, table: bytes, size: int = TEXT_PART) -> Iterator[list[bytes]]:
     """The words of a text, in lists of about ``size`` bytes of text each.
 

@@ -42,6 +42,7 @@ from patchlens.operators.prep import (
     stratified_split,
 )
 from patchlens.operators.textstats import tfidf_risk
+from patchlens.operators.trees import CellTrees
 from patchlens.session import materialize
 
 SEED = 42
@@ -79,7 +80,8 @@ CLASSIFIERS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": Logisti
 
 def classifier(kind: str, label_col: str, weight_col: str | None, **params):
     stage = CLASSIFIERS[kind](featuresCol="features", labelCol=label_col, **{**DEFAULTS[kind], **params})
-    return stage.setWeightCol(weight_col) if weight_col else stage
+    stage = stage.setWeightCol(weight_col) if weight_col else stage
+    return stage if kind == "lr" else CellTrees(stage)
 
 
 def pipeline(
@@ -179,8 +181,8 @@ def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificatio
     whole, n = model._java_obj, min(rounds, model.getNumTrees)
     trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
     weights = gateway.new_array(jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(whole.trees()[:n], whole.treeWeights()[:n], strict=True)):
-        trees[i], weights[i] = tree, weight
+    for found, kept in ((whole.trees(), trees), (whole.treeWeights(), weights)):
+        jvm.java.lang.System.arraycopy(found, 0, kept, 0, n)
     part = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights))
     return part.setFeaturesCol(model.getFeaturesCol())
 

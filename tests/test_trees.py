@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patchlens.operators import models as L
 from patchlens.operators import trees as T
+from patchlens.plans import queries
 
 COLS = ["a", "b", "c"]
 
@@ -113,3 +114,20 @@ def test_split_candidates():
     assert T.split_candidates(np.arange(8.0), np.ones(8), 3).tolist() == [1.5, 3.5, 5.5]
     assert T.split_candidates(np.arange(4.0), np.array([9.0, 1.0, 1.0, 1.0]), 1).tolist() == [0.5]
     assert T.split_candidates(np.array([2.0]), np.ones(1), 3).tolist() == []
+
+
+def test_the_search_has_the_whole_space(monkeypatch):
+    """``ml_random_search`` draws from the settings of the library, with all of their rounds."""
+    seen = {}
+
+    def search(df, cols, id_col, grid=L.SEARCH_SPACE, kind="gbt", n_iter=20, folds=3, **more):
+        seen.update(grid=grid, n_iter=n_iter, folds=folds)
+        raise InterruptedError
+
+    monkeypatch.setattr(L, "random_search", search)
+    monkeypatch.setattr(queries, "_training_table", lambda spark, sf_dir: "table")
+    monkeypatch.setattr(queries, "_split", lambda table: (table, table))
+    with pytest.raises(InterruptedError):
+        queries.ml_random_search(None, "none")
+    assert seen == {"grid": L.SEARCH_SPACE, "n_iter": 20, "folds": 3}
+    assert L.SEARCH_SPACE["maxIter"] == (100, 200, 300, 500)

@@ -743,6 +743,24 @@ def test_similar_links_lose_no_connection(spark, families, group, cells, meeting
     assert _classes(len(texts), found) == _classes(len(texts), true)
 
 
+def test_links_do_not_depend_on_the_order_of_shingles(spark, monkeypatch):
+    """What ``common_shingles`` counts sets the order only: any order, and none, connects the same texts."""
+    from patchlens.llm import shingles
+
+    rng = random.Random(5)
+    texts = [t for _ in range(4) for t in _family(rng, 40, 60, 0, 3)]
+    sets = [set(shingles.shingle_set(t.encode()).tolist()) for t in texts]
+    true = {(j, i) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    every = np.array(sorted(set().union(*sets)), np.int64)
+    drawn = np.random.default_rng(5).integers(1, 1000, len(every))
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "mark long, data binary")
+    for common, rank in ((every[:0], drawn[:0]), (every, drawn), (every[::7], drawn[::7])):
+        monkeypatch.setattr(shingles, "common_shingles", lambda texts, width, found=(common, rank): found)
+        found = {tuple(sorted(r)) for r in shingles.similar_links(df, group=64, cells=1 << 12, meetings=1).collect()}
+        assert found <= true
+        assert _classes(len(texts), found) == _classes(len(texts), true)
+
+
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40))
 def test_signatures_differ_no_more_than_sets(own, other):
     from patchlens.llm import shingles
